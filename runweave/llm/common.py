@@ -113,11 +113,15 @@ class Words:
         self.end = np.flatnonzero(before & (~here | edge))
         self.first = np.searchsorted(self.start, self.at)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[self.data] * up[:n], out=total[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + size * np.uint64(0xD6E8FEB86659FD93))
+        up, self._down = _powers(n + 1)
+        self._total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[self.data] * up[:n], out=self._total[1:])
+        self.hash = self.span_hash(self.start, self.end)
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64 bits of the bytes of each span."""
+        size = (end - start).astype(np.uint64)
+        return mix((self._total[end] - self._total[start]) * self._down[start] + size * np.uint64(0xD6E8FEB86659FD93))
 
     def __len__(self) -> int:
         return len(self.start)
