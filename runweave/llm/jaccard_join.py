@@ -29,7 +29,7 @@ from .common import NON_SPACE, Words
 from .components import components
 
 #: Part of the hash range whose shingles are counted and come first in the order; common shingles that the order knows at most.
-COUNTED, MOST_COMMON = 0.3, 500_000
+COUNTED, MOST_COMMON = 1.0, 500_000
 #: Most ids of texts to verify that are broadcast to pick these texts; beyond it the texts are joined by shuffling.
 MOST_BROADCAST_IDS = 1_000_000
 
@@ -61,7 +61,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _counted(threshold: float) -> np.uint64:
-    return np.uint64(int(threshold * 2**64))
+    return np.uint64(min(int(threshold * 2**64), 2**64 - 1))
 
 
 def _count(size: int):
@@ -189,12 +189,18 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("shingle")
     postings = common.materialise(postings.join(often, "shingle"))
 
-    # step 1: each group with the neighbour that it meets most often, members with their group's first node
-    in_list = Window.partitionBy("shingle").orderBy("n", "group")
-    meets = postings.select(F.col("group").alias("a"), F.col("n").alias("a_n"), F.lag("group").over(in_list).alias("b"), F.lag("n").over(in_list).alias("b_n"))
-    meets = meets.where(F.col("b").isNotNull() & _enough(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    best = meets.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    # step 1: each group with the neighbour and the hub that it meets most often, members with their group's first node
+    shared = postings.groupBy("group").agg(F.count(F.lit(1)).alias("shared")).withColumnRenamed("group", "g")
+    ranked = postings.join(shared, F.col("group") == F.col("g")).select("shingle", "group", "n", (F.col("shared") / F.col("n")).alias("shared"))
+    by_size, by_share = (Window.partitionBy("shingle").orderBy(*o) for o in (("n", "group"), (F.desc("shared"), "n", "group")))
+    this = F.struct(F.col("group").alias("b"), F.col("n").alias("b_n"))
+    meets = ranked.select(F.col("group").alias("a"), F.col("n").alias("a_n"), F.lag(this).over(by_size).alias("beside"), F.first(this).over(by_share).alias("hub"))
+    meets = meets.select("a", "a_n", F.inline(F.filter(F.array(F.struct(F.lit(0).alias("kind"), F.col("beside").alias("with")), F.struct(F.lit(1).alias("kind"), F.col("hub").alias("with"))), lambda x: x["with"].isNotNull() & (x["with"]["b"] != F.col("a")))))
+    larger, smaller = F.greatest("a_n", "with.b_n"), F.least("a_n", "with.b_n")
+    meets = meets.where(smaller * 100 >= larger * percent).groupBy("a", "kind", F.col("with.b").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    best = meets.groupBy("a", "kind").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     inside = member.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
+    best = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     first_pairs = common.materialise(best.unionByName(inside))
     sets = _sets_of(first_pairs.select(F.col("a").alias("node")).unionByName(first_pairs.select(F.col("b").alias("node"))), firsts, texts, size)
     links = common.materialise(_verify(first_pairs, sets, percent))
