@@ -22,6 +22,8 @@ from . import common
 CELLS_PER_ROW, MOST_CELLS = 16, 1 << 30
 #: Fewest cells; and the most words with a set cell that are broadcast. Beyond it the probe is a shuffled join of hashes.
 LEAST_CELLS, MOST_BROADCAST_WORDS = 1 << 16, 1 << 21
+#: Most groups of equal texts that are broadcast; more are joined by shuffling.
+MOST_BROADCAST_GROUPS = 200_000
 
 _BLANKS = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 
@@ -63,31 +65,39 @@ def possibly_repeated(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows without an equal; the others; and of each text among these the row that stays (__keep: -length, id) and __n rows."""
+    """Rows without an equal; the others; and, of each text with several rows, the row that stays (__l: -length, __i: id) and __n rows.
+
+    The groups are written first, so that the join with them has no aggregation of its own: small ones are
+    broadcast, else Spark can split a hot text's rows over several tasks.
+    """
     text = common.text_of(text_col)
     rows = possibly_repeated(docs, text)
     digest = F.sha2(normalised(text), 256).alias("__sha")
     alone = rows.where(~F.col("__maybe")).select(*keep, digest)
     shared = rows.where("__maybe").select(*keep, digest, (-F.char_length(text)).alias("__len"), F.col(id_col).alias("__id"))
-    groups = shared.groupBy("__sha").agg(F.min(F.struct("__len", "__id")).alias("__keep"), F.count(F.lit(1)).alias("__n"))
-    return alone, shared, groups
+    groups = shared.groupBy("__sha").agg(F.min(F.struct("__len", "__id")).alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    groups = common.materialise(groups.select(F.col("__sha").alias("__s"), F.col("__keep.__len").alias("__l"), F.col("__keep.__id").alias("__i"), "__n"))
+    return alone, shared, F.broadcast(groups) if groups.count() <= MOST_BROADCAST_GROUPS else groups
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) of every row."""
     alone, shared, groups = _split(docs.select(id_col, text_col), id_col, text_col, [id_col])
     one = alone.select(id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
-    kept = F.col("__id").eqNullSafe(F.col("__keep.__id")) & (F.col("__len") == F.col("__keep.__len"))
-    more = shared.join(groups, "__sha").select(id_col, F.col("__keep.__id").alias("keep_id"), F.col("__n").alias("group_size"), kept.alias("kept"), F.col("__sha").alias("text_sha256"))
+    single = F.col("__s").isNull()
+    kept = single | (F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__len") == F.col("__l")))
+    keep_id = F.when(single, F.col("__id")).otherwise(F.col("__i"))
+    more = shared.join(groups, F.col("__sha") == F.col("__s"), "left")
+    more = more.select(id_col, keep_id.alias("keep_id"), F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.col("__sha").alias("text_sha256"))
     return one.unionByName(more)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each text, with all its columns; rows without an equal are not shuffled."""
     alone, shared, groups = _split(docs, id_col, text_col, docs.columns)
-    kept = shared.join(groups.where("__n > 1").select("__sha", F.col("__keep.__len").alias("__len"), F.col("__keep.__id").alias("__id")).withColumnsRenamed({"__sha": "__s", "__len": "__l", "__id": "__i"}), F.col("__sha").eqNullSafe(F.col("__s")) & (F.col("__len") == F.col("__l")) & F.col("__id").eqNullSafe(F.col("__i")))
-    once = shared.join(groups.where("__n = 1").select(F.col("__sha").alias("__s")), F.col("__sha") == F.col("__s"))
-    first = kept.dropDuplicates(["__sha"])
+    more = shared.join(groups, F.col("__sha") == F.col("__s"), "left")
+    once = more.where(F.col("__s").isNull())
+    first = more.where(F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__len") == F.col("__l"))).dropDuplicates(["__sha"])
     return alone.select(docs.columns).unionByName(once.select(docs.columns)).unionByName(first.select(docs.columns))
 
 
