@@ -1,9 +1,10 @@
 """Token counts: lengths only, from batches of pieces that are balanced by bytes.
 
-Texts are cut where a character that is not white space stands before white space. No token of a byte-level
-tokenizer whose words are ` ?letters`, ` ?digits`, ` ?other` or white space crosses such a place, and no
-special string holds white space, so lengths of the pieces add up to that of the text, however long it is.
-Equal pieces of a batch are encoded once and their lengths are remembered, up to a bound.
+Texts are cut where a character that is not white space stands before a blank, and where an ASCII letter stands
+before a stop. No token of a byte-level tokenizer whose words are ` ?letters`, ` ?digits`, ` ?other` or white
+space crosses such a place, so lengths of the pieces add up to that of the text, however long it is. If an added
+token of the tokenizer holds such a place, texts are not cut. Equal pieces of a batch are encoded once, and a
+worker remembers the lengths of the pieces that it met first, up to a bound.
 
 Null counts as empty; empty texts have no tokens. Repeated rows are counted each.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +23,11 @@ from pyspark.sql import functions as F
 from . import common
 
 LIMIT = 1024
-#: Bytes of new pieces that one call encodes, and the most pieces remembered by a task.
-BATCH_BYTES, REMEMBERED = 128 << 10, 600_000
+#: Bytes of new pieces that one call encodes, and the most pieces that a worker remembers.
+BATCH_BYTES, REMEMBERED = 128 << 10, 1_000_000
 
-#: Safe places: before a blank, after a character that no Unicode rule calls white space.
-_SAFE = re.compile(r"(?<=\S)(?= )")
-_UNSAFE_BLANK = re.compile(r"\s ")
+#: Safe places. Python's white space covers all that other rules call white space.
+_SAFE = re.compile(r"(?<=\S)(?= )|(?<=[A-Za-z])(?=[.,;:!?])")
 
 
 class Counter:
@@ -37,7 +38,7 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        #: lengths of pieces by what follows their blank
+        self.safe = not any(_SAFE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, int] = {}
 
     def _encode(self, pieces: list[str]) -> list[int]:
@@ -52,33 +53,28 @@ class Counter:
         return out
 
     def lengths(self, texts: list[str]) -> list[int]:
-        """Lengths in tokens. The first piece of each text, which has no blank before it, is encoded each time."""
-        heads, rests = [], []
-        for text in texts:
-            if _UNSAFE_BLANK.search(text):
-                head, *rest = _SAFE.split(text)
-                rest = [x[1:] for x in rest]
-            else:
-                head, *rest = text.split(" ")
-                if not head and rest:  # it begins with its only blank
-                    head, rest = " " + rest[0], rest[1:]
-            heads.append(head)
-            rests.append(rest)
-        new = set().union(*rests) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*rests)
-        ordered = sorted(new, key=len)
-        self.known.update(zip(ordered, self._encode([" " + x for x in ordered]), strict=True))
-        known = self.known.__getitem__
-        return [n + sum(map(known, rest)) for n, rest in zip(self._encode(heads), rests, strict=True)]
+        """Lengths in tokens."""
+        pieces = [_SAFE.split(text) if self.safe else [text] for text in texts]
+        new = sorted(set().union(*pieces) - self.known.keys(), key=len)
+        known = self.known
+        known.update(zip(new, self._encode(new), strict=True))
+        out = [sum(map(known.__getitem__, own)) for own in pieces]
+        for piece in new[max(0, len(new) - max(0, len(known) - REMEMBERED)) :]:
+            del known[piece]
+        return out
+
+
+@lru_cache(maxsize=2)
+def counter_of(path: str) -> Counter:
+    """One for each file and worker: later tasks profit from what earlier ones remembered."""
+    return Counter(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of each document; no shuffle. The file must be at this path on every executor."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_file)
+        counter = counter_of(tokenizer_file)
         for batch in batches:
             texts = batch.column(1)
             for a, b in common.slices(texts):
