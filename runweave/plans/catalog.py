@@ -1,4 +1,8 @@
-"""All queries of the engine by name, each with the SQL that it matches."""
+"""All queries of the engine by name, each with the SQL that it matches.
+
+Runs are played by vectors (regular, with a class) and by users' events (irregular); results by line items;
+logs by conversations. Floats are given in ten-thousandths, so that results compare exactly.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import kernels, logs, reports
+
+Query = Callable[[SparkSession, str], DataFrame]
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return kernels.QUERIES | reports.QUERIES | logs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return kernels.ORACLES | reports.ORACLES | logs.ORACLES
