@@ -1,8 +1,7 @@
 """N-gram Jaccard join: a grouped prefix join over word shingles.
 
 A text's set holds the 64-bit hashes of its distinct shingles. Equal sets are one node. All sets are sorted in
-one order: shingles from a fixed part of the hash range come first, the rarer of these before the more common,
-so that passages of many documents come late. Two sets that link share a shingle of their prefixes; nodes with
+one order: the rarer shingles come before the more common, so that passages of many documents come late. Two sets that link share a shingle of their prefixes; nodes with
 an equal prefix and size form one group, and only groups are indexed and paired.
 
 Links are found in two steps, so that a large family of near copies never becomes all its pairs: first each
@@ -20,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +28,8 @@ from . import common
 from .common import NON_SPACE, Words
 from .components import components
 
-#: Part of the hash range whose shingles are counted and come first in the order; common shingles that the order knows at most.
-COUNTED, MOST_COMMON = 1.0, 500_000
+#: Common shingles that the order knows at most.
+MOST_COMMON = 500_000
 #: Most ids of texts to verify that are broadcast to pick these texts; beyond it the texts are joined by shuffling.
 MOST_BROADCAST_IDS = 1_000_000
 
@@ -60,71 +60,95 @@ def node_of(s: np.ndarray) -> int:
     return int(common.mix(np.array([common.mix(s ^ _WEIGHTS[3]).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
-def _counted(threshold: float) -> np.uint64:
-    return np.uint64(min(int(threshold * 2**64), 2**64 - 1))
+def _key(shingles: np.ndarray) -> np.ndarray:
+    """48 bits of a hash, by which shingles are counted: the counts only order them."""
+    return shingles >> np.uint64(16)
 
 
-def _count(size: int):
+def _packed(keys: np.ndarray, counts: np.ndarray, n_blocks: int) -> pa.RecordBatch:
+    """Sorted keys and their counts, cut into blocks of the key range; bytes of a rank stand together, which compresses well."""
+    cut = np.searchsorted(keys, np.arange(n_blocks + 1, dtype=np.uint64) * np.uint64((1 << 48) // n_blocks + 1))
+    blocks = [k for k in range(n_blocks) if cut[k] < cut[k + 1]]
+    planes = [keys[cut[k] : cut[k + 1]].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() for k in blocks]
+    times = [counts[cut[k] : cut[k + 1]].astype(np.uint32).tobytes() for k in blocks]
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(planes, pa.binary()), pa.array(times, pa.binary())], ["block", "planes", "times"])
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    out = np.zeros((len(planes) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(planes, np.uint8).reshape(6, -1).T
+    return out.reshape(-1).view(np.uint64)
+
+
+def _count(size: int, n_blocks: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for a, b in common.slices(batch.column(0)):
-                for s in shingle_sets(batch.column(0).slice(a, b - a), size):
-                    held.append(s[: np.searchsorted(s, _counted(COUNTED))])
-                    n += len(held[-1])
-                if n > 2_000_000:
-                    yield _counts(held)
+                held += shingle_sets(batch.column(0).slice(a, b - a), size)
+                n += sum(map(len, held[-(b - a) :]))
+                if n > 4_000_000:
+                    yield _packed(*np.unique(_key(np.concatenate(held)), return_counts=True), n_blocks)
                     held, n = [], 0
-        if held:
-            yield _counts(held)
+        if n:
+            yield _packed(*np.unique(_key(np.concatenate(held)), return_counts=True), n_blocks)
 
     return count
 
 
-def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
-    shingle, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(shingle.astype(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+def _often(frame: pd.DataFrame) -> pd.DataFrame:
+    """Keys of a block that at least 4 texts hold, and log2 of how many."""
+    keys = np.concatenate([_unpacked(x) for x in frame["planes"]])
+    times = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["times"]])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.add.reduceat(times[order].astype(np.int64), heads)
+    return pd.DataFrame({"key": keys[heads][n >= 4].astype(np.int64), "level": np.log2(n[n >= 4]).astype(np.int32)})
 
 
 def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many texts, sorted, and log2 of their counts: all those over the lowest power of two that leaves at most MOST_COMMON."""
-    counts = texts.mapInArrow(_count(size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 4")
-    counts = common.materialise(counts.select("shingle", F.floor(F.log2("n")).cast("int").alias("level")))
+    """Keys of shingles of many texts, sorted, and log2 of their counts: all those over the lowest power of two that leaves at most MOST_COMMON.
+
+    Tasks send their distinct keys as packed blocks of the key range; a block holds a fixed part of what a
+    partition of the texts holds, however many there are, as each task sends a key once.
+    """
+    n_blocks = 4 * max(16, texts.rdd.getNumPartitions())
+    packed = texts.mapInArrow(_count(size, n_blocks), "block int, planes binary, times binary")
+    counts = common.materialise(packed.groupBy("block").applyInPandas(_often, "key long, level int"))
     level, total = 0, 0
-    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 64 rows
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 48 rows
         total += row["count"]
         if total > MOST_COMMON:
             break
         level = row.level
     kept = counts.where(F.col("level") >= level).toPandas() if level else counts.limit(0).toPandas()
-    shingle = kept["shingle"].to_numpy(np.int64).astype(np.uint64)
-    order = np.argsort(shingle)
-    return shingle[order], kept["level"].to_numpy(np.int64)[order]
-
-
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    keys = kept["key"].to_numpy(np.int64).astype(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], kept["level"].to_numpy(np.int64)[order]
 
 
 def _prefixes(size: int, percent: int, broadcast):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, level = broadcast.value
+        keys, level = broadcast.value
         for batch in batches:
             for a, b in common.slices(batch.column(1)):
-                nodes, sizes, prefixes = [], [], []
-                for s in shingle_sets(batch.column(1).slice(a, b - a), size):
-                    nodes.append(node_of(s) if len(s) else None)
-                    sizes.append(len(s))
-                    n = prefix_length(len(s), percent) if len(s) else 0
-                    rank = np.where(s < _counted(COUNTED), 0, 100)
-                    if len(shingle):
-                        cut = int(np.searchsorted(s, _counted(COUNTED)))
-                        at = np.minimum(np.searchsorted(shingle, s[:cut]), len(shingle) - 1)
-                        rank[:cut] = np.where(shingle[at] == s[:cut], level[at], 0)
-                    prefixes.append(s[np.argsort(rank, kind="stable")[:n]].astype(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-                values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "node", "n", "prefix"])
+                sets = shingle_sets(batch.column(1).slice(a, b - a), size)
+                sizes = np.array([len(s) for s in sets])
+                every = np.concatenate(sets)
+                rank = np.zeros(len(every), np.int64)
+                if len(keys):
+                    own = _key(every)
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    rank = np.where(keys[at] == own, level[at], 0)
+                every = every[np.argsort(np.repeat(np.arange(len(sets)), sizes) * 64 + rank, kind="stable")]
+                first = np.concatenate([[0], np.cumsum(sizes)])
+                lengths = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                values = every[np.repeat(first[:-1] - offsets[:-1], lengths) + np.arange(offsets[-1])]
+                nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+                prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), nodes, pa.array(sizes, pa.int64()), prefix], ["id", "node", "n", "prefix"])
 
     return prefixes
 
@@ -153,7 +177,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "s", "t").mapInArrow(check, "a long, b long").distinct()
 
 
 def _sets_of(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -168,7 +192,7 @@ def _sets_of(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, size: int) -
 
     small = wanted.count() <= MOST_BROADCAST_IDS
     picked = texts.join(F.broadcast(wanted) if small else wanted, "id").select("wanted", "text")
-    return common.materialise(picked.mapInArrow(sets, "node long, wanted long, set binary").where("node = wanted").drop("wanted").dropDuplicates(["node"]))
+    return common.materialise(picked.mapInArrow(sets, "node long, wanted long, set binary").where("node = wanted").drop("wanted"))
 
 
 def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
