@@ -81,6 +81,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
 
     Only texts of more than one chunk are shuffled, to put their pieces together.
     """
+    common.small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(id_col, common.text_of(text_col).alias("text")).withColumn("size", F.char_length("text"))
 
@@ -92,6 +93,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
             for a, b in common.slices(batch.column(1)):
                 ids = [ids_of(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], [id_col, "ids"])
+        _encoding.cache_clear()  # it takes far more memory than the ranks, and the worker lives on
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
@@ -103,6 +105,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
                 ids.append(None if piece is None else ids_of(piece))
             core = [t[(overlap if k else 0) :][:chunk] for t, k in zip(rows["text"], rows["k"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.binary()), pa.array(core, pa.string())], ["uid", id_col, "k", "ids", "core"])
+        _encoding.cache_clear()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; its arrays take about 40 times as much.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,6 +32,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -37,6 +41,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on: with long texts or sets, Spark's default of 10,000 rows takes hundreds of MB on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share. Where it is unset (tests) a local one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,6 +73,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def release() -> None:
+    """Gives memory that allocators hold back to the system: workers live on, and their executor's share is bounded."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, SLICE_BYTES + 1)
@@ -83,6 +101,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         held += int(size)
     if begin < len(sizes):
         yield begin, len(sizes)
+    release()
 
 
 def offsets_of(texts: pa.Array) -> np.ndarray:
@@ -144,4 +163,5 @@ def held_out(remainder: int, id_col: str = "doc_id") -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -23,7 +23,7 @@ from . import common
 from .common import ALNUM, Words
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE_RATE = 16
 #: Most benchmark text, in bytes, that goes to the tasks at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 16 << 20
@@ -244,6 +244,7 @@ def contamination(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, unchanged, with all their columns. Nothing is shuffled."""
+    common.small_batches(docs.sparkSession)
     blocks, schema = benchmark_blocks(benchmark, item_col, text_col, window), docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,7 +87,7 @@ def _count(size: int, n_blocks: int):
             for a, b in common.slices(batch.column(0)):
                 held += shingle_sets(batch.column(0).slice(a, b - a), size)
                 n += sum(map(len, held[-(b - a) :]))
-                if n > 4_000_000:
+                if n > 1_000_000:
                     yield _packed(*np.unique(_key(np.concatenate(held)), return_counts=True), n_blocks)
                     held, n = [], 0
         if n:
@@ -174,6 +174,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            common.release()
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
@@ -197,6 +198,7 @@ def _sets_of(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, size: int) -
 
 def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component) of every row: texts link if the Jaccard similarity of their sets is percent / 100 at least; the component is the smallest id reachable."""
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))

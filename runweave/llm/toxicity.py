@@ -163,6 +163,7 @@ def pick_voters(fired: np.ndarray, label: np.ndarray) -> list[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from labelled rows whose id isn't held out; at most SAMPLE_ROWS of them, by a hash of the id."""
+    common.small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~common.held_out(remainder, id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     known = known.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(SAMPLE_ROWS)
