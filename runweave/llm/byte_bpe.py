@@ -38,6 +38,16 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks_of(path).items()}
+
+
+def raw_of(ids: bytes, path: str) -> bytes:
+    """The raw bytes of all tokens, one after another."""
+    return b"".join(map(tokens_of(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 @lru_cache(maxsize=4)
 def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
@@ -76,10 +86,11 @@ def piece_of(text: str, first: bool, last: bool, pattern: regex.Pattern, chunk:
     return text[begin : end + meet] if held else None
 
 
-def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """(id, ids) of each document; ids are its tokens as little-endian unsigned 32-bit integers. The file must be on every executor.
 
-    Only texts of more than one chunk are shuffled, to put their pieces together.
+    With decoded, also bytes, decoded from these ids beside them: a decoder behind the encoder in one stage would
+    be a second Python worker of each task. Only texts of more than one chunk are shuffled, to put their pieces together.
     """
     common.small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -88,11 +99,14 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
     def ids_of(text: str) -> bytes:
         return np.array(_encoding(ranks_file, pattern).encode_ordinary(text), "<u4").tobytes()
 
+    def out(keys: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        raw = [pa.array([raw_of(x, ranks_file) for x in ids], pa.binary())] if decoded else []
+        return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), *raw], [id_col, "ids", "bytes"][: 2 + decoded])
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in common.slices(batch.column(1)):
-                ids = [ids_of(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], [id_col, "ids"])
+                yield out(batch.column(0).slice(a, b - a), [ids_of(t) for t in batch.column(1).slice(a, b - a).to_pylist()])
         _encoding.cache_clear()  # it takes far more memory than the ranks, and the worker lives on
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,37 +127,34 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
             for pieces in batch.column(1).to_pylist():
                 good = all(p["ids"] is not None for p in pieces)
                 ids.append(b"".join(p["ids"] for p in pieces) if good else ids_of("".join(p["core"] for p in pieces)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
+            yield out(batch.column(0), ids)
 
-    short = texts.where(F.col("size") <= chunk).select(id_col, "text").mapInArrow(whole, f"{id_col} {kind}, ids binary")
+    schema = f"{id_col} {kind}, ids binary" + ", bytes binary" * decoded
+    short = texts.where(F.col("size") <= chunk).select(id_col, "text").mapInArrow(whole, schema)
     n = F.ceil(F.col("size") / chunk).cast("int")
     cut = F.when(F.col("k") == 0, F.substring("text", F.lit(1), F.lit(chunk + overlap))).otherwise(F.substring("text", F.col("k") * chunk - overlap + 1, F.lit(chunk + 2 * overlap)))
     chunks = texts.where(F.col("size") > chunk).select(F.monotonically_increasing_id().alias("uid"), id_col, "text", n.alias("n"))
     chunks = chunks.select("uid", id_col, "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("uid", id_col, "k", "n", cut.alias("text"))
     pieces = chunks.mapInArrow(parts, f"uid long, {id_col} {kind}, k int, ids binary, core string")
     stitched = pieces.groupBy("uid", id_col).agg(F.array_sort(F.collect_list(F.struct("k", "ids", "core"))).alias("pieces"))
-    return short.unionByName(stitched.select(id_col, "pieces").mapInArrow(join, f"{id_col} {kind}, ids binary"))
+    return short.unionByName(stitched.select(id_col, "pieces").mapInArrow(join, schema))
 
 
 def decode_documents(encoded: DataFrame, ranks_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, bytes): the raw bytes of all tokens, one after another. Ids that the ranks lack are an error."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {rank: token for token, rank in ranks_of(ranks_file).items()}
-        token = table.__getitem__
         for batch in batches:
-            raw = (b"".join(map(token, np.frombuffer(ids, "<u4").tolist())) for ids in (x.as_py() or b"" for x in batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(raw), pa.binary())], [id_col, "bytes"])
+            raw = [raw_of(x.as_py() or b"", ranks_file) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], [id_col, "bytes"])
 
     return encoded.select(id_col, ids_col).mapInArrow(decode, f"{id_col} {dict(encoded.dtypes)[id_col]}, bytes binary")
 
 
 def digests(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids go on through the decoder beside their own digest."""
-    encoded = encode_documents(docs, ranks_file, pattern)
-    known = encoded.select(F.struct("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")).alias("known"), "ids")
-    decoded = decode_documents(known, ranks_file, "known")
-    return decoded.select("known.doc_id", "known.n_tokens", "known.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids and of what they decode to."""
+    encoded = encode_documents(docs, ranks_file, pattern, decoded=True)
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
