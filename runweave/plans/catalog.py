@@ -10,14 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernels, logs, registry, reports
+from . import contracts, kernels, logs, registry, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return kernels.QUERIES | reports.QUERIES | logs.QUERIES | registry.QUERIES
+    return kernels.QUERIES | reports.QUERIES | logs.QUERIES | registry.QUERIES | contracts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return kernels.ORACLES | reports.ORACLES | logs.ORACLES | registry.ORACLES
+    return kernels.ORACLES | reports.ORACLES | logs.ORACLES | registry.ORACLES | contracts.ORACLES
