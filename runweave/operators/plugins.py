@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _schema(df: DataFrame, keys: list[str]) -> str:
@@ -61,6 +62,8 @@ def apply_beside(runs: DataFrame, references: DataFrame, keys: list[str], order:
     """f(run, reference) of each key that has a run, without keys in its result: noise after a reference, or a test for a difference. A missing reference is an empty table."""
 
     columns = references.columns
+    # columns of their own: where both sides come from one table, Spark 4.1 prunes the second's columns under a projection
+    references = references.select(*(F.col(f"`{c}`").alias(c) for c in columns))
 
     def one(key: tuple, run: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
         if run.empty:
