@@ -2,7 +2,7 @@
 
 The most frequent words are dealt by rank to head classes; all others, known or not, fall into tail classes by
 their last bytes. Two hashed softmax layers have features of the n-gram and skip kind (the word before, the one
-two before, the pair): one over the classes, one over the words of a head class. Within a
+two before, the pair, the pair with a gap): one over the classes, one over the words of a head class. Within a
 tail class a word has its smoothed share of the class, (c + 0.5) / (n + 0.5 (v + 1)); the last term is that of
 all words never seen. So the model is a distribution, and its score comparable to that of the base.
 
@@ -30,7 +30,7 @@ from . import common
 from .common import NON_SPACE, Words
 
 #: Head classes, words in each, tail classes; hashed rows of a feature; rounds; most words whose counts are broadcast.
-HEADS, WIDTH, TAILS, ROWS, ROUNDS, MOST_COMMON = 12, 32, 8, 2_048, 3, 400_000
+HEADS, WIDTH, TAILS, ROWS, ROUNDS, MOST_COMMON = 16, 32, 16, 2_048, 3, 400_000
 #: Step of an update, and the pull towards no change in occurrences.
 STEP, PULL = 0.35, 60.0
 CLASSES = HEADS + TAILS
@@ -74,9 +74,9 @@ class Tokens:
         return out
 
     def contexts(self) -> list[np.ndarray]:
-        """Hashed features of the class layer: the word before, that two before (skip), both."""
-        one, two = self.back(1), self.back(2)
-        mixed = [one * _SALT[0], two * _SALT[1], one * _SALT[2] + two * _SALT[3]]
+        """Hashed features of the class layer: the word before, that two before (skip), both, one and three before (gap)."""
+        one, two, three = self.back(1), self.back(2), self.back(3)
+        mixed = [one * _SALT[0], two * _SALT[1], one * _SALT[2] + two * _SALT[3], one * _SALT[3] + three * _SALT[0]]
         return [common.mix(x) for x in mixed]
 
 
@@ -117,7 +117,7 @@ class Model:
     word_bias: np.ndarray
     tail_total: np.ndarray
     total: float
-    classes: np.ndarray = field(default_factory=lambda: np.zeros((3 * ROWS, CLASSES), np.float32))
+    classes: np.ndarray = field(default_factory=lambda: np.zeros((4 * ROWS, CLASSES), np.float32))
     words: np.ndarray = field(default_factory=lambda: np.zeros((2 * ROWS, WIDTH), np.float32))
 
     def look_up(self, h: np.ndarray) -> np.ndarray:

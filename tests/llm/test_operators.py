@@ -260,6 +260,16 @@ def test_the_model_is_a_distribution(docs):
         assert ((own + 0.5).sum() + 0.5) / model.tail_total[k] == pytest.approx(1)
 
 
+def test_the_model_has_all_classes_and_the_gap_feature(docs):
+    model, _, _, _ = language_model.fit(docs, F.lit(False))
+    assert (model.head >= 0).sum() == 512 and len(model.class_bias) == 32
+    tokens = language_model.Tokens.of(pa.array(["one b c d", "two b c d"]))
+    a, b = (np.array([x[at] for x in tokens.contexts()]) for at in (3, 8))  # d, after words that differ three before
+    assert (a == b).tolist() == [True, True, True, False]
+    _, _, _, rows, _, _ = model.prepared(tokens)
+    assert len(rows) == 4 and max(map(max, rows)) < len(model.classes)
+
+
 def test_toxicity(spark, odd, empty):
     rng = np.random.default_rng(3)
     rows, labels = [], []
