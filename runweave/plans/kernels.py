@@ -113,6 +113,11 @@ def standardise(spark, d):
     return align.standardise(vectors(spark, d), ["run_id"], "value").where("pos % 8 = 3").select("run_id", F.col("pos").cast("long").alias("pos"), X.scaled(F.col("z")).alias("z"))
 
 
+@query("standardise_every_place", f"WITH {_VECTORS}, s AS (SELECT run_id, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY ALL) SELECT v.run_id, CAST(pos AS BIGINT) AS pos, {q('(value - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END')} AS z FROM v JOIN s USING (run_id)")
+def standardise_every_place(spark, d):
+    return align.standardise(vectors(spark, d), ["run_id"], "value").select("run_id", F.col("pos").cast("long").alias("pos"), X.scaled(F.col("z")).alias("z"))
+
+
 @query("align_exact", f"WITH {_EVENTS}, a AS (SELECT DISTINCT run_id, t // {DAY} AS day FROM e WHERE signal = 'click'), b AS (SELECT DISTINCT run_id, t // {DAY} AS day FROM e WHERE signal = 'view') SELECT run_id, count(*) AS days, count(*) FILTER (WHERE a.day IS NOT NULL AND b.day IS NOT NULL) AS both FROM a FULL JOIN b USING (run_id, day) GROUP BY run_id")
 def align_exact(spark, d):
     e = tables.event_runs(spark, d).withColumn("day", F.floor(F.col("t") / DAY).cast("long"))

@@ -39,3 +39,9 @@ def test_runs(spark, name):
 def test_bands_are_equi_joins(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_every_place_is_standardised(spark):
+    got = {(r.run_id, r.pos) for r in catalog.queries()["standardise_every_place"](spark, SF).collect()}
+    runs = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    assert got == {(r.vec_id, pos) for r in runs for pos in range(len(r.embedding))}
