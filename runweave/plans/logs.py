@@ -64,6 +64,12 @@ def tool_calls(spark, d):
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("conv_id").alias("conversations")).where("calls > 20")
 
 
+@query("tool_calls_every_word", "WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) SELECT word, count(*) AS calls, count(DISTINCT conv_id) AS conversations FROM w GROUP BY word")
+def tool_calls_every_word(spark, d):
+    w = tables.table(spark, d, "conversations").select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("conv_id").alias("conversations"))
+
+
 @query("alternation_check", "WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, count(*) FILTER (WHERE role = before) AS repeats, max(turn) + 1 = count(*) AS dense FROM l GROUP BY conv_id")
 def alternation(spark, d):
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))

@@ -1,6 +1,8 @@
 """Every query with SQL gives what DuckDB gives; plans hold no nested loops but the intended ones."""
 
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -45,3 +47,10 @@ def test_every_place_is_standardised(spark):
     got = {(r.run_id, r.pos) for r in catalog.queries()["standardise_every_place"](spark, SF).collect()}
     runs = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     assert got == {(r.vec_id, pos) for r in runs for pos in range(len(r.embedding))}
+
+
+def test_every_word_is_counted(spark):
+    words = Counter(w for r in spark.read.parquet(f"{SF}/conversations.parquet").collect() for w in re.findall("[a-z]+", (r.text or "").lower()))
+    got = {r.word: r.calls for r in catalog.queries()["tool_calls_every_word"](spark, SF).collect()}
+    assert got == words
+    assert min(got.values()) <= 20
