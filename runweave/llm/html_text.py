@@ -1,8 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 A page becomes blocks: text between tags that are not inline. Pass 1 decides each block by what it stands in
-(menus, forms, notices and the like are bad; an article element's own blocks are good), by link density, and
-by length with stop-word density. Pass 2 gives blocks that are too short to decide the label of the nearest
+(menus, forms, notices and the like are bad; an article element's own blocks are good, linked or not), by link
+density, and by length with stop-word density. A class word of the layout around an article doesn't count inside it. Pass 2 gives blocks that are too short to decide the label of the nearest
 decided neighbours: good if both sides, or the only side, are good; headings take that of what follows.
 
 Null or empty html, and pages without good blocks, have an empty text. Repeated rows are extracted each.
@@ -42,11 +42,17 @@ AROUND_WORDS = re.compile(
     re.I,
 )
 
+#: Those of them whose articles are not the page's own.
+OTHERS_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|comment-?list|replies|disqus|respond|related|recommend\w*)(?:$|[\s_-])", re.I)
+
 #: Thresholds of pass 1: share of linked characters, characters, share of stop words.
 MOST_LINKED, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.20, 0.28
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*(?:>|$)", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HREF = re.compile(r"(?:^|[\s/\"])href(?=[\s=/]|$)", re.I)
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,14 +69,14 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     opened: list[tuple[str, str]] = []  # element, what it makes of its content
     parts: list[str] = []
-    state = {"linked": 0, "a": 0, "heading": False}
+    state = {"linked": 0, "a": 0, "closed": False, "heading": False}
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         kinds = {kind for _, kind in opened}
         if text and "none" not in kinds:
             last = max((i for i, x in enumerate(opened) if x[1] == "article"), default=-1)
-            around = any(kind == "around" or kind == "header" and last < i and last < 0 for i, (_, kind) in enumerate(opened))
+            around = any(kind in ("around", "others") or kind == "layout" and last < i or kind == "header" and last < i and last < 0 for i, (_, kind) in enumerate(opened))
             out.append(Block(text, state["linked"], state["heading"], around, last >= 0))
         parts.clear()
         state["linked"] = 0
@@ -95,11 +101,15 @@ def blocks(page: str) -> list[Block]:
             at = close.end() if close else n
             continue
         if name == "a":
-            state["a"] = 0 if tag[1] else 1
+            state["a"] = 0 if tag[1] else int(bool(_HREF.search(_QUOTED.sub('""', tag[3]))))
+            following = _ANCHOR.search(page, at) if state["a"] else None
+            state["closed"] = following is not None and bool(following[1])
         if name == "br":
             parts.append(" ")
         if name not in INLINE:
             flush()
+            if not state["closed"]:  # a link that is never closed ends with its block
+                state["a"] = 0
             state["heading"] = not tag[1] and bool(re.fullmatch("h[1-6]", name))
         if name in VOID:
             continue
@@ -108,11 +118,15 @@ def blocks(page: str) -> list[Block]:
             if place is not None and (name not in INLINE or place == len(opened) - 1):
                 del opened[place:]
         elif name not in ("p", "html", "body", "li", "tr", "td", "th", "dd", "dt", "option") and not (name in INLINE and not tag[3]):
-            kind = ""
+            kind, named = "", [v.strip("\"'") for v in _NAMED.findall(tag[3])] if tag[3] else []
             if name in NOT_TEXT:
                 kind = "none"
-            elif name in AROUND or tag[3] and any(AROUND_WORDS.search(v.strip("\"'")) for v in _NAMED.findall(tag[3])):
+            elif name in AROUND:
                 kind = "around"
+            elif any(OTHERS_WORDS.search(v) for v in named):
+                kind = "others"
+            elif name not in ("article", "main") and any(AROUND_WORDS.search(v) for v in named):
+                kind = "layout"
             elif name == "header":
                 kind = "header"
             elif name in ("article", "main"):
@@ -129,10 +143,10 @@ def first_pass(block: Block, in_article: bool) -> str:
     if block.around or in_article and not block.article:
         return "bad"
     size = len(block.text)
-    if block.linked > MOST_LINKED * size and not (block.article and block.heading):
-        return "bad"
     if block.article:
         return "good"
+    if block.linked > MOST_LINKED * size:
+        return "bad"
     words = _WORD.findall(block.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if size < SHORT:
