@@ -1,11 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
-A page becomes blocks: text between tags that are not inline. Pass 1 decides each block by what it stands in
-(menus, forms, notices and the like are bad; an article element's own blocks are good, linked or not), by link
-density, and by length with stop-word density. A class word of the layout around an article doesn't count inside it. Pass 2 gives blocks that are too short to decide the label of the nearest
-decided neighbours: good if both sides, or the only side, are good; headings take that of what follows.
+A page becomes blocks: text between tags that are not inline. What a block stands in (menus, forms, notices and
+the like; words of class, id and role, but for those of html and body) can only rule it out. Pass 1 decides the
+rest by link density, length and stop-word density. Pass 2 gives blocks that it left open, short ones mostly, the
+label of the nearest decided neighbours; in an article these are found among its own blocks and its ends.
 
-Null or empty html, and pages without good blocks, have an empty text. Repeated rows are extracted each.
+Null or empty html, and pages without good blocks, have an empty text. Repeated rows are extracted each; columns
+other than the ids and the html are left out. Time is linear in the page's length, however deep its elements.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ AROUND_WORDS = re.compile(
 #: Those of them whose articles are not the page's own.
 OTHERS_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|comment-?list|replies|disqus|respond|related|recommend\w*)(?:$|[\s_-])", re.I)
 
-#: Thresholds of pass 1: share of linked characters, characters, share of stop words.
-MOST_LINKED, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.20, 0.28
+#: Thresholds of pass 1: share of linked characters, characters, share of stop words; and the share in a page's words below which its language is none of ours.
+MOST_LINKED, SHORT, LONG, STOP_LOW, FOREIGN = 0.33, 70, 140, 0.20, 0.05
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*(?:>|$)", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -58,33 +59,106 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Block:
+    """A block's text. linked: its linked characters; around: what it stands in rules it out; article: number of its article, or -1."""
+
     text: str
     linked: int
     heading: bool
     around: bool
-    article: bool
+    article: int
+
+
+#: Elements that end others of their kind without an end tag, up to the nearest of the elements named after them. Fixed values.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "td", "th")),
+    "dt": (("dt", "dd"), ("dl", "td", "th")),
+    "dd": (("dt", "dd"), ("dl", "td", "th")),
+    "td": (("td", "th"), ("table",)),
+    "th": (("td", "th"), ("table",)),
+    "tr": (("tr",), ("table",)),
+}
+_LEADING = ("p",), ("table", "td", "th", "button")
+
+
+class Open:
+    """The open elements, with their places by name and by what they make of their content: each step is O(1), however deep."""
+
+    def __init__(self):
+        self.elements: list[tuple[str, str]] = []
+        self.names: dict[str, list[int]] = {}
+        self.kinds: dict[str, list[int]] = {k: [] for k in ("none", "around", "others", "layout", "header", "article")}
+        self.articles: list[int] = []
+        self.n_articles = 0
+
+    def push(self, name: str, kind: str) -> None:
+        self.names.setdefault(name, []).append(len(self.elements))
+        if kind:
+            self.kinds[kind].append(len(self.elements))
+        if kind == "article":
+            self.articles.append(self.n_articles)
+            self.n_articles += 1
+        self.elements.append((name, kind))
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.names[n][-1] for n in names if self.names.get(n)), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at this place and all inside it."""
+        while len(self.elements) > place:
+            name, kind = self.elements.pop()
+            self.names[name].pop()
+            if kind and self.kinds[kind] and self.kinds[kind][-1] == len(self.elements):
+                self.kinds[kind].pop()
+                if kind == "article":
+                    self.articles.pop()
+
+    def end_implied(self, name: str) -> None:
+        for names, bounds in (_LEADING, *([ENDS[name]] if name in ENDS else [])):
+            place = self.last(names)
+            if place > self.last(bounds):
+                self.cut(place)
+
+    def around(self) -> bool:
+        """Whether something that isn't the page's text is open: a layout word only if no article is nearer, a header only outside articles."""
+        article = self.kinds["article"][-1] if self.kinds["article"] else -1
+        layout = self.kinds["layout"]
+        return bool(self.kinds["around"] or self.kinds["others"] or (layout and layout[-1] > article) or (self.kinds["header"] and article < 0))
+
+
+def _kind(name: str, attributes: str) -> str:
+    """What an element makes of its content."""
+    named = [v.strip("\"'") for v in _NAMED.findall(attributes)] if attributes and name not in ("html", "body") else []
+    if name in NOT_TEXT:
+        return "none"
+    if name in AROUND:
+        return "around"
+    if any(OTHERS_WORDS.search(v) for v in named):
+        return "others"
+    if name in ("article", "main"):
+        return "article"
+    if any(AROUND_WORDS.search(v) for v in named):
+        return "layout"
+    return "header" if name == "header" else ""
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    opened: list[tuple[str, str]] = []  # element, what it makes of its content
+    opened = Open()
     parts: list[str] = []
     state = {"linked": 0, "a": 0, "closed": False, "heading": False}
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        kinds = {kind for _, kind in opened}
-        if text and "none" not in kinds:
-            last = max((i for i, x in enumerate(opened) if x[1] == "article"), default=-1)
-            around = any(kind in ("around", "others") or kind == "layout" and last < i or kind == "header" and last < i and last < 0 for i, (_, kind) in enumerate(opened))
-            out.append(Block(text, state["linked"], state["heading"], around, last >= 0))
+        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        if text and not opened.kinds["none"]:
+            out.append(Block(text, state["linked"], state["heading"], opened.around(), opened.articles[-1] if opened.articles else -1))
         parts.clear()
         state["linked"] = 0
 
     def say(text: str) -> None:
-        parts.append(text)
-        if state["a"]:
-            state["linked"] += len(" ".join(text.split()))
+        if text:
+            parts.append(text)
+            if state["a"]:
+                state["linked"] += len(" ".join(text.split()))
 
     at, n = 0, len(page)
     while at < n:
@@ -114,63 +188,83 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if tag[1]:
-            place = next((i for i in reversed(range(len(opened))) if opened[i][0] == name), None)
-            if place is not None and (name not in INLINE or place == len(opened) - 1):
-                del opened[place:]
-        elif name not in ("p", "html", "body", "li", "tr", "td", "th", "dd", "dt", "option") and not (name in INLINE and not tag[3]):
-            kind, named = "", [v.strip("\"'") for v in _NAMED.findall(tag[3])] if tag[3] else []
-            if name in NOT_TEXT:
-                kind = "none"
-            elif name in AROUND:
-                kind = "around"
-            elif any(OTHERS_WORDS.search(v) for v in named):
-                kind = "others"
-            elif name not in ("article", "main") and any(AROUND_WORDS.search(v) for v in named):
-                kind = "layout"
-            elif name == "header":
-                kind = "header"
-            elif name in ("article", "main"):
-                kind = "article"
-                opened[:] = [x for x in opened if x[1] not in ("none",)]  # an element that was never closed
+            place = opened.last((name,))
+            if place >= 0 and (name not in INLINE or place == len(opened.elements) - 1):
+                opened.cut(place)
+        elif name not in INLINE or tag[3]:
+            if name not in INLINE:
+                opened.end_implied(name)
+            kind = _kind(name, tag[3])
+            if kind == "article":
+                opened.kinds["none"].clear()  # elements that were never closed
             if kind or name not in INLINE:
-                opened.append((name, kind))
+                opened.push(name, kind)
     flush()
     return out
 
 
-def first_pass(block: Block, in_article: bool) -> str:
-    """good, bad, or short where the block is too short to decide. in_article: whether the page has an article."""
-    if block.around or in_article and not block.article:
-        return "bad"
-    size = len(block.text)
-    if block.article:
-        return "good"
-    if block.linked > MOST_LINKED * size:
-        return "bad"
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if size < SHORT:
-        return "bad" if block.linked else "short"
-    if density >= STOP_HIGH:
-        return "good" if size >= LONG else "short"
-    return "short" if density >= STOP_LOW and size < LONG else "good" if density >= STOP_LOW else "bad"
-
-
-def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
-    """Whether each block stays."""
-    n = len(labels)
-    before, after = ["bad"] * n, ["bad"] * n
-    for i in range(n):
-        before[i] = labels[i] if labels[i] != "short" else before[i - 1] if i else "bad"
-    for i in reversed(range(n)):
-        after[i] = labels[i] if labels[i] != "short" else after[i + 1] if i + 1 < n else "bad"
-    return [after[i] == "good" if headings[i] and labels[i] == "short" else before[i] == after[i] == "good" for i in range(n)]
+def first_pass(found: list[Block]) -> list[str]:
+    """Of each block good, bad, short (ambiguous) or veto (bad by what it stands in).
+
+    Long blocks with few links and many stop words are good. Outside articles linked blocks and long ones
+    without stop words are bad; inside they're ambiguous like short ones, as all that isn't ruled out is the
+    article's text. Where a page's text has hardly any stop words of ours (another language), length and links decide alone.
+    """
+    words = [_WORD.findall(b.text.lower()) for b in found]
+    known = [sum(w in STOP_WORDS for w in own) for own in words]
+    free = [i for i, b in enumerate(found) if not b.around]
+    foreign = sum(known[i] for i in free) < FOREIGN * sum(len(words[i]) for i in free)
+    out = []
+    for b, own, n_known in zip(found, words, known, strict=True):
+        size, density = len(b.text), n_known / max(1, len(own))
+        if b.around:
+            out.append("veto")
+        elif b.linked > MOST_LINKED * size:
+            out.append("short" if b.article >= 0 else "bad")
+        elif size < SHORT:
+            out.append("short" if b.article >= 0 or not b.linked else "bad")
+        elif density >= STOP_LOW or foreign:
+            out.append("good" if size >= LONG else "short")
+        else:
+            out.append("short" if b.article >= 0 or size < LONG else "bad")
+    return out
+
+
+def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
+    """Whether each block stays: ambiguous ones inherit from the nearest decided blocks of their region.
+
+    An article is a region whose ends are good neighbours and whose vetoed blocks stand beside its text. Outside,
+    vetoed blocks are bad neighbours and the page's ends are none: equal sides (or the only one) decide, else the
+    nearer one, a tie is bad. Headings follow what comes after them. Where an article has a good block, nothing outside articles stays.
+    """
+    n = len(found)
+    inside = any(label == "good" and b.article >= 0 for b, label in zip(found, labels, strict=True))
+    region = [b.article >= 0 for b in found]
+    near: list[list[tuple[str, int]]] = [[("", n)] * n, [("", n)] * n]
+    for side, order in ((0, range(n)), (1, reversed(range(n)))):
+        seen = {True: ("good", -1), False: ("", -1)}
+        for step, i in enumerate(order):
+            label, place = seen[region[i]]
+            near[side][i] = (label, step - place)
+            if labels[i] in ("good", "bad") or labels[i] == "veto" and not region[i]:
+                seen[region[i]] = ("good" if labels[i] == "good" else "bad", step)
+    kept = []
+    for i, label in enumerate(labels):
+        if label == "short":
+            (before, far_before), (after, far_after) = near[0][i], near[1][i]
+            if found[i].heading and after:
+                label = after
+            elif not before or not after or before == after:
+                label = before or after
+            else:
+                label = before if far_before < far_after else after if far_after < far_before else "bad"
+        kept.append(label == "good" and (region[i] or not inside))
+    return kept
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    in_article = any(b.article and not b.around for b in found)
-    kept = second_pass([first_pass(b, in_article) for b in found], [b.heading for b in found])
+    kept = second_pass(found, first_pass(found))
     return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 

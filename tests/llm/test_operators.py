@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from runweave.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_model, licenses, sharding, token_counts, toxicity
+from runweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_model, licenses, sharding, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -290,40 +290,6 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, toxicity.fit(empty, marks)).count() == 0
 
 
-def test_html(spark):
-    page = "<html><head><title>t</title><script>'</p>'</script></head><body><nav><a href=x>menu</a></nav><header>top</header><article><h1>A &amp; B</h1><p>One <b>two\n three<br>four<p>Five</p><aside>note</aside></article><div class=comments><p>" + "it is the best of all " * 9 + "</p></div><footer>&copy;</footer></body></html>"
-    df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p"), (1, "u", page)], "page_id long, url string, html string")
-    got = sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect())
-    assert got == [(1, "A & B\n\nOne two three four\n\nFive")] * 2 + [(2, ""), (3, ""), (4, "")]
-
-
-def test_short_blocks_follow_their_neighbours():
-    long = "<p>" + "The cat is on the mat and it was a good day for all of us. " * 6 + "</p>"
-    assert "Short." in html_text.main_text(f"<div>{long}<p>Short.</p>{long}</div>")
-    assert "Short." not in html_text.main_text(f"<div>{long}</div><p>Short.</p><div class=menu>{long}</div>")
-
-
-def test_linked_blocks_of_an_article_stay():
-    page = "<article><p>See <a href=x>the full report of the committee</a>.</p><ul><li><a href=y>A source</a><li><a href=z>Another</a></ul><nav><a href=n>menu</a></nav></article>"
-    assert html_text.main_text(page) == "See the full report of the committee.\n\nA source\n\nAnother"
-
-
-def test_open_anchors_end_and_links_around_blocks_do_not():
-    long = "The cat is on the mat and it was a good day for all of us. " * 6
-    for opened in ("<a name=top>", "<a id='href=x' name=top>", "<a href=x>"):
-        assert html_text.main_text(f"<div>{opened}<p>{long}</p><p>{long}</p></div>") == "\n\n".join([long.strip()] * 2)
-        assert html_text.main_text(f"<div>{opened}<p>{long}</p><a name=b></a><p>{long}</p></div>") == "\n\n".join([long.strip()] * 2)
-    assert html_text.main_text(f"<div><a href=x><p>{long}</p></a></div>") == ""
-
-
-def test_articles_override_layout_words():
-    for outer in ("<div class='page has-sidebar'>", "<div id=share>", "<div class=overlay>"):
-        assert html_text.main_text(f"{outer}<article><p>One.</p><div class=share>Share it</div></article><p>Two.</p></div>") == "One."
-        assert html_text.main_text(f"{outer}<main><p>One.</p></main></div>") == "One."
-    assert html_text.main_text("<main class=sidebar-right><p>One.</p></main>") == "One."
-    assert html_text.main_text("<article><p>One.</p><div class=comments><article><p>No.</p></article></div></article><article class=comment-body>No.</article><aside><article>No.</article></aside>") == "One."
-
-
 def test_sharding(spark, odd, empty):
     shards = [f"s{k}" for k in range(7)]
     table = sharding.lookup_table(shards, 1_009)
