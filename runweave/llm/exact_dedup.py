@@ -1,14 +1,19 @@
 """Exact dedup in two passes over Bloom filters, with DataFrame functions only.
 
-Pass 1 folds the hash of every normalised text into cells of a first Bloom filter; cells that were hit more
-than once make the second filter, that of the possibly repeated hashes. Pass 2 tests each row against it:
-rows that miss it have no equal and pass straight through, unshuffled; only the rest is grouped by SHA-256.
-The filter's size follows the number of rows up to a fixed most, so its broadcast is bounded: beyond that
-more rows are possibly repeated, none is lost.
+Each whole text is read once: its normalised SHA-256, length and id make a narrow row, and the narrow rows are
+written. Pass 1 folds their hashes into the cells of a first Bloom filter; cells that were hit more than once make
+the second filter, that of the possibly repeated hashes. Pass 2 tests each narrow row against it: rows that miss
+have no equal and pass straight through; only the rest is grouped by SHA-256. The filter grows with the rows.
+A small one is broadcast, a larger one joined by its blocks, which shuffles narrow rows, never texts.
+
+`drop_copies` names the rows that go by file and place there, and takes them out by bitmaps of the places: whole
+texts are never shuffled, at any size. The files are dealt into groups whose bitmaps have a bounded size, and each
+group is read once with its own.
 
 Equal texts are those identical without blanks, tabs and line ends; null counts as empty, and all empty texts
 are equal. The row with most code points, then the smallest id (null smallest) stays. Repeated rows, equal in
-id and length, share that row's verdict in `mark_copies`; `drop_copies` keeps one of them.
+id and length, share that row's verdict in `mark_copies`; `drop_copies` keeps one of them. Extra columns are
+left out by `mark_copies` and kept by `drop_copies`, whatever their names. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -18,12 +23,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Cells of the filters for each row, and the most: 2 ** 30 cells have 2 ** 24 words of 64.
-CELLS_PER_ROW, MOST_CELLS = 16, 1 << 30
-#: Fewest cells; and the most words with a set cell that are broadcast. Beyond it the probe is a shuffled join of hashes.
-LEAST_CELLS, MOST_BROADCAST_WORDS = 1 << 16, 1 << 21
-#: Most groups of equal texts that are broadcast; more are joined by shuffling.
+#: Cells of the filters for each row, and the fewest; a block of 64 cells holds both cells of a hash.
+CELLS_PER_ROW, LEAST_CELLS = 16, 1 << 16
+#: Most blocks of the filter that are broadcast; more are joined with the narrow rows by shuffling.
+MOST_BROADCAST_BLOCKS = 1 << 21
+#: Most groups of equal texts that are broadcast. Of more, those of a thousandth of all rows (at most 1,000 groups) are.
 MOST_BROADCAST_GROUPS = 200_000
+#: Places that a bitmap covers (fixed by Spark), and most bitmaps (of 4 KB) that are broadcast at once.
+PLACES, MOST_BITMAPS = 32_768, 16_384
 
 _BLANKS = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 
@@ -34,71 +41,97 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def repeated_cells(hashes: DataFrame, cells: int) -> DataFrame:
-    """(word, bits): the second Bloom filter, whose set bits are cells that more than one hash fell into."""
-    slots = hashes.select(F.explode(F.array(*_slots(F.col("h"), cells))).alias("slot"))
-    often = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
-    return often.groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits"))
+def _block(h: Column, blocks: int) -> Column:
+    return F.pmod(h, F.lit(blocks))
 
 
-def _slots(h: Column, cells: int) -> list[Column]:
-    """A cell in either half of the filter."""
-    return [F.pmod(h, F.lit(cells // 2)), F.pmod(F.xxhash64(h), F.lit(cells // 2)) + cells // 2]
+def _cells(h: Column) -> list[Column]:
+    """Two cells of a hash's block; they come from other bits than the block."""
+    other = F.xxhash64(h)
+    return [F.pmod(other, F.lit(64)).cast("int"), F.pmod(F.shiftright(other, 32), F.lit(64)).cast("int")]
 
 
-def possibly_repeated(docs: DataFrame, text: Column) -> DataFrame:
-    """The rows with the columns __h and __maybe: false only if no other text is equal."""
-    hashed = docs.withColumn("__h", F.xxhash64(normalised(text)))
-    rows = docs.count()
-    cells = LEAST_CELLS
-    while cells < min(MOST_CELLS, CELLS_PER_ROW * rows):
-        cells *= 2
-    words = common.materialise(repeated_cells(hashed.select(F.col("__h").alias("h")), cells))
-    small = words.count() <= MOST_BROADCAST_WORDS
-    for i, slot in enumerate(_slots(F.col("__h"), cells)):
-        side = words.select(F.col("word").alias(f"__w{i}"), F.col("bits").alias(f"__b{i}"))
-        hashed = hashed.withColumn(f"__s{i}", slot)
-        hashed = hashed.join(F.broadcast(side) if small else side, (F.col(f"__s{i}") / 64).cast("long") == F.col(f"__w{i}"), "left")
-    hit = [F.coalesce(F.getbit(f"__b{i}", (F.col(f"__s{i}") % 64).cast("int")) == 1, F.lit(False)) for i in (0, 1)]
-    return hashed.withColumn("__maybe", hit[0] & hit[1]).drop(*(f"__{c}{i}" for c in "wbs" for i in (0, 1)))
+def repeated_cells(hashes: DataFrame, blocks: int) -> DataFrame:
+    """(block, bits): the second Bloom filter, whose set bits are cells that more than one row's hash fell into."""
+    h = F.col("h")
+    first, second = _cells(h)
+    hit = hashes.select(_block(h, blocks).alias("block"), F.explode(F.array_distinct(F.array(first, second))).alias("cell"))
+    often = hit.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return often.groupBy("block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell"))).alias("bits"))
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows without an equal; the others; and, of each text with several rows, the row that stays (__l: -length, __i: id) and __n rows.
+def possibly_repeated(narrow: DataFrame) -> DataFrame:
+    """The narrow rows (which have a hash h) with the column maybe: false only if no other row has this hash."""
+    rows = narrow.count()
+    blocks = max(LEAST_CELLS, CELLS_PER_ROW * rows) // 64
+    filter_ = common.materialise(repeated_cells(narrow.select("h"), blocks))
+    side = filter_.select(F.col("block").alias("of_filter"), "bits")
+    side = F.broadcast(side) if filter_.count() <= MOST_BROADCAST_BLOCKS else side
+    probed = narrow.join(side, _block(F.col("h"), blocks) == F.col("of_filter"), "left")
+    hit = [F.getbit("bits", cell) == 1 for cell in _cells(F.col("h"))]
+    return probed.withColumn("maybe", F.coalesce(hit[0] & hit[1], F.lit(False))).drop("of_filter", "bits")
 
-    The groups are written first, so that the join with them has no aggregation of its own: small ones are
-    broadcast, else Spark can split a hot text's rows over several tasks.
-    """
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, sha, len, h, ...) of each row, from its whole text, written."""
     text = common.text_of(text_col)
-    rows = possibly_repeated(docs, text)
-    digest = F.sha2(normalised(text), 256).alias("__sha")
-    alone = rows.where(~F.col("__maybe")).select(*keep, digest)
-    shared = rows.where("__maybe").select(*keep, digest, (-F.char_length(text)).alias("__len"), F.col(id_col).alias("__id"))
-    groups = shared.groupBy("__sha").agg(F.min(F.struct("__len", "__id")).alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    groups = common.materialise(groups.select(F.col("__sha").alias("__s"), F.col("__keep.__len").alias("__l"), F.col("__keep.__id").alias("__i"), "__n"))
-    return alone, shared, F.broadcast(groups) if groups.count() <= MOST_BROADCAST_GROUPS else groups
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(text), 256)).alias("sha"), F.char_length(text).alias("len"), *more)
+    return common.materialise(rows.withColumn("h", F.xxhash64("sha")))
+
+
+def _groups(shared: DataFrame, *order: str) -> DataFrame:
+    """(of, keep, n) of each text that several rows have: the least row in this order, and how many there are. Written."""
+    groups = shared.groupBy("sha").agg(F.min(F.struct((-F.col("len")).alias("len"), *order)).alias("keep"), F.count(F.lit(1)).alias("n"))
+    return common.materialise(groups.where("n > 1").withColumnRenamed("sha", "of"))
+
+
+def _with_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each row with its group, if it has one. Groups of very many rows are broadcast, so no key is hot where rows are shuffled."""
+    if groups.count() <= MOST_BROADCAST_GROUPS:
+        return shared.join(F.broadcast(groups), F.col("sha") == F.col("of"), "left")
+    least = shared.count() / 1_000
+    hot = groups.where(F.col("n") >= least)
+    cold = shared.join(F.broadcast(hot.select("of")), F.col("sha") == F.col("of"), "left_anti")
+    return shared.join(F.broadcast(hot), F.col("sha") == F.col("of")).unionByName(cold.join(groups.where(F.col("n") < least), F.col("sha") == F.col("of"), "left"))
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) of every row."""
-    alone, shared, groups = _split(docs.select(id_col, text_col), id_col, text_col, [id_col])
-    one = alone.select(id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
-    single = F.col("__s").isNull()
-    kept = single | (F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__len") == F.col("__l")))
-    keep_id = F.when(single, F.col("__id")).otherwise(F.col("__i"))
-    more = shared.join(groups, F.col("__sha") == F.col("__s"), "left")
-    more = more.select(id_col, keep_id.alias("keep_id"), F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.col("__sha").alias("text_sha256"))
-    return one.unionByName(more)
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each text, with all its columns; rows without an equal are not shuffled."""
-    alone, shared, groups = _split(docs, id_col, text_col, docs.columns)
-    more = shared.join(groups, F.col("__sha") == F.col("__s"), "left")
-    once = more.where(F.col("__s").isNull())
-    first = more.where(F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__len") == F.col("__l"))).dropDuplicates(["__sha"])
-    return alone.select(docs.columns).unionByName(once.select(docs.columns)).unionByName(first.select(docs.columns))
+    """(id, keep_id, group_size, kept, text_sha256) of every row. Texts are read once and never shuffled."""
+    rows = possibly_repeated(_narrow(docs, id_col, text_col))
+    digest = F.lower(F.hex("sha")).alias("text_sha256")
+    alone = rows.where(~F.col("maybe")).select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
+    shared = rows.where("maybe")
+    more = _with_groups(shared, _groups(shared, "id"))
+    single = F.col("of").isNull()
+    kept = single | (F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("len") == -F.col("keep.len")))
+    keep_id = F.when(single, F.col("id")).otherwise(F.col("keep.id"))
+    return alone.unionByName(more.select(F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), digest))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """One row of each text, with all its columns; no row is shuffled.
+
+    stored: whether docs is a plain read of Parquet files, whose rows have a place that stays; else it is written first.
+    """
+    if not stored:
+        docs = common.materialise(docs)
+    file, place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
+    shared = possibly_repeated(_narrow(docs, id_col, text_col, file, place)).where("maybe")
+    found = _with_groups(shared, _groups(shared, "id", "file", "place"))
+    gone = found.where(F.col("of").isNotNull() & ~((F.col("file") == F.col("keep.file")) & (F.col("place") == F.col("keep.place"))))
+    bitmaps = gone.groupBy("file", F.floor(F.col("place") / PLACES).alias("part")).agg(F.bitmap_construct_agg(F.col("place") % PLACES).alias("places"))
+    bitmaps = common.materialise(bitmaps.select(F.col("file").alias("of_file"), "part", "places"))
+    n_groups = -(-2 * bitmaps.count() // MOST_BITMAPS) or 1
+    out = None
+    for k in range(n_groups):
+        own = docs.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(n_groups)) == k) if n_groups > 1 else docs
+        side = bitmaps.where(F.pmod(F.xxhash64("of_file"), F.lit(n_groups)) == k) if n_groups > 1 else bitmaps
+        rows = own.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), file, place)
+        rows = rows.join(F.broadcast(side), (F.col("file") == F.col("of_file")) & (F.floor(F.col("place") / PLACES) == F.col("part")), "left")
+        byte = F.conv(F.hex(F.substring("places", ((F.col("place") % PLACES) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        rows = rows.where(F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")), F.lit(0)) == 0).select("row.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

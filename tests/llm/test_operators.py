@@ -59,7 +59,7 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def test_exact_dedup(odd, docs, empty):
+def test_exact_dedup(spark, odd, docs, empty, tmp_path):
     for df in (odd, docs):
         rows = df.select("doc_id", "text").collect()
         groups = {}
@@ -72,9 +72,36 @@ def test_exact_dedup(odd, docs, empty):
         got = [tuple(r) for r in exact_dedup.mark_copies(df).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert exact_dedup.mark_copies(empty).count() == 0
-    kept = exact_dedup.drop_copies(odd)
-    assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([3, 4, 6, 7, 8, 9, 10, 11, None])
+    assert exact_dedup.drop_copies(empty).count() == 0
+    for stored in (False, True):
+        df = odd
+        if stored:
+            df.write.mode("overwrite").parquet(str(tmp_path / "odd"))
+            df = spark.read.parquet(str(tmp_path / "odd"))
+        kept = exact_dedup.drop_copies(df, stored=stored)
+        assert kept.columns == odd.columns
+        assert Counter(r.doc_id for r in kept.collect()) == Counter([3, 4, 6, 7, 8, 9, 10, 11, None])
+        assert all(r[c] == "clash" for r in kept.collect() for c in CLASH)
+
+
+def plan_of(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+def test_exact_dedup_beyond_each_bound(spark, docs, tmp_path, monkeypatch):
+    want = sorted(map(repr, exact_dedup.mark_copies(docs).collect()))
+    docs.repartition(5, "doc_id").write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    kept = sorted(map(repr, exact_dedup.drop_copies(stored, stored=True).collect()))
+    assert len(kept) == docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")).distinct().count()
+    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST_BLOCKS", 0)
+    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(exact_dedup, "MOST_BITMAPS", 3)
+    assert sorted(map(repr, exact_dedup.mark_copies(docs).collect())) == want
+    out = exact_dedup.drop_copies(stored, stored=True)
+    assert sorted(map(repr, out.collect())) == kept
+    plan = plan_of(out)
+    assert "Exchange" not in plan.replace("BroadcastExchange", "") and plan.count("Scan parquet") >= 4
 
 
 def test_decontamination(spark, odd, docs, empty):
