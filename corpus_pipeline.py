@@ -20,7 +20,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, white space aside."""
-    return exact_dedup.drop_copies(docs)
+    return exact_dedup.drop_copies(docs, stored=bool(docs.inputFiles()))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
