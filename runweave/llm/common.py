@@ -41,6 +41,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows from now on: with long texts or sets, Spark's default of 10,000 rows takes hundreds of MB on either side."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -66,6 +74,37 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def address() -> list[Column]:
+    """(file, place) of the rows of a table that is a plain read of Parquet files."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
+
+
+#: Places that a bitmap covers (fixed by Spark), and most bitmaps (of 4 KB) that are broadcast at once.
+PLACES, MOST_BITMAPS = 32_768, 16_384
+
+
+def at_places(docs: DataFrame, rows: DataFrame, kept: bool, *more: Column) -> DataFrame:
+    """The rows of docs, a plain read of Parquet files, that stand (kept) or don't stand in rows (file, place), with the columns `more`.
+
+    No row of docs is shuffled: rows become bitmaps of places, and the files are dealt into groups whose bitmaps
+    have a bounded size; each group is read once, with its own bitmaps broadcast.
+    """
+    bitmaps = rows.groupBy("file", F.floor(F.col("place") / PLACES).alias("part")).agg(F.bitmap_construct_agg(F.col("place") % PLACES).alias("places"))
+    bitmaps = materialise(bitmaps.select(F.col("file").alias("of_file"), "part", "places"))
+    n_groups = -(-2 * bitmaps.count() // MOST_BITMAPS) or 1
+    out = None
+    for k in range(n_groups):
+        own = docs.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(n_groups)) == k) if n_groups > 1 else docs
+        side = bitmaps.where(F.pmod(F.xxhash64("of_file"), F.lit(n_groups)) == k) if n_groups > 1 else bitmaps
+        found = own.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns], *more).alias("row"), *address())
+        here = (F.col("file") == F.col("of_file")) & (F.floor(F.col("place") / PLACES) == F.col("part"))
+        found = found.join(F.broadcast(side), here, "inner" if kept else "left")
+        byte = F.conv(F.hex(F.substring("places", ((F.col("place") % PLACES) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        found = found.where(F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")), F.lit(0)) == int(kept)).select("row.*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters the bits of 64-bit hashes."""
     x = x ^ (x >> np.uint64(33))

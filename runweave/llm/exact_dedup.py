@@ -7,8 +7,7 @@ have no equal and pass straight through; only the rest is grouped by SHA-256. Th
 A small one is broadcast, a larger one joined by its blocks, which shuffles narrow rows, never texts.
 
 `drop_copies` names the rows that go by file and place there, and takes them out by bitmaps of the places: whole
-texts are never shuffled, at any size. The files are dealt into groups whose bitmaps have a bounded size, and each
-group is read once with its own.
+texts are never shuffled, at any size.
 
 Equal texts are those identical without blanks, tabs and line ends; null counts as empty, and all empty texts
 are equal. The row with most code points, then the smallest id (null smallest) stays. Repeated rows, equal in
@@ -29,8 +28,6 @@ CELLS_PER_ROW, LEAST_CELLS = 16, 1 << 16
 MOST_BROADCAST_BLOCKS = 1 << 21
 #: Most groups of equal texts that are broadcast. Of more, those of a thousandth of all rows (at most 1,000 groups) are.
 MOST_BROADCAST_GROUPS = 200_000
-#: Places that a bitmap covers (fixed by Spark), and most bitmaps (of 4 KB) that are broadcast at once.
-PLACES, MOST_BITMAPS = 32_768, 16_384
 
 _BLANKS = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 
@@ -115,23 +112,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not stored:
         docs = common.materialise(docs)
-    file, place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
-    shared = possibly_repeated(_narrow(docs, id_col, text_col, file, place)).where("maybe")
+    shared = possibly_repeated(_narrow(docs, id_col, text_col, *common.address())).where("maybe")
     found = _with_groups(shared, _groups(shared, "id", "file", "place"))
     gone = found.where(F.col("of").isNotNull() & ~((F.col("file") == F.col("keep.file")) & (F.col("place") == F.col("keep.place"))))
-    bitmaps = gone.groupBy("file", F.floor(F.col("place") / PLACES).alias("part")).agg(F.bitmap_construct_agg(F.col("place") % PLACES).alias("places"))
-    bitmaps = common.materialise(bitmaps.select(F.col("file").alias("of_file"), "part", "places"))
-    n_groups = -(-2 * bitmaps.count() // MOST_BITMAPS) or 1
-    out = None
-    for k in range(n_groups):
-        own = docs.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(n_groups)) == k) if n_groups > 1 else docs
-        side = bitmaps.where(F.pmod(F.xxhash64("of_file"), F.lit(n_groups)) == k) if n_groups > 1 else bitmaps
-        rows = own.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), file, place)
-        rows = rows.join(F.broadcast(side), (F.col("file") == F.col("of_file")) & (F.floor(F.col("place") / PLACES) == F.col("part")), "left")
-        byte = F.conv(F.hex(F.substring("places", ((F.col("place") % PLACES) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        rows = rows.where(F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")), F.lit(0)) == 0).select("row.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return common.at_places(docs, gone, kept=False)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
