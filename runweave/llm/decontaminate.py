@@ -3,11 +3,13 @@
 Each slice of an Arrow batch is a shard. Its words that occur in the benchmark form runs; a compressed
 text of these runs gets a suffix array, a Burrows-Wheeler transform in a wavelet matrix, and sampled suffix
 positions. All benchmark windows are searched backwards at once; occurrences are located by walking to a
-sampled position, and overlapping ones merge into removal spans. Nothing is shuffled: the benchmark goes to
-every task, in blocks of a bounded number of words, and each block adds to the spans of the one before.
+sampled position, and overlapping ones merge into removal spans. Nothing is shuffled where the benchmark is one
+block. A larger one is searched block after block, each fetched, sent to the tasks and let go alone; what each
+finds is written by file and place of the row, and only these finds meet by a shuffle.
 
 Null and empty texts have no words and no spans. Items without words or without an id are never found.
-Repeated rows are each searched. Extra columns are left out by `find_spans`, kept by `drop_contaminated`.
+Repeated rows are each searched. Extra columns are left out by `find_spans`, kept by `drop_contaminated`,
+whatever their names. Empty tables give empty results, an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -25,29 +27,36 @@ from .common import ALNUM, Words
 WINDOW = 13
 SHARD_BYTES = 1 << 20
 SAMPLE_RATE = 16
-#: Most benchmark text, in bytes, that goes to the tasks at once; a larger benchmark is searched in blocks.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text, in bytes, that a block holds (or one item); a larger benchmark is searched in blocks.
+BLOCK_BYTES = 8 << 20
 
 SPANS = "spans array<struct<first_word:long,last_word:long,start:long,end:long>>, items array<string>"
 
 
 class Phrases:
-    """Windows of a block of benchmark items, over the ids 1, 2, ... of their words."""
+    """Windows of a block of benchmark items, over the ids 1, 2, ... of their words.
+
+    sets: for each length the distinct windows, and of window p the items, which are owners[begin[p]:begin[p + 1]].
+    """
 
     def __init__(self, rows: list[tuple[str, str]], window: int):
         words = Words(pa.array([text for _, text in rows], pa.string()), ALNUM)
         self.vocabulary, symbols = np.unique(words.hash, return_inverse=True)
-        owners: dict[tuple, set[str]] = {}
-        for i, (item, _) in enumerate(rows):
-            own = symbols[words.first[i] : words.first[i + 1]] + 1
-            n = min(window, len(own))
-            for k in range(len(own) - n + 1 if n else 0):
-                owners.setdefault(tuple(own[k : k + n].tolist()), set()).add(item)
-        by_length: dict[int, list[tuple]] = {}
-        for phrase in owners:
-            by_length.setdefault(len(phrase), []).append(phrase)
-        self.sets = [(n, np.array(phrases, np.int64), [sorted(owners[p]) for p in phrases]) for n, phrases in sorted(by_length.items())]
-        self.shortest = min(by_length, default=0)
+        symbols = (symbols + 1).astype(np.int32)
+        self.items = np.array([item for item, _ in rows], object)
+        sizes = np.minimum(np.diff(words.first), window)
+        self.sets = []
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == n)
+            counts = words.first[own + 1] - words.first[own] - n + 1
+            item = np.repeat(own, counts)
+            start = np.arange(counts.sum()) + np.repeat(words.first[own] - np.cumsum(counts) + counts, counts)
+            matrix = symbols[start[:, None] + np.arange(n)]
+            _, at, phrase = np.unique(matrix.view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(phrase.astype(np.int64) * len(rows) + item)
+            begin = np.searchsorted(pairs // len(rows), np.arange(len(at) + 1))
+            self.sets.append((n, matrix[at], begin, pairs % len(rows)))
+        self.shortest = min((n for n, *_ in self.sets), default=0)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -134,8 +143,8 @@ class FMIndex:
         return out
 
 
-def occurrences(words: Words, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[list[str]]]]:
-    """(first word of each occurrence, words in it, number of its phrase, items of each phrase) by length of phrase."""
+def occurrences(words: Words, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word of each occurrence, words in it, number of its phrase, begin and owners as in Phrases) by length of phrase."""
     if not phrases.sets or not len(words):
         return
     symbols = phrases.symbols(words.hash)
@@ -151,27 +160,28 @@ def occurrences(words: Words, phrases: Phrases) -> Iterator[tuple[np.ndarray, in
     text = symbols[np.minimum(places, len(symbols) - 1)]
     text[np.cumsum(sizes + 1) - 1] = 0
     index = FMIndex(text, len(phrases.vocabulary))
-    for n, matrix, items in phrases.sets:
+    for n, matrix, begin, owners in phrases.sets:
         found, low, high = index.search(matrix)
         if len(found):
             counts = high - low
             rows = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            yield places[index.locate(rows)], n, np.repeat(found, counts), items
+            yield places[index.locate(rows)], n, np.repeat(found, counts), begin, owners
 
 
-def merge(words: Words, phrases: Phrases, spans: list, items: list, n_docs: int) -> tuple[list, list]:
-    """Adds this block's occurrences to the spans and items of each document."""
+def find(words: Words, phrases: Phrases, n_docs: int) -> tuple[list, list]:
+    """Spans and items of each document."""
     delta = np.zeros(len(words) + 1, np.int64)
-    owners: list[set[str]] = [set(x or ()) for x in items]
-    for first, n, phrase, names in occurrences(words, phrases):
+    names: list[list[str]] = [[] for _ in range(n_docs)]
+    pairs = []
+    for first, n, phrase, begin, owners in occurrences(words, phrases):
         np.add.at(delta, first, 1)
         np.add.at(delta, first + n, -1)
-        for doc, p in np.unique(np.stack([words.doc[first], phrase], 1), axis=0).tolist():
-            owners[doc].update(names[p])
-    for i, old in enumerate(spans):
-        for s in old or ():
-            delta[words.first[i] + s["first_word"]] += 1
-            delta[words.first[i] + s["last_word"] + 1] -= 1
+        seen = np.unique(np.stack([words.doc[first], phrase], 1), axis=0)
+        counts = begin[seen[:, 1] + 1] - begin[seen[:, 1]]
+        item = owners[np.arange(counts.sum()) + np.repeat(begin[seen[:, 1]] - np.cumsum(counts) + counts, counts)]
+        pairs.append(np.stack([np.repeat(seen[:, 0], counts), item], 1))
+    for doc, item in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
+        names[doc].append(phrases.items[item])
     hit = np.cumsum(delta[:-1]) > 0
     border = np.concatenate([[True], words.doc[1:] != words.doc[:-1]]) if len(words) else np.zeros(0, bool)
     heads = np.flatnonzero(hit & (border | ~np.concatenate([[False], hit[:-1]]))) if len(words) else np.zeros(0, int)
@@ -181,24 +191,21 @@ def merge(words: Words, phrases: Phrases, spans: list, items: list, n_docs: int)
         doc = int(words.doc[h])
         base, at = int(words.first[doc]), int(words.at[doc])
         out[doc].append({"first_word": h - base, "last_word": t - base, "start": int(words.start[h]) - at, "end": int(words.end[t]) - at})
-    return out, [sorted(x) for x in owners]
+    return out, [sorted(set(x)) for x in names]
 
 
-def _searcher(phrases: Phrases, text_col: str, kept: int):
-    """Adds or widens spans and items; `kept` columns stand before n_words."""
+def _searcher(phrases: Phrases, every: bool, names: list[str]):
+    """The columns before the text, which is the last one, with n_words, spans and items: of every document, or of those with a span."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(batch.num_columns - 1)
             for a, b in common.slices(texts, SHARD_BYTES):
-                part = batch.slice(a, b - a)
                 words = Words(texts.slice(a, b - a), ALNUM)
-                old = part.num_columns > kept
-                spans = part.column(kept + 1).to_pylist() if old else [[]] * (b - a)
-                items = part.column(kept + 2).to_pylist() if old else [[]] * (b - a)
-                spans, items = merge(words, phrases, spans, items, b - a)
+                spans, items = find(words, phrases, b - a)
                 new = [pa.array(np.diff(words.first)), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *new], [*part.schema.names[:kept], "n_words", "spans", "items"])
+                out = pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *new], [*names, "n_words", "spans", "items"])
+                yield out if every else out.filter(pa.array([bool(x) for x in spans], pa.bool_()))
 
     return search
 
@@ -206,15 +213,41 @@ def _searcher(phrases: Phrases, text_col: str, kept: int):
 _SPAN_TYPE = pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "last_word", "start", "end")]))
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[Phrases]:
-    """The benchmark in blocks of at most BLOCK_BYTES (or one item), each fetched alone."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), common.text_of(text_col).alias("text")).where("item IS NOT NULL AND text <> ''")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(size // BLOCK_BYTES) + 1
-    if n == 1:
-        return [Phrases([tuple(r) for r in items.collect()], window)]
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [Phrases([(r.item, r.text) for r in dealt.where(F.col("block") == k).select("item", "text").collect()], window) for k in range(n)]
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[int, Iterator[Phrases]]:
+    """How many blocks of about BLOCK_BYTES (or one item) the benchmark has, and the blocks, each fetched when it is asked for."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), common.text_of(text_col).alias("text")).where("item IS NOT NULL AND text <> ''").distinct()
+    n = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
+    return n, (Phrases([tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()], window) for k in range(n))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and items of a row from all blocks: overlapping and adjoining spans become one."""
+    for batch in batches:
+        spans, items = [], []
+        for found in batch.column(2).to_pylist():
+            out: list[dict] = []
+            for s in sorted((s for f in found for s in f["spans"]), key=lambda s: (s["first_word"], s["last_word"])):
+                if out and s["first_word"] <= out[-1]["last_word"] + 1:
+                    if s["last_word"] > out[-1]["last_word"]:
+                        out[-1] |= {"last_word": s["last_word"], "end": s["end"]}
+                else:
+                    out.append(dict(s))
+            spans.append(out)
+            items.append(sorted({i for f in found for i in f["items"]}))
+        new = [batch.column(3), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *new], ["file", "place", "n_words", "spans", "items"])
+
+
+def _finds(docs: DataFrame, blocks: Iterator[Phrases], text_col: str) -> DataFrame:
+    """(file, place, n_words, spans, items) of the rows with a span; docs is a plain read of Parquet files, of which each block makes one pass."""
+    kinds, out = "file string, place long", None
+    rows = docs.select(*common.address(), common.text_of(text_col).alias("text"))
+    for phrases in blocks:
+        found = common.materialise(rows.mapInArrow(_searcher(phrases, False, ["file", "place"]), f"{kinds}, n_words long, {SPANS}"))
+        out = found if out is None else out.unionByName(found)
+    grouped = out.groupBy("file", "place").agg(F.collect_list(F.struct("spans", "items")).alias("found"), F.first("n_words").alias("n_words"))
+    grouped = common.materialise(grouped)  # of a row, one list for each block
+    return grouped.select("file", "place", "found", "n_words").mapInArrow(_merged, f"{kinds}, n_words long, {SPANS}")
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -222,11 +255,26 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     A window is `window` consecutive words of an item; an item of fewer words is one window. Texts are whole.
     """
-    own = f"{id_col} {dict(docs.dtypes)[id_col]}, text string"
-    found = docs.select(id_col, common.text_of(text_col).alias("text"))
-    for phrases in benchmark_blocks(benchmark, item_col, text_col, window):
-        found = found.mapInArrow(_searcher(phrases, "text", 2), f"{own}, n_words long, {SPANS}")
-    return found.drop("text")
+    kind = dict(docs.dtypes)[id_col]
+    n, blocks = benchmark_blocks(benchmark, item_col, text_col, window)
+    texts = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
+    if n == 1:
+        found = texts.mapInArrow(_searcher(next(blocks), True, ["id"]), f"id {kind}, n_words long, {SPANS}")
+    else:
+        texts = common.materialise(texts)
+        places = _finds(texts, blocks, "text").select(F.col("file").alias("f"), F.col("place").alias("p"), "spans", "items")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in common.slices(batch.column(3), SHARD_BYTES):
+                    n_words = pa.array(np.diff(Words(batch.column(3).slice(a, b - a), ALNUM).first))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:3], n_words], ["id", "file", "place", "n_words"])
+
+        rows = texts.select("id", *common.address(), "text").mapInArrow(count, f"id {kind}, file string, place long, n_words long")
+        rows = rows.join(places, (F.col("file") == F.col("f")) & (F.col("place") == F.col("p")), "left")
+        empty = {c: F.coalesce(c, F.array().cast(places.schema[c].dataType)).alias(c) for c in ("spans", "items")}
+        found = rows.select("id", "n_words", empty["spans"], empty["items"])
+    return found.withColumnRenamed("id", id_col)
 
 
 def contamination(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -242,24 +290,30 @@ def contamination(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, unchanged, with all their columns. Nothing is shuffled."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, stored: bool = False) -> DataFrame:
+    """The documents that are not contaminated, unchanged, with all their columns. No document is shuffled.
+
+    stored: whether docs is a plain read of Parquet files; else it is written first where the benchmark has several blocks.
+    """
     common.small_batches(docs.sparkSession)
-    blocks, schema = benchmark_blocks(benchmark, item_col, text_col, window), docs.schema
+    n, blocks = benchmark_blocks(benchmark, item_col, text_col, window)
+    if n > 1:
+        docs = docs if stored else common.materialise(docs)
+        found = _finds(docs, blocks, text_col)
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
+        return common.at_places(docs, found.where(20 * n_hit >= F.col("n_words")), kept=False)
+    phrases, schema = next(blocks), docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
-            rest = batch.select([n for n in batch.schema.names if n != "__text"])
+            texts, rest = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
             for a, b in common.slices(texts, SHARD_BYTES):
                 words = Words(texts.slice(a, b - a), ALNUM)
-                spans, items = [[]] * (b - a), [[]] * (b - a)
-                for phrases in blocks:
-                    spans, items = merge(words, phrases, spans, items, b - a)
+                spans, _ = find(words, phrases, b - a)
                 hits = np.array([sum(s["last_word"] - s["first_word"] + 1 for s in own) for own in spans])
                 yield rest.slice(a, b - a).filter(pa.array((hits == 0) | (20 * hits < np.diff(words.first))))
 
-    return docs.withColumn("__text", common.text_of(text_col)).mapInArrow(clean, schema)
+    return docs.withColumn(common.free_name(docs, "text"), common.text_of(text_col)).mapInArrow(clean, schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

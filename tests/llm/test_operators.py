@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from runweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_model, licenses, sharding, token_counts, toxicity
+from runweave.llm import byte_bpe, common, decontaminate, exact_dedup, jaccard_join, language_model, licenses, sharding, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns named as the operators' own.
-CLASH = ["node", "id", "spans", "__h", "n_words", "score"]
+CLASH = ["node", "id", "spans", "__h", "__text", "text_", "file", "place", "row", "sha", "maybe", "n_words", "score"]
 
 
 def lower(text):
@@ -96,7 +96,7 @@ def test_exact_dedup_beyond_each_bound(spark, docs, tmp_path, monkeypatch):
     assert len(kept) == docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")).distinct().count()
     monkeypatch.setattr(exact_dedup, "MOST_BROADCAST_BLOCKS", 0)
     monkeypatch.setattr(exact_dedup, "MOST_BROADCAST_GROUPS", 0)
-    monkeypatch.setattr(exact_dedup, "MOST_BITMAPS", 3)
+    monkeypatch.setattr(common, "MOST_BITMAPS", 3)
     assert sorted(map(repr, exact_dedup.mark_copies(docs).collect())) == want
     out = exact_dedup.drop_copies(stored, stored=True)
     assert sorted(map(repr, out.collect())) == kept
@@ -127,15 +127,22 @@ def test_decontamination(spark, odd, docs, empty):
             assert y.items_sha256 == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
     clean = decontaminate.drop_contaminated(odd, bench)
     assert clean.columns == odd.columns and {r.doc_id for r in clean.collect()} == {1, 2, 3, 7, 9, 10, 11, None}
+    assert all(r[c] == "clash" for r in clean.collect() for c in CLASH)
     assert decontaminate.find_spans(empty, bench).count() == 0
     assert decontaminate.find_spans(odd, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
-def test_blocks_of_a_large_benchmark_add_up(spark, docs, monkeypatch):
+def test_blocks_of_a_large_benchmark_add_up(spark, docs, odd, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    whole = by_id(decontaminate.find_spans(docs, bench))
+    whole, clean = by_id(decontaminate.find_spans(docs, bench)), sorted(map(repr, decontaminate.drop_contaminated(docs, bench).collect()))
+    assert any(r.spans for r in whole.values()) and len(clean) < len(whole)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2_000)
     assert by_id(decontaminate.find_spans(docs, bench)) == whole
+    for stored in (False, True):
+        assert sorted(map(repr, decontaminate.drop_contaminated(docs, bench, stored=stored).collect())) == clean
+    few = spark.createDataFrame([("i1", "one two"), ("i2", "word " * 900), ("i3", "under the mit license")], "item_id string, text string")
+    kept = decontaminate.drop_contaminated(odd, few).collect()
+    assert {r.doc_id for r in kept} == {1, 2, 3, 7, 9, 10, 11, None} and all(r[c] == "clash" for r in kept for c in CLASH)
 
 
 def test_suffix_array_and_search():
@@ -313,7 +320,9 @@ def test_toxicity(spark, odd, empty):
     test = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((got[i].score >= 0.5) == (i % 6 == 0) for i in test) >= 0.97 * len(test)
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
-    assert toxicity.drop_toxic(odd, model).columns == odd.columns
+    kept = toxicity.drop_toxic(odd, model)
+    assert kept.columns == odd.columns and all(r[c] == "clash" for r in kept.collect() for c in CLASH)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in toxicity.score(odd, model).collect() if r.score < 0.5)
     assert toxicity.score(empty, toxicity.fit(empty, marks)).count() == 0
 
 
