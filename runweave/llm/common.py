@@ -105,6 +105,24 @@ def at_places(docs: DataFrame, rows: DataFrame, kept: bool, *more: Column) -> Da
     return out
 
 
+#: Most keys that are broadcast whole; of more, those of a thousandth of all rows (at most 1,000 keys) are.
+MOST_BROADCAST_KEYS = 200_000
+
+
+def join_keys(rows: DataFrame, side: DataFrame, key: str, side_key: str, n: str, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) with side, a stored table with one row for each key, and in column n how many rows have it.
+
+    Few keys are broadcast. Of many, those of very many rows are, so that no key is hot where the others are shuffled.
+    """
+    on = F.col(key) == F.col(side_key)
+    size = side.agg(F.count(F.lit(1)), F.sum(n)).first()
+    if size[0] <= MOST_BROADCAST_KEYS:
+        return rows.join(F.broadcast(side), on, how)
+    hot = F.col(n) >= max(2, size[1] / 1_000)
+    cold = rows.join(F.broadcast(side.where(hot).select(side_key)), on, "left_anti")
+    return rows.join(F.broadcast(side.where(hot)), on).unionByName(cold.join(side.where(~hot), on, how))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters the bits of 64-bit hashes."""
     x = x ^ (x >> np.uint64(33))

@@ -26,8 +26,6 @@ from . import common
 CELLS_PER_ROW, LEAST_CELLS = 16, 1 << 16
 #: Most blocks of the filter that are broadcast; more are joined with the narrow rows by shuffling.
 MOST_BROADCAST_BLOCKS = 1 << 21
-#: Most groups of equal texts that are broadcast. Of more, those of a thousandth of all rows (at most 1,000 groups) are.
-MOST_BROADCAST_GROUPS = 200_000
 
 _BLANKS = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 
@@ -82,23 +80,13 @@ def _groups(shared: DataFrame, *order: str) -> DataFrame:
     return common.materialise(groups.where("n > 1").withColumnRenamed("sha", "of"))
 
 
-def _with_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each row with its group, if it has one. Groups of very many rows are broadcast, so no key is hot where rows are shuffled."""
-    if groups.count() <= MOST_BROADCAST_GROUPS:
-        return shared.join(F.broadcast(groups), F.col("sha") == F.col("of"), "left")
-    least = shared.count() / 1_000
-    hot = groups.where(F.col("n") >= least)
-    cold = shared.join(F.broadcast(hot.select("of")), F.col("sha") == F.col("of"), "left_anti")
-    return shared.join(F.broadcast(hot), F.col("sha") == F.col("of")).unionByName(cold.join(groups.where(F.col("n") < least), F.col("sha") == F.col("of"), "left"))
-
-
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) of every row. Texts are read once and never shuffled."""
     rows = possibly_repeated(_narrow(docs, id_col, text_col))
     digest = F.lower(F.hex("sha")).alias("text_sha256")
     alone = rows.where(~F.col("maybe")).select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
     shared = rows.where("maybe")
-    more = _with_groups(shared, _groups(shared, "id"))
+    more = common.join_keys(shared, _groups(shared, "id"), "sha", "of", "n")
     single = F.col("of").isNull()
     kept = single | (F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("len") == -F.col("keep.len")))
     keep_id = F.when(single, F.col("id")).otherwise(F.col("keep.id"))
@@ -113,7 +101,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not stored:
         docs = common.materialise(docs)
     shared = possibly_repeated(_narrow(docs, id_col, text_col, *common.address())).where("maybe")
-    found = _with_groups(shared, _groups(shared, "id", "file", "place"))
+    found = common.join_keys(shared, _groups(shared, "id", "file", "place"), "sha", "of", "n")
     gone = found.where(F.col("of").isNotNull() & ~((F.col("file") == F.col("keep.file")) & (F.col("place") == F.col("keep.place"))))
     return common.at_places(docs, gone, kept=False)
 

@@ -5,17 +5,24 @@ one order: the rarer shingles come before the more common, so that passages of m
 an equal prefix and size form one group, and only groups are indexed and paired.
 
 Links are found in two steps, so that a large family of near copies never becomes all its pairs: first each
-group is verified against the neighbour that it meets most often in the size-ordered lists of its prefix, and
-members against their group's first node; components follow. Then every pair of groups that meets in a list
-and still has members in different components is filtered by size, place and prefix overlap, expanded, and
-verified. What is not verified is connected already, so no link between different components is lost.
-
-Texts without words have an empty set and link with nothing; null counts as empty. Rows with a null id get
-links but are nobody's component id. Repeated rows share a node.
+group is verified against a neighbour of like size in the lists of its prefix and against the hub that most of
+these lists name, and members against their group's first node; components follow. Then every pair of groups that
+meets in a list and still has members in different components is filtered by size, place and prefix overlap,
+expanded, and verified. What is not verified is connected already, so no link between different components is lost.
+
+Lists and groups of any length are dealt over tasks: hubs come from aggregates, neighbours from dealt parts of a
+list, and pairs of a long list from its parts against the whole. Rows are named by file and place, so whole texts
+are never shuffled: those to verify are read again by bitmaps of their places.
+
+Texts without words have an empty set and link with nothing; null counts as empty. Rows with a null id link like
+others but are nobody's component id; a component of null ids alone has a null id. Repeated rows, of one id or
+not, share a node. Extra columns are left out by `link_texts` and kept by `drop_near_copies`, whatever their
+names. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +37,8 @@ from .components import components
 
 #: Common shingles that the order knows at most.
 MOST_COMMON = 500_000
-#: Most ids of texts to verify that are broadcast to pick these texts; beyond it the texts are joined by shuffling.
-MOST_BROADCAST_IDS = 1_000_000
+#: Groups of a list, or members of a group, that one task pairs or ranks.
+LIST_PART = 4_000
 
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -132,8 +139,8 @@ def _prefixes(size: int, percent: int, broadcast):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, level = broadcast.value
         for batch in batches:
-            for a, b in common.slices(batch.column(1)):
-                sets = shingle_sets(batch.column(1).slice(a, b - a), size)
+            for a, b in common.slices(batch.column(3)):
+                sets = shingle_sets(batch.column(3).slice(a, b - a), size)
                 sizes = np.array([len(s) for s in sets])
                 every = np.concatenate(sets)
                 rank = np.zeros(len(every), np.int64)
@@ -148,7 +155,7 @@ def _prefixes(size: int, percent: int, broadcast):
                 values = every[np.repeat(first[:-1] - offsets[:-1], lengths) + np.arange(offsets[-1])]
                 nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
                 prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), nodes, pa.array(sizes, pa.int64()), prefix], ["id", "node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:3], nodes, pa.array(sizes, pa.int64()), prefix], ["id", "file", "place", "node", "n", "prefix"])
 
     return prefixes
 
@@ -182,99 +189,144 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, set) of these nodes, read again from one text of each."""
-    wanted = common.materialise(nodes.select("node").distinct().join(firsts, "node").select("id", F.col("node").alias("wanted")))
+    """(node, set) of these nodes, read again from the text of each node's first row."""
+    wanted = nodes.select("node").distinct().join(firsts, "node").select("first.file", "first.place")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in common.slices(batch.column(1)):
-                found = shingle_sets(batch.column(1).slice(a, b - a), size)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found]), batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "wanted", "set"])
+            for a, b in common.slices(batch.column(0)):
+                found = shingle_sets(batch.column(0).slice(a, b - a), size)
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
+
+    return common.materialise(common.at_places(texts.select("text"), wanted, kept=True).mapInArrow(sets, "node long, set binary"))
+
+
+def _parts(length: Column) -> Column:
+    """In how many parts a list of this length is dealt."""
+    return F.ceil(length / F.lit(LIST_PART)).cast("int")
 
-    small = wanted.count() <= MOST_BROADCAST_IDS
-    picked = texts.join(F.broadcast(wanted) if small else wanted, "id").select("wanted", "text")
-    return common.materialise(picked.mapInArrow(sets, "node long, wanted long, set binary").where("node = wanted").drop("wanted"))
 
+def _part_of(value: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(value), F.col(parts)).cast("int")
 
-def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """(id, n_shingles, component) of every row: texts link if the Jaccard similarity of their sets is percent / 100 at least; the component is the smallest id reachable."""
+
+def _first_pairs(postings: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of groups and the neighbour and the hub that they meet in most lists, and of members and the first node of their group."""
+    shared = postings.groupBy("group").agg(F.count(F.lit(1)).alias("shared")).withColumnRenamed("group", "g")
+    ranked = postings.join(shared, F.col("group") == F.col("g")).select("shingle", "lists", "group", "n", (F.col("shared") / F.col("n")).alias("shared"))
+    ranked = common.materialise(ranked.withColumn("part", F.pmod(F.xxhash64("group"), _parts(F.col("lists"))).cast("int")))
+    this = F.struct(F.col("group").alias("b"), F.col("n").alias("b_n"))
+    beside = F.lag(this).over(Window.partitionBy("shingle", "part").orderBy("n", "group"))
+    # hubs by parts of a list first, then over the parts
+    best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("n").alias("b_n"), F.col("group").alias("b"))).alias("hub")
+    hubs = ranked.groupBy("shingle").agg(best, F.count(F.lit(1)).alias("of"))
+    hubs = common.materialise(hubs.select(F.col("shingle").alias("of_list"), F.struct("hub.b", "hub.b_n").alias("hub"), "of"))
+    a = [F.col("group").alias("a"), F.col("n").alias("a_n")]
+    meets = ranked.select(*a, F.lit(0).alias("kind"), beside.alias("with")).unionByName(common.join_keys(ranked, hubs, "shingle", "of_list", "of").select(*a, F.lit(1).alias("kind"), F.col("hub").alias("with")))
+    larger, smaller = F.greatest("a_n", "with.b_n"), F.least("a_n", "with.b_n")
+    meets = meets.where(F.col("with").isNotNull() & (F.col("with.b") != F.col("a")) & (smaller * 100 >= larger * percent))
+    times = meets.groupBy("a", "kind", F.col("with.b").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    most = times.groupBy("a", "kind").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    inside = member.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
+    return most.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().unionByName(inside)
+
+
+def _open_pairs(postings: DataFrame, placed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of nodes in different components whose groups meet in a list and may link by size, place and prefix, or are one group."""
+    sides = placed.select("group", "component").distinct()
+    listed = common.materialise(postings.drop("lists").join(sides, "group"))
+    mixed = listed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("lists")).where("low <> high")
+    mixed = common.materialise(mixed.select(F.col("shingle").alias("of_list"), "lists"))
+    # sizes that may link differ by one step at most
+    step = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / percent))).cast("int")
+    listed = common.join_keys(listed, mixed, "shingle", "of_list", "lists", "inner").select("shingle", "group", "n", "place", "component", step.alias("step"), _parts(F.col("lists")).alias("parts"))
+    listed = common.materialise(listed)
+    a, b = (listed.select("shingle", "step", "parts", *(F.col(c).alias(f"{x}_{c}") for c in ("group", "n", "place", "component"))) for x in "ab")
+    a = a.select("*", _part_of("a_group", "parts").alias("part")).drop("parts")
+    b = b.select(*b.columns[3:], "shingle", "parts", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+    b = b.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_group") > F.col("b_group")))
+    near = (F.col("a_place") <= F.col("a_n") - _overlap(percent)) & (F.col("b_place") <= F.col("b_n") - _overlap(percent))
+    met = a.join(b, ["shingle", "step", "part"]).where((F.col("a_component") != F.col("b_component")) & larger & _enough(percent) & near)
+    met = met.select("a_group", "b_group", "a_n", "b_n").distinct()
+    prefix = groups.select("group", "prefix")
+    met = met.join(prefix.select(F.col("group").alias("a_group"), F.col("prefix").alias("p")), "a_group").join(prefix.select(F.col("group").alias("b_group"), F.col("prefix").alias("q")), "b_group")
+    rest = F.greatest(F.col("a_n") - F.size("p"), F.col("b_n") - F.size("q"))
+    met = common.materialise(met.where(F.size(F.array_intersect("p", "q")) + rest >= _overlap(percent)).select("a_group", "b_group"))
+    of_a, of_b = (placed.select(F.col("group").alias(f"{x}_group"), F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab")
+    across = met.join(of_a, "a_group").join(of_b, "b_group").where(F.col("a_component") != F.col("b_component")).select("a", "b")
+    many = groups.where("members > 1").select(F.col("group").alias("g"), _parts(F.col("members")).alias("parts"))
+    inside = placed.join(many, F.col("group") == F.col("g"))
+    one = inside.select("group", _part_of("node", "parts").alias("part"), F.col("node").alias("a"), F.col("component").alias("a_component"))
+    two = inside.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("component").alias("b_component"))
+    same = one.join(two, ["group", "part"]).where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))).select("a", "b")
+    return across.unionByName(same).distinct()
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, file, place, node, n) of every row of docs, and (of, component, rows) of every node; docs is a plain read of Parquet files."""
     common.small_batches(docs.sparkSession)
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
-    known = spark.sparkContext.broadcast(common_shingles(texts.select("text"), size))
-    rows = common.materialise(texts.mapInArrow(_prefixes(size, percent, known), f"id {kind}, node long, n long, prefix array<long>"))
-    full = rows.where("n > 0 AND id IS NOT NULL")
-    nodes = full.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    known = docs.sparkSession.sparkContext.broadcast(common_shingles(texts.select("text"), size))
+    placed_texts = texts.select("id", *common.address(), "text")
+    rows = common.materialise(placed_texts.mapInArrow(_prefixes(size, percent, known), f"id {kind}, file string, place long, node long, n long, prefix array<long>"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("file", "place")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("rows"))
     nodes = common.materialise(nodes.withColumn("key", F.xxhash64("n", "prefix")))
-    firsts = nodes.select("node", "id")
+    firsts = nodes.select("node", "first")
     groups = common.materialise(nodes.groupBy("key").agg(F.min("node").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members")))
     member = nodes.join(groups.where("members > 1").select("key", "group"), "key", "left").select("node", F.coalesce("group", "node").alias("group"))
     member = common.materialise(member)
     postings = groups.select("group", "n", F.posexplode("prefix").alias("place", "shingle"))
-    often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("shingle")
-    postings = common.materialise(postings.join(often, "shingle"))
+    often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
+    often = common.materialise(often.select(F.col("shingle").alias("of_list"), "lists"))
+    postings = common.materialise(common.join_keys(postings, often, "shingle", "of_list", "lists", "inner").drop("of_list"))
 
-    # step 1: each group with the neighbour and the hub that it meets most often, members with their group's first node
-    shared = postings.groupBy("group").agg(F.count(F.lit(1)).alias("shared")).withColumnRenamed("group", "g")
-    ranked = postings.join(shared, F.col("group") == F.col("g")).select("shingle", "group", "n", (F.col("shared") / F.col("n")).alias("shared"))
-    by_size, by_share = (Window.partitionBy("shingle").orderBy(*o) for o in (("n", "group"), (F.desc("shared"), "n", "group")))
-    this = F.struct(F.col("group").alias("b"), F.col("n").alias("b_n"))
-    meets = ranked.select(F.col("group").alias("a"), F.col("n").alias("a_n"), F.lag(this).over(by_size).alias("beside"), F.first(this).over(by_share).alias("hub"))
-    meets = meets.select("a", "a_n", F.inline(F.filter(F.array(F.struct(F.lit(0).alias("kind"), F.col("beside").alias("with")), F.struct(F.lit(1).alias("kind"), F.col("hub").alias("with"))), lambda x: x["with"].isNotNull() & (x["with"]["b"] != F.col("a")))))
-    larger, smaller = F.greatest("a_n", "with.b_n"), F.least("a_n", "with.b_n")
-    meets = meets.where(smaller * 100 >= larger * percent).groupBy("a", "kind", F.col("with.b").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    best = meets.groupBy("a", "kind").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    inside = member.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
-    best = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    first_pairs = common.materialise(best.unionByName(inside))
+    first_pairs = common.materialise(_first_pairs(postings, member, percent))
     sets = _sets_of(first_pairs.select(F.col("a").alias("node")).unionByName(first_pairs.select(F.col("b").alias("node"))), firsts, texts, size)
     links = common.materialise(_verify(first_pairs, sets, percent))
     found = components(links)
 
-    # step 2: groups that meet and have members in different components
     placed = common.materialise(member.join(found, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component")))
-    sides = placed.select("group", "component").distinct()
-    listed = postings.join(sides, "group")
-    mixed = listed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    listed = common.materialise(listed.join(mixed, "shingle"))
-    a = listed.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("group", "n", "place", "component")))
-    b = listed.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("group", "n", "place", "component")))
-    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_group") > F.col("b_group")))
-    near = (F.col("a_place") <= F.col("a_n") - _overlap(percent)) & (F.col("b_place") <= F.col("b_n") - _overlap(percent))
-    met = a.join(b, "shingle").where((F.col("a_component") != F.col("b_component")) & larger & _enough(percent) & near)
-    met = met.select("a_group", "b_group", "a_n", "b_n").distinct()
-    prefix = groups.select("group", "prefix")
-    met = met.join(prefix.select(F.col("group").alias("a_group"), F.col("prefix").alias("p")), "a_group").join(prefix.select(F.col("group").alias("b_group"), F.col("prefix").alias("q")), "b_group")
-    rest = F.greatest(F.col("a_n") - F.size("p"), F.col("b_n") - F.size("q"))
-    met = met.where(F.size(F.array_intersect("p", "q")) + rest >= _overlap(percent)).select("a_group", "b_group")
-    same = groups.where("members > 1").select(F.col("group").alias("a_group"), F.col("group").alias("b_group"))
-    met = common.materialise(met.unionByName(same))
-    of_a = placed.select(F.col("group").alias("a_group"), F.col("node").alias("a"), F.col("component").alias("a_component"))
-    of_b = placed.select(F.col("group").alias("b_group"), F.col("node").alias("b"), F.col("component").alias("b_component"))
-    within = (F.col("a_group") != F.col("b_group")) | (F.col("a") < F.col("b"))
-    more = met.join(of_a, "a_group").join(of_b, "b_group").where((F.col("a_component") != F.col("b_component")) & within)
-    more = common.materialise(more.select("a", "b").distinct())
+    more = common.materialise(_open_pairs(postings, placed, groups, percent))
     if not more.isEmpty():
         sets = _sets_of(more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))), firsts, texts, size)
         extra = common.materialise(_verify(more, sets, percent))
         if not extra.isEmpty():
             found = components(links.unionByName(extra))
+    final = nodes.select("node", "rows").join(found, "node", "left").select(F.col("node").alias("of"), F.coalesce("component", "node").alias("component"), "rows")
+    return rows.drop("prefix"), common.materialise(final)
+
 
-    ids = firsts.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    lowest = ids.groupBy("component").agg(F.min("id").alias("low"))
-    final = ids.where("component IS NOT NULL").select("node", "component").join(lowest, "component").select(F.col("node").alias("__node"), "low")
-    out = rows.join(final, F.col("node") == F.col("__node"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component"))
+def _least(rows: DataFrame, final: DataFrame) -> DataFrame:
+    """Each row with the least row of its component, by id (nulls last), file and place; without one where its set is empty."""
+    known = common.materialise(common.join_keys(rows, final, "node", "of", "rows"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "place")
+    least = known.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("size"))
+    least = common.materialise(least.select(F.col("component").alias("in"), "least", "size"))
+    return common.join_keys(known, least, "component", "in", "size")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns. Of rows repeated with one id all stay or go; null ids stay."""
-    found = link_texts(docs, id_col, text_col, size, percent)
-    gone = common.materialise(found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("__gone")).distinct())
-    small = gone.count() <= MOST_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, stored: bool = False) -> DataFrame:
+    """(id, n_shingles, component) of every row: texts link if the Jaccard similarity of their sets is percent / 100 at least; the component is the smallest id reachable.
+
+    stored: whether docs is a plain read of Parquet files; else its ids and texts are written first.
+    """
+    docs = docs if stored else common.materialise(docs.select(F.col(id_col), F.col(text_col)))
+    found = _least(*_linked(docs, id_col, text_col, size, percent))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least.id", "id").alias("component"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, stored: bool = False) -> DataFrame:
+    """One row of each component, that with the smallest id (of several, one of them), with all its columns; rows without words stay. No row is shuffled.
+
+    stored: whether docs is a plain read of Parquet files; else it is written first.
+    """
+    docs = docs if stored else common.materialise(docs)
+    found = _least(*_linked(docs, id_col, text_col, size, percent))
+    gone = found.where(F.col("least").isNotNull() & ~((F.col("file") == F.col("least.file")) & (F.col("place") == F.col("least.place"))))
+    return common.at_places(docs, gone.select("file", "place"), kept=False)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_texts(common.documents(spark, sf_dir)).withColumnRenamed("component", "component_id")
+    return link_texts(common.documents(spark, sf_dir), stored=True).withColumnRenamed("component", "component_id")

@@ -95,7 +95,7 @@ def test_exact_dedup_beyond_each_bound(spark, docs, tmp_path, monkeypatch):
     kept = sorted(map(repr, exact_dedup.drop_copies(stored, stored=True).collect()))
     assert len(kept) == docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")).distinct().count()
     monkeypatch.setattr(exact_dedup, "MOST_BROADCAST_BLOCKS", 0)
-    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(common, "MOST_BROADCAST_KEYS", 0)
     monkeypatch.setattr(common, "MOST_BITMAPS", 3)
     assert sorted(map(repr, exact_dedup.mark_copies(docs).collect())) == want
     out = exact_dedup.drop_copies(stored, stored=True)
@@ -242,7 +242,7 @@ def linked(rows, size, percent):
 
 
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
-def test_jaccard_join(spark, odd, empty, size, percent):
+def test_jaccard_join(spark, odd, empty, size, percent, monkeypatch):
     rng = np.random.default_rng(size)
     rows, i = [], 100
     for _ in range(8):  # families of edited copies around the threshold, with a passage that all share
@@ -253,10 +253,24 @@ def test_jaccard_join(spark, odd, empty, size, percent):
                 copy[at] = f"e{rng.integers(0, 99999)}"
             rows.append((i, " ".join(copy), "en", "s", 0))
             i += 1
+    # near copies with null ids, one of which alone links two others; one id with different texts; null ids alone
+    text = [f"b{k}" for k in range(60)]
+    rows += [(None, " ".join(text[:-1]), "en", "s", 0), (7_000, " ".join(text), "en", "s", 0), (7_001, " ".join(text[:-7]), "en", "s", 0), (None, " ".join(text[:-4]), "en", "s", 0)]
+    rows += [(7_002, " ".join(text[:-2]), "en", "s", 0), (7_002, "another text of this id", "en", "s", 0), (None, "c " * 30 + "d", "en", "s", 0), (None, "c " * 30 + "d", "en", "s", 0)]
     df = spark.createDataFrame(rows, SCHEMA).union(odd.select(SCHEMA_NAMES))
+    monkeypatch.setattr(jaccard_join, "LIST_PART", 5)
+    if size == 5:
+        monkeypatch.setattr(common, "MOST_BROADCAST_KEYS", 3)
+        monkeypatch.setattr(common, "MOST_BITMAPS", 2)
     got = Counter((r.doc_id, r.n_shingles, r.component) for r in jaccard_join.link_texts(df, size=size, percent=percent).collect())
     assert got == linked(df.select("doc_id", "text").collect(), size, percent)
-    assert jaccard_join.link_texts(empty).count() == 0
+    assert jaccard_join.link_texts(empty).count() == 0 and jaccard_join.drop_near_copies(empty).count() == 0
+    clash = df.withColumn("node", F.lit("clash")).withColumn("file", F.lit("clash")).withColumn("row", F.lit("clash"))
+    kept = jaccard_join.drop_near_copies(clash, size=size, percent=percent).collect()
+    assert all(r.node == r.file == r.row == "clash" for r in kept)
+    want = linked(df.select("doc_id", "text").collect(), size, percent)
+    assert len(kept) == sum(n for (_, m, _), n in want.items() if not m) + len({c for _, m, c in want if m and c is not None}) + 2  # two components have null ids alone
+    assert {r.doc_id for r in kept} >= {c for _, m, c in want if m and c is not None}
 
 
 SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
