@@ -25,12 +25,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles with a similarity of 0.8 or more."""
-    return jaccard_join.drop_near_copies(docs)
+    return jaccard_join.drop_near_copies(docs, stored=bool(docs.inputFiles()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    return decontaminate.drop_contaminated(docs, common.documents(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, common.documents(spark, sf_dir, "benchmark"), stored=bool(docs.inputFiles()))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
