@@ -95,7 +95,6 @@ def test_exact_dedup_beyond_each_bound(spark, docs, tmp_path, monkeypatch):
     kept = sorted(map(repr, exact_dedup.drop_copies(stored, stored=True).collect()))
     assert len(kept) == docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")).distinct().count()
     monkeypatch.setattr(exact_dedup, "MOST_BROADCAST_BLOCKS", 0)
-    monkeypatch.setattr(common, "MOST_BROADCAST_KEYS", 0)
     monkeypatch.setattr(common, "MOST_BITMAPS", 3)
     assert sorted(map(repr, exact_dedup.mark_copies(docs).collect())) == want
     out = exact_dedup.drop_copies(stored, stored=True)
@@ -260,7 +259,6 @@ def test_jaccard_join(spark, odd, empty, size, percent, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA).union(odd.select(SCHEMA_NAMES))
     monkeypatch.setattr(jaccard_join, "LIST_PART", 5)
     if size == 5:
-        monkeypatch.setattr(common, "MOST_BROADCAST_KEYS", 3)
         monkeypatch.setattr(common, "MOST_BITMAPS", 2)
     got = Counter((r.doc_id, r.n_shingles, r.component) for r in jaccard_join.link_texts(df, size=size, percent=percent).collect())
     assert got == linked(df.select("doc_id", "text").collect(), size, percent)
@@ -297,25 +295,38 @@ def test_language_model(spark, docs, odd, empty):
 def test_the_model_is_a_distribution(docs):
     model, counts, _, _ = language_model.fit(docs, F.lit(False))
     tokens = language_model.Tokens.of(pa.array(["the of and"]))
-    _, _, _, rows, _, _ = model.prepared(tokens)
-    classes = language_model.softmax(model.class_bias, model.classes, rows)
-    assert classes.sum(1) == pytest.approx(np.ones(len(classes)))
-    known = counts.toPandas()
-    head = set(model.known[model.head >= 0].astype(np.int64).tolist())
-    tail = known[~known.word.isin(head)]
-    for k in range(language_model.TAILS):
-        own = tail[tail["tail"] == k]["n"]
-        assert ((own + 0.5).sum() + 0.5) / model.tail_total[k] == pytest.approx(1)
-
-
-def test_the_model_has_all_classes_and_the_gap_feature(docs):
+    _, _, place, rows, slot_rows = model.prepared(tokens)
+    layers = language_model.softmax(model.class_bias, model.classes, rows), language_model.softmax(model.slot_bias[place // 32], model.slots, slot_rows)
+    for layer in layers:
+        assert layer.sum(1) == pytest.approx(np.ones(len(layer)))
+    known = counts.where("bucket >= 0").toPandas()
+    alone = set(model.known[model.own >= 0].astype(np.int64).tolist())
+    tail = known[~known.word.isin(alone)]
+    for place, own in tail.groupby(model.shared[tail["bucket"].to_numpy()])["n"]:
+        assert ((own + 0.5).sum() + 0.5) / model.slot_total[place] == pytest.approx(1)
+
+
+def test_the_model_has_all_classes_and_features(docs):
     model, _, _, _ = language_model.fit(docs, F.lit(False))
-    assert (model.head >= 0).sum() == 512 and len(model.class_bias) == 32
-    tokens = language_model.Tokens.of(pa.array(["one b c d", "two b c d"]))
-    a, b = (np.array([x[at] for x in tokens.contexts()]) for at in (3, 8))  # d, after words that differ three before
-    assert (a == b).tolist() == [True, True, True, False]
-    _, _, _, rows, _, _ = model.prepared(tokens)
-    assert len(rows) == 4 and max(map(max, rows)) < len(model.classes)
+    assert (model.own >= 0).sum() == 512 and model.slot_bias.shape == (32, 32)
+    assert 512 <= model.shared.min() and model.shared.max() < 1_024 and len(set(model.shared.tolist())) > 100
+    tokens = language_model.Tokens.of(pa.array(["one b c d", "the b c d"]))
+    _, _, place, rows, slot_rows = model.prepared(tokens)
+    same = [bool(r[3] == r[8]) for r in (*rows, *slot_rows)]  # of d, after words that differ three before
+    assert same == [True, True, bool(place[0] == place[5]), True, True, True] and not same[2]
+    assert rows[0][0] == 1_024 and max(map(max, rows)) < len(model.classes) and max(map(max, slot_rows)) < len(model.slots) <= 65_536
+
+
+def test_language_model_without_broadcast_words(docs, monkeypatch):
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    want = {}
+    for most in (400_000, 600):
+        monkeypatch.setattr(language_model, "MOST_COMMON", most)
+        monkeypatch.setattr(language_model, "FAN_IN", 16 if most > 600 else 2)
+        model, counts, least, _ = language_model.fit(docs.repartition(5), held)
+        got = by_id(language_model.score(docs, model, counts, least))
+        assert not want or {i: (r.n_tokens, r.n_known, pytest.approx(r.base_score)) for i, r in got.items()} == {i: (r.n_tokens, r.n_known, r.base_score) for i, r in want.items()}
+        want = got
 
 
 def test_toxicity(spark, odd, empty):
