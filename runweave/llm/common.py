@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def with_text(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """docs, and the place among its columns of the text, which is docs' own column (nulls not yet filled) if that is a string."""
+    if dict(docs.dtypes)[text_col] == "string":
+        return docs, docs.columns.index(text_col)
+    return docs.withColumn(free_name(docs, "text"), text_of(text_col)), len(docs.columns)
+
+
+def filled(texts: pa.Array) -> pa.Array:
+    """The texts, null counting as empty."""
+    return pc.fill_null(texts, "") if texts.null_count else texts
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -105,24 +118,22 @@ def at_places(docs: DataFrame, rows: DataFrame, kept: bool, *more: Column) -> Da
     return out
 
 
-#: Most keys that are broadcast whole; of more, those of a thousandth of all rows (at most 1,000 keys) are.
-MOST_BROADCAST_KEYS = 200_000
-
-
 def join_keys(rows: DataFrame, side: DataFrame, key: str, side_key: str, n: str, how: str = "left") -> DataFrame:
     """rows joined (left or inner) with side, a stored table with one row for each key, and in column n how many rows have it.
 
-    Few keys are broadcast. Of many, those of very many rows are, so that no key is hot where the others are shuffled.
+    Keys of a thousandth of all rows (at most 1,000 keys) are broadcast, so that no key is hot where the others are shuffled.
     """
     on = F.col(key) == F.col(side_key)
-    size = side.agg(F.count(F.lit(1)), F.sum(n)).first()
-    if size[0] <= MOST_BROADCAST_KEYS:
-        return rows.join(F.broadcast(side), on, how)
-    hot = F.col(n) >= max(2, size[1] / 1_000)
+    least = max(2, (side.agg(F.sum(n)).first()[0] or 0) / HOT)
+    hot = F.col(n) >= least
     cold = rows.join(F.broadcast(side.where(hot).select(side_key)), on, "left_anti")
     return rows.join(F.broadcast(side.where(hot)), on).unionByName(cold.join(side.where(~hot), on, how))
 
 
+#: A key is hot from this part of all rows on.
+HOT = 1_000
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters the bits of 64-bit hashes."""
     x = x ^ (x >> np.uint64(33))

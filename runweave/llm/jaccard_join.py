@@ -214,17 +214,22 @@ def _first_pairs(postings: DataFrame, member: DataFrame, percent: int) -> DataFr
     """(a, b) of groups and the neighbour and the hub that they meet in most lists, and of members and the first node of their group."""
     shared = postings.groupBy("group").agg(F.count(F.lit(1)).alias("shared")).withColumnRenamed("group", "g")
     ranked = postings.join(shared, F.col("group") == F.col("g")).select("shingle", "lists", "group", "n", (F.col("shared") / F.col("n")).alias("shared"))
-    ranked = common.materialise(ranked.withColumn("part", F.pmod(F.xxhash64("group"), _parts(F.col("lists"))).cast("int")))
+    ranked = ranked.withColumn("part", F.pmod(F.xxhash64("group"), _parts(F.col("lists"))).cast("int"))
     this = F.struct(F.col("group").alias("b"), F.col("n").alias("b_n"))
-    beside = F.lag(this).over(Window.partitionBy("shingle", "part").orderBy("n", "group"))
-    # hubs by parts of a list first, then over the parts
-    best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("n").alias("b_n"), F.col("group").alias("b"))).alias("hub")
-    hubs = ranked.groupBy("shingle").agg(best, F.count(F.lit(1)).alias("of"))
-    hubs = common.materialise(hubs.select(F.col("shingle").alias("of_list"), F.struct("hub.b", "hub.b_n").alias("hub"), "of"))
+    by_size, by_share = (Window.partitionBy("shingle", "part").orderBy(*o) for o in (("n", "group"), (F.desc("shared"), "n", "group")))
     a = [F.col("group").alias("a"), F.col("n").alias("a_n")]
-    meets = ranked.select(*a, F.lit(0).alias("kind"), beside.alias("with")).unionByName(common.join_keys(ranked, hubs, "shingle", "of_list", "of").select(*a, F.lit(1).alias("kind"), F.col("hub").alias("with")))
+    met = ranked.select(*a, F.lag(this).over(by_size).alias("beside"), F.first(this).over(by_share).alias("hub"))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("with")) for k, c in enumerate(("beside", "hub"))]
+    meets = met.select("a", "a_n", F.inline(F.filter(F.array(*kinds), lambda x: x["with"].isNotNull() & (x["with"]["b"] != F.col("a")))))
+    # the parts of a long list: each part's hub with the whole list's
+    long = ranked.where(F.col("lists") > LIST_PART)
+    best = F.min(F.struct((-F.col("shared")).alias("s"), "n", "group")).alias("best")
+    hubs = long.groupBy("shingle", "part").agg(best)
+    top = hubs.groupBy("shingle").agg(F.min("best").alias("top"))
+    hubs = hubs.join(top, "shingle").select(F.col("best.group").alias("a"), F.col("best.n").alias("a_n"), F.lit(2).alias("kind"), F.struct(F.col("top.group").alias("b"), F.col("top.n").alias("b_n")).alias("with"))
+    meets = meets.unionByName(hubs)
     larger, smaller = F.greatest("a_n", "with.b_n"), F.least("a_n", "with.b_n")
-    meets = meets.where(F.col("with").isNotNull() & (F.col("with.b") != F.col("a")) & (smaller * 100 >= larger * percent))
+    meets = meets.where((F.col("with.b") != F.col("a")) & (smaller * 100 >= larger * percent))
     times = meets.groupBy("a", "kind", F.col("with.b").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     most = times.groupBy("a", "kind").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     inside = member.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
@@ -240,7 +245,6 @@ def _open_pairs(postings: DataFrame, placed: DataFrame, groups: DataFrame, perce
     # sizes that may link differ by one step at most
     step = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / percent))).cast("int")
     listed = common.join_keys(listed, mixed, "shingle", "of_list", "lists", "inner").select("shingle", "group", "n", "place", "component", step.alias("step"), _parts(F.col("lists")).alias("parts"))
-    listed = common.materialise(listed)
     a, b = (listed.select("shingle", "step", "parts", *(F.col(c).alias(f"{x}_{c}") for c in ("group", "n", "place", "component"))) for x in "ab")
     a = a.select("*", _part_of("a_group", "parts").alias("part")).drop("parts")
     b = b.select(*b.columns[3:], "shingle", "parts", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
@@ -270,13 +274,20 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     texts = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(texts.select("text"), size))
     placed_texts = texts.select("id", *common.address(), "text")
-    rows = common.materialise(placed_texts.mapInArrow(_prefixes(size, percent, known), f"id {kind}, file string, place long, node long, n long, prefix array<long>"))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("file", "place")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("rows"))
-    nodes = common.materialise(nodes.withColumn("key", F.xxhash64("n", "prefix")))
+    rows = placed_texts.mapInArrow(_prefixes(size, percent, known), f"id {kind}, file string, place long, node long, n long, prefix array<long>")
+    rows = common.materialise(rows.withColumn("key", F.xxhash64("n", "prefix")))
+    full = rows.where("n > 0")
+    nodes = full.groupBy("node").agg(F.min(F.struct("file", "place")).alias("first"), F.first("key").alias("key"), F.count(F.lit(1)).alias("rows"))
+    nodes = common.materialise(nodes)
     firsts = nodes.select("node", "first")
-    groups = common.materialise(nodes.groupBy("key").agg(F.min("node").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members")))
-    member = nodes.join(groups.where("members > 1").select("key", "group"), "key", "left").select("node", F.coalesce("group", "node").alias("group"))
+    several = nodes.groupBy("key").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("members"))
+    several = common.materialise(several.where("members > 1").withColumnRenamed("key", "of"))
+    member = common.join_keys(nodes, several, "key", "of", "members").select("node", F.coalesce("group", "node").alias("group"), "members")
     member = common.materialise(member)
+    lead = member.where("node = group").select("group", F.coalesce("members", F.lit(1)).alias("members"))
+    # prefixes of equal sets are equal: the map side keeps one for each
+    groups = full.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumnRenamed("node", "group")
+    groups = common.materialise(groups.join(lead, "group"))
     postings = groups.select("group", "n", F.posexplode("prefix").alias("place", "shingle"))
     often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
     often = common.materialise(often.select(F.col("shingle").alias("of_list"), "lists"))
