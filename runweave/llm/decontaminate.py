@@ -302,18 +302,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         found = _finds(docs, blocks, text_col)
         n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
         return common.at_places(docs, found.where(20 * n_hit >= F.col("n_words")), kept=False)
-    phrases, schema = next(blocks), docs.schema
+    phrases, (rows, at), n_columns = next(blocks), common.with_text(docs, text_col), len(docs.columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rest = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
+            texts, rest = common.filled(batch.column(at)), batch.select(range(n_columns))
             for a, b in common.slices(texts, SHARD_BYTES):
                 words = Words(texts.slice(a, b - a), ALNUM)
                 spans, _ = find(words, phrases, b - a)
                 hits = np.array([sum(s["last_word"] - s["first_word"] + 1 for s in own) for own in spans])
                 yield rest.slice(a, b - a).filter(pa.array((hits == 0) | (20 * hits < np.diff(words.first))))
 
-    return docs.withColumn(common.free_name(docs, "text"), common.text_of(text_col)).mapInArrow(clean, schema)
+    return rows.mapInArrow(clean, docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

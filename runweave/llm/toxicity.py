@@ -261,15 +261,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score under the threshold, unchanged, with all their columns."""
 
-    own = common.free_name(docs, "text")
+    rows, at = common.with_text(docs, text_col)
+    n_columns = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rest = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
+            texts, rest = common.filled(batch.column(at)), batch.select(range(n_columns))
             for a, b in common.slices(texts):
                 yield rest.slice(a, b - a).filter(pa.array(model.score(texts.slice(a, b - a)) < threshold))
 
-    return docs.withColumn(own, common.text_of(text_col)).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
