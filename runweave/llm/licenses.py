@@ -3,9 +3,12 @@
 The templates' words build one automaton on the driver (its size is that of the templates). Tasks stream the
 words of each document through it. Words outside the templates end every match, so only runs of template
 words are walked. At each word the automaton gives the longest piece of any template that ends there; long
-maximal pieces chain, in order and with small gaps, into the spans of templates that they cover.
+maximal pieces chain, in order and with small gaps, into the spans of templates that they cover. A gap must not
+hold a word that tells licences apart (versions, "lesser", "noncommercial" and the like), and a chain must cover
+all such words of its template, so a text isn't given the licence that it excludes.
 
-Null and empty texts have no words, places, labels, and a score of 0. Repeated rows are scanned each.
+Null and empty texts have no words, places, labels, and a score of 0. Repeated rows are scanned each; columns
+other than id and text are left out. Of an empty table nothing is scanned.
 """
 
 from __future__ import annotations
@@ -28,34 +31,60 @@ BASE_PHRASES = {
     "cc-by-nc": "cc by nc",
 }
 
-#: Opening sentences of common licences. Fixed values.
+#: Sentences of common licences; a star marks the words that tell a licence from its variants. Fixed values.
 TEMPLATES = {
     "mit": [
-        "released under the mit license",
+        "released under the *mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-        "the software is provided as is without warranty of any kind express or implied",
     ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
     "apache-2": [
-        "licensed under the apache license version 2 0",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "licensed under the *apache license version *2 0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ],
+    "gpl-2": [
+        "this work is licensed under the gnu *general public license version *2",
+        "it under the terms of the gnu *general public license as published by the free software foundation either version *2 of the license or at your option any later version",
     ],
     "gpl-3": [
-        "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "this work is licensed under the gnu *general public license version *3",
+        "it under the terms of the gnu *general public license as published by the free software foundation either version *3 of the license or at your option any later version",
+    ],
+    "lgpl-2.1": [
+        "this work is licensed under the gnu *lesser *general public license version *2 *1",
+        "it under the terms of the gnu *lesser *general public license as published by the free software foundation either version *2 *1 of the license or at your option any later version",
+    ],
+    "lgpl-3": [
+        "this work is licensed under the gnu *lesser *general public license version *3",
+        "it under the terms of the gnu *lesser *general public license as published by the free software foundation either version *3 of the license or at your option any later version",
+    ],
+    "agpl-3": [
+        "this work is licensed under the gnu *affero *general public license version *3",
+        "it under the terms of the gnu *affero *general public license as published by the free software foundation either version *3 of the license or at your option any later version",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     ],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-sa": ["this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+    "mpl-1.1": ["the contents of this file are subject to the mozilla public license version *1 *1"],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v *2 0"],
+    "epl-2": ["this program and the accompanying materials are made available under the terms of the eclipse public license *2 0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "cc-by": ["this work is licensed under a creative commons *attribution *4 0 international license"],
+    "cc-by-sa": ["this work is licensed under a creative commons *attribution *sharealike *4 0 international license"],
+    "cc-by-nd": ["this work is licensed under a creative commons *attribution *noderivatives *4 0 international license"],
+    "cc-by-nc": ["licensed under cc by *nc *4 0", "this work is licensed under a creative commons *attribution *noncommercial *4 0 international license"],
+    "cc-by-nc-sa": ["licensed under cc by *nc *sa *4 0", "this work is licensed under a creative commons *attribution *noncommercial *sharealike *4 0 international license"],
+    "cc-by-nc-nd": ["licensed under cc by *nc *nd *4 0", "this work is licensed under a creative commons *attribution *noncommercial *noderivatives *4 0 international license"],
 }
 
+#: Further words that no gap of a chain may hold. Fixed values.
+TELLING = "not no except library lgpl agpl gpl fdl documentation dual proprietary noderivs nd sa nc sharealike share alike derivatives non commercial 0 1 2 3 4 5".split()
+
 #: Fewest words of a piece that counts, most words of a gap in a chain, least share of a template that a chain covers.
-MIN_PIECE, MAX_GAP, MIN_COVER = 4, 6, 0.6
+MIN_PIECE, MAX_GAP, MIN_COVER = 4, 4, 0.6
 
 
 @dataclass
@@ -126,17 +155,22 @@ class Automaton:
 
 class Scanner:
     def __init__(self, base: dict[str, str], templates: dict[str, list[str]]):
-        named = [(label, text.split(), True) for label, text in base.items()] + [(label, text.split(), False) for label, texts in templates.items() for text in texts]
-        self.labels = [label for label, _, _ in named]
-        self.sizes = [len(words) for _, words, _ in named]
+        marked = [(label, text.split()) for label, text in base.items()] + [(label, text.split()) for label, texts in templates.items() for text in texts]
         self.n_base = len(base)
-        vocabulary = sorted({w for _, words, _ in named for w in words})
+        #: of each template, a bit for each of its words that must be covered
+        self.needed = [sum(1 << i for i, w in enumerate(words) if w[0] == "*") for _, words in marked]
+        telling = {*TELLING, *(w[1:] for _, words in marked for w in words if w[0] == "*")}
+        named = [(label, [w.lstrip("*") for w in words]) for label, words in marked]
+        self.labels = [label for label, _ in named]
+        self.sizes = [len(words) for _, words in named]
+        vocabulary = sorted({w for _, words in named for w in words} | telling)
         number = {w: i for i, w in enumerate(vocabulary)}
         hashes = common.word_hashes(vocabulary)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.automaton = Automaton()
-        sequences = [[number[w] for w in words] for _, words, _ in named]
+        sequences = [[number[w] for w in words] for _, words in named]
+        self.telling = np.array([w in telling for w in vocabulary])
         self.automaton.add(sequences)
         #: phrases whose words are the last ones of every match in a state: those at it or at the states that its links lead to
         at_end: dict[int, list[int]] = {}
@@ -154,12 +188,13 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
-    def scan(self, words: Words, n_docs: int) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int, int, int]]]]:
-        """Of each document: (start, phrase) of the base places, and the pieces (template, start, end, end in the template)."""
+    def scan(self, words: Words, n_docs: int) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int, int, int]]], list[np.ndarray]]:
+        """Of each document: (start, phrase) of the base places, the pieces (template, start, end, end in the template), and how many telling words stand before each word (of those with pieces)."""
         places: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
         pieces: list[list[tuple[int, int, int, int]]] = [[] for _ in range(n_docs)]
+        before_each = [np.zeros(1, np.int64)] * n_docs
         if not len(words):
-            return places, pieces
+            return places, pieces, before_each
         numbers = self.numbers(words.hash)
         heads = np.flatnonzero(np.concatenate([[True], (words.doc[1:] != words.doc[:-1]) | ((numbers[1:] < 0) != (numbers[:-1] < 0))]))
         tails = np.append(heads[1:], len(numbers))
@@ -176,21 +211,32 @@ class Scanner:
                 if before[1] >= MIN_PIECE and size <= before[1]:  # it cannot be made longer
                     pieces[doc] += [(t, i - before[1], i, k) for t, k in automaton.where[before[0]].items() if t >= self.n_base]
                 before = (state, size)
-        return places, pieces
+        told = np.concatenate([[0], np.cumsum((numbers >= 0) & self.telling[np.maximum(numbers, 0)])])
+        for doc, own in enumerate(pieces):
+            if own:
+                before_each[doc] = told[words.first[doc] : words.first[doc + 1] + 1]
+        return places, pieces, before_each
 
-    def chains(self, pieces: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def chains(self, pieces: list[tuple[int, int, int, int]], told: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(label, first word, word after the last, share of the template covered) of the best chain of each template."""
         out = []
         for t in sorted({p[0] for p in pieces}):
-            best: tuple[float, int, int] = (0.0, 0, 0)
-            covered, begin, at, end = 0, 0, -1, 0
-            for _, a, b, k in sorted(p for p in pieces if p[0] == t):
-                fresh = min(b - a, k - end) if a - at <= MAX_GAP and k > end and at >= 0 else 0
-                covered, begin = (covered + min(fresh, b - max(a, at)), begin) if fresh > 0 else (b - a, a)
-                at, end = b, k
-                best = max(best, (min(1.0, covered / self.sizes[t]), begin, at))
-            if best[0] >= MIN_COVER:
-                out.append((self.labels[t], best[1], best[2], best[0]))
+            needed = self.needed[t]
+            #: (start, end, end in the template, covered words as bits, first word of the chain) of the best chain that ends with each piece
+            ended: list[tuple[int, int, int, int, int]] = []
+            best: tuple[bool, int, int, int] = (False, 0, 0, 0)
+            for _, a, b, k in sorted((p for p in pieces if p[0] == t), key=lambda p: (p[2], p[1])):
+                own = (1 << k) - (1 << (k - b + a))
+                chain = (own, a)
+                for a0, b0, k0, covered, first in reversed(ended):
+                    if a - b0 > MAX_GAP:
+                        break
+                    fits = a0 < a and k0 < k and (a < b0 or told[a] == told[b0])
+                    chain = max(chain, (covered | own, first), key=lambda c: c[0].bit_count()) if fits else chain
+                ended.append((a, b, k, *chain))
+                best = max(best, (chain[0] & needed == needed, chain[0].bit_count(), -chain[1], b))
+            if best[0] and best[1] >= MIN_COVER * self.sizes[t]:
+                out.append((self.labels[t], -best[2], best[3], best[1] / self.sizes[t]))
         return out
 
 
@@ -207,9 +253,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for a, b in common.slices(batch.column(1)):
                 words = Words(batch.column(1).slice(a, b - a), ALNUM)
-                places, pieces = scanner.scan(words, b - a)
+                places, pieces, told = scanner.scan(words, b - a)
                 found = [[{"label": scanner.labels[t], "first_word": i} for i, t in own] for own in places]
-                chains = [[dict(zip(("label", "first_word", "end_word", "cover"), c, strict=True)) for c in scanner.chains(own)] for own in pieces]
+                chains = [[dict(zip(("label", "first_word", "end_word", "cover"), c, strict=True)) for c in scanner.chains(own, before)] for own, before in zip(pieces, told, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(words.first)), pa.array(found, _PLACE), pa.array(chains, _CHAIN)], [id_col, "n_words", "places", "chains"])
 
     kind = dict(docs.dtypes)[id_col]

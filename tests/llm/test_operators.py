@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from runweave.llm import byte_bpe, common, decontaminate, exact_dedup, jaccard_join, language_model, licenses, sharding, token_counts, toxicity
+from runweave.llm import byte_bpe, common, decontaminate, exact_dedup, jaccard_join, language_model, licenses, queries, sharding, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -170,6 +170,76 @@ def test_licenses(odd, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def labels_of(text):
+    df = pa.array([lower(text)])
+    scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.TEMPLATES)
+    _, pieces, told = scanner.scan(licenses.Words(df, licenses.ALNUM), 1)
+    return {c[0] for c in scanner.chains(pieces[0], told[0])}
+
+
+def labels_by_brute_force(text):
+    """Every way to chain common runs of a text and a template that are as long as they can be."""
+    w, out = ALNUM.findall(lower(text)), set()
+    telling = {*licenses.TELLING, *(x[1:] for texts in licenses.TEMPLATES.values() for t in texts for x in t.split() if x[0] == "*")}
+    for label, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            own = [x.lstrip("*") for x in t.split()]
+            needed = {i for i, x in enumerate(t.split()) if x[0] == "*"}
+            runs = []
+            for i in range(len(w)):
+                for k in range(len(own)):
+                    n = 0
+                    while i + n < len(w) and k + n < len(own) and w[i + n] == own[k + n]:
+                        n += 1
+                    if n >= 4 and not (i and k and w[i - 1] == own[k - 1]):
+                        runs.append((i, i + n, k, k + n))
+
+            def grow(chain, covered):
+                if needed <= covered and len(covered) >= 0.6 * len(own):
+                    out.add(label)
+                for r in runs:
+                    _, b, _, k = chain[-1]
+                    if r[0] > chain[-1][0] and r[1] > b and r[3] > k and r[0] - b <= 4 and (r[0] < b or not telling & set(w[b : r[0]])):
+                        grow([*chain, r], covered | set(range(r[2], r[3])))
+
+            for r in runs:
+                grow([r], set(range(r[2], r[3])))
+    return out
+
+
+LICENSED = {
+    "This work is licensed under the GNU General Public License version 2": {"gpl-2"},
+    "This work is licensed under the GNU General Public License, version 3.": {"gpl-3"},
+    "This work is licensed under the GNU Lesser General Public License version 3": {"lgpl-3"},
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": {"cc-by-nd"},
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": {"cc-by"},
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license": {"cc-by-nc-sa"},
+    "The contents of this file are subject to the Mozilla Public License Version 1.1": {"mpl-1.1"},
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1": set(),
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": {"mpl-2"},
+    "you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": {"gpl-2"},
+    "you can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License": {"agpl-3"},
+    "this work is not licensed under the gnu general public license": set(),
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this font software and associated documentation files, to deal in the software without restriction": {"mit"},
+    "Licensed under the Apache License, Version 1.1": set(),
+}
+
+
+@pytest.mark.parametrize(("text", "want"), LICENSED.items())
+def test_license_labels(text, want):
+    assert labels_of(text) == want == labels_by_brute_force(text)
+
+
+def test_license_labels_of_whole_tables_by_brute_force(spark, docs):
+    got = {r.doc_id: r for r in queries.queries()["op2_license_scan"](spark, SF).collect()}
+    for r in docs.collect():
+        text = lower(r.text)
+        found = labels_by_brute_force(text) if "licen" in text or "permi" in text or "software" in text else set()
+        base = set(filter(None, got[r.doc_id].base_labels.split(",")))
+        assert set(filter(None, got[r.doc_id].labels.split(","))) == base | found
+        assert 0 <= got[r.doc_id].score <= 1 and (got[r.doc_id].n_base > 0) == bool(base)
+
+
 def test_matching_statistics_are_longest():
     rng = np.random.default_rng(5)
     texts = [rng.integers(0, 4, 12).tolist() for _ in range(4)]
