@@ -110,15 +110,18 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
         _encoding.cache_clear()  # it takes far more memory than the ranks, and the worker lives on
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of each text, encoded one by one; a chunk sees only itself and the overlaps."""
         compiled = regex.compile(pattern)
         for batch in batches:
-            rows = batch.to_pydict()
-            ids = []
-            for text, k, n in zip(rows["text"], rows["k"], rows["n"], strict=True):
-                piece = piece_of(text, k == 0, k == n - 1, compiled, chunk, overlap)
-                ids.append(None if piece is None else ids_of(piece))
-            core = [t[(overlap if k else 0) :][:chunk] for t, k in zip(rows["text"], rows["k"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.binary()), pa.array(core, pa.string())], ["uid", id_col, "k", "ids", "core"])
+            for uid, key, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                text = text.as_py()
+                n = -(-len(text) // chunk)
+                for k in range(n):
+                    seen = text[max(0, k * chunk - overlap) : (k + 1) * chunk + overlap]
+                    piece = piece_of(seen, k == 0, k == n - 1, compiled, chunk, overlap)
+                    row = [uid.as_py()], [k], [None if piece is None else ids_of(piece)], [text[k * chunk : (k + 1) * chunk]]
+                    uids, ks, ids, core = (pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.string()), strict=True))
+                    yield pa.RecordBatch.from_arrays([uids, pa.array([key.as_py()], batch.column(1).type), ks, ids, core], ["uid", id_col, "k", "ids", "core"])
         _encoding.cache_clear()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +134,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
 
     schema = f"{id_col} {kind}, ids binary" + ", bytes binary" * decoded
     short = texts.where(F.col("size") <= chunk).select(id_col, "text").mapInArrow(whole, schema)
-    n = F.ceil(F.col("size") / chunk).cast("int")
-    cut = F.when(F.col("k") == 0, F.substring("text", F.lit(1), F.lit(chunk + overlap))).otherwise(F.substring("text", F.col("k") * chunk - overlap + 1, F.lit(chunk + 2 * overlap)))
-    chunks = texts.where(F.col("size") > chunk).select(F.monotonically_increasing_id().alias("uid"), id_col, "text", n.alias("n"))
-    chunks = chunks.select("uid", id_col, "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("uid", id_col, "k", "n", cut.alias("text"))
+    chunks = texts.where(F.col("size") > chunk).select(F.monotonically_increasing_id().alias("uid"), id_col, "text")
     pieces = chunks.mapInArrow(parts, f"uid long, {id_col} {kind}, k int, ids binary, core string")
     stitched = pieces.groupBy("uid", id_col).agg(F.array_sort(F.collect_list(F.struct("k", "ids", "core"))).alias("pieces"))
     return short.unionByName(stitched.select(id_col, "pieces").mapInArrow(join, schema))

@@ -2,8 +2,9 @@
 
 Texts are cut where a character that is not white space stands before a blank, and where an ASCII letter stands
 before a stop. No token of a byte-level tokenizer whose words are ` ?letters`, ` ?digits`, ` ?other` or white
-space crosses such a place, so lengths of the pieces add up to that of the text, however long it is. If an added
-token of the tokenizer holds such a place, texts are not cut. Equal pieces of a batch are encoded once, and a
+space crosses such a place, so lengths of the pieces add up to that of the text. A run without such a place (a text
+without blanks) is one piece. If the file's tokenizer normalises, splits otherwise, puts a blank before texts, or has
+an added token with such a place, texts are not cut. Equal pieces of a batch are encoded once, and a
 worker remembers the lengths of the pieces that it met first, up to a bound.
 
 Null counts as empty; empty texts have no tokens. Repeated rows are counted each.
@@ -11,6 +12,7 @@ Null counts as empty; empty texts have no tokens. Repeated rows are counted each
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,7 +40,11 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.safe = not any(_SAFE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        rules = parts.get("pre_tokenizer") or {}
+        usual = parts.get("normalizer") is None and rules.get("type") == "ByteLevel" and rules.get("use_regex", True) and not rules.get("add_prefix_space", False)
+        self.safe = usual and not any(_SAFE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, int] = {}
 
     def _encode(self, pieces: list[str]) -> list[int]:

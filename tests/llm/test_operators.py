@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -251,7 +252,7 @@ def test_matching_statistics_are_longest():
         assert size == max((n for n in range(min(12, i + 1) + 1) if n == 0 or tuple(query[i + 1 - n : i + 1]) in pieces), default=0)
 
 
-def test_token_counts(odd, docs, empty):
+def test_token_counts(spark, odd, docs, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
     for df in (odd, docs):
@@ -259,6 +260,15 @@ def test_token_counts(odd, docs, empty):
         want = Counter((r.doc_id, len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False))) for r in df.select("doc_id", "text").collect())
         assert got == want
     assert token_counts.count_tokens(empty, path).count() == 0
+    # a tokenizer with other rules encodes whole texts
+    changed = json.load(open(path, encoding="utf-8"))
+    changed["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(changed), encoding="utf-8")
+    assert token_counts.Counter(path).safe and not token_counts.Counter(str(tmp_path / "other.json")).safe
+    other, text = Tokenizer.from_file(str(tmp_path / "other.json")), "one two, three. four " * 30
+    assert token_counts.Counter(str(tmp_path / "other.json")).lengths([text]) == [len(other.encode(text, add_special_tokens=False))]
+    got = by_id(queries.queries()["op4_token_counts"](spark, SF))
+    assert all(got[r.doc_id].over_limit == (len(tokenizer.encode(r.text or "", add_special_tokens=False)) > 1024) for r in docs.collect())
 
 
 def test_byte_bpe(odd, docs, empty):
