@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,10 +32,37 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(ab, F.sqrt(aa * bb))
 
 
+#: Most runs of a support set. It is few shots of each class by contract; a larger one is an error.
+MOST_SUPPORT = 10_000
+
+
+def support_row(support: DataFrame) -> DataFrame:
+    """One row with the support set as an array, after its size was checked."""
+    if support.limit(MOST_SUPPORT + 1).count() > MOST_SUPPORT:
+        raise ValueError(f"a support set has at most {MOST_SUPPORT} runs")
+    each = F.struct(F.col("run_id").alias("s_id"), F.col("label").alias("s_label"), F.col("values").alias("s_values"))
+    return support.agg(F.collect_list(each).alias("support"))
+
+
 def pairs(queries: DataFrame, support: DataFrame) -> DataFrame:
-    """Each query with each run of a support set; the support set is the small, broadcast side of few shots for each class."""
-    s = support.select(F.col("run_id").alias("s_id"), F.col("label").alias("s_label"), F.col("values").alias("s_values"))
-    return queries.crossJoin(F.broadcast(s)).where("run_id <> s_id")
+    """Each query with each other run of a support set."""
+    every = queries.crossJoin(F.broadcast(support_row(support)))  # of a single row
+    return every.select(*queries.columns, F.inline("support")).where("s_id IS NULL OR run_id <> s_id")
+
+
+def nearest_vote(queries: DataFrame, support: DataFrame, distance: Callable[[Column, Column], Column], k: int) -> DataFrame:
+    """(run_id, predicted): of the k nearest other runs of the support, most votes, then least total distance, then smallest label. Nothing is shuffled."""
+    every = queries.crossJoin(F.broadcast(support_row(support)))
+    others = F.filter("support", lambda s: s["s_id"] != F.col("run_id"))
+    near = F.transform(others, lambda s: F.struct(distance(F.col("values"), s["s_values"]).alias("distance"), s["s_id"].alias("s_id"), s["s_label"].alias("s_label")))
+    near = every.select("run_id", F.slice(F.array_sort(near), 1, k).alias("near"))
+
+    def standing(label: Column) -> Column:
+        own = F.filter("near", lambda n: n["s_label"] == label)
+        total = F.aggregate(own, F.lit(0.0), lambda t, n: t + n["distance"])
+        return F.struct((-F.size(own)).alias("n"), total.alias("total"), label.alias("label"))
+
+    return near.select("run_id", F.array_min(F.transform(F.array_distinct("near.s_label"), standing))["label"].alias("predicted"))
 
 
 def vote(distances: DataFrame, k: int) -> DataFrame:
@@ -54,26 +83,38 @@ def few_shots(runs: DataFrame, shots: int) -> DataFrame:
     return runs.withColumn("shot", F.row_number().over(Window.partitionBy("label").orderBy("run_id"))).where(F.col("shot") <= shots).drop("shot")
 
 
-def dtw(a: np.ndarray, b: np.ndarray, band: int) -> float:
-    """Dynamic time warping of squared differences within a band."""
-    n, m = len(a), len(b)
-    band = max(band, abs(n - m))
-    before = np.full(m + 1, np.inf)
-    before[0] = 0
-    for i in range(1, n + 1):
-        now = np.full(m + 1, np.inf)
-        for j in range(max(1, i - band), min(m, i + band) + 1):
-            now[j] = (a[i - 1] - b[j - 1]) ** 2 + min(before[j], now[j - 1], before[j - 1])
-        before = now
-    return float(before[m])
-
+def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None, best: float = np.inf) -> float:
+    """Dynamic time warping of squared differences of runs (samples, channels) within a band.
 
-def dtw_distances(candidates: DataFrame, band: int) -> DataFrame:
-    """DTW of candidate pairs (run_id, s_id, s_label, values, s_values), in Arrow batches."""
+    Anti-diagonals are computed at once. Infinite once no path can stay under `best`.
+    """
+    a, b = (x[:, None] if x.ndim == 1 else x for x in (a, b))
+    n, m = len(a), len(b)
+    band = max(n, m) if band is None else max(band, abs(n - m))
+    cost = np.full((n + 1, m + 1), np.inf)
+    cost[0, 0] = 0.0
+    i = np.arange(1, n + 1)
+    low = np.inf
+    for s in range(2, n + m + 1):
+        j = s - i
+        some = (j >= 1) & (j <= m) & (np.abs(i - j) <= band)
+        p, q = i[some], j[some]
+        if not len(p):
+            continue
+        here = ((a[p - 1] - b[q - 1]) ** 2).sum(1) + np.minimum(np.minimum(cost[p - 1, q], cost[p, q - 1]), cost[p - 1, q - 1])
+        cost[p, q] = here
+        if min(low, here.min()) >= best:  # two diagonals hold a cell of each path
+            return float("inf")
+        low = here.min()
+    return float(cost[n, m])
+
+
+def dtw_distances(candidates: DataFrame, band: int | None, channels: int = 1) -> DataFrame:
+    """DTW of candidate pairs (run_id, s_id, s_label, values, s_values), in Arrow batches. channels: of each sample, one after another in the arrays."""
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([dtw(np.asarray(x, float), np.asarray(y, float), band) for x, y in zip(a, b, strict=True)])
+        return pd.Series([dtw(np.asarray(x, float).reshape(-1, channels), np.asarray(y, float).reshape(-1, channels), band) for x, y in zip(a, b, strict=True)])
 
     return candidates.select("run_id", "s_id", "s_label", distance("values", "s_values").alias("distance"))
 

@@ -12,7 +12,7 @@ from .windows import first_run_of
 def against_baseline(runs: DataFrame, family: str) -> DataFrame:
     """Each child's rows beside those of its family's baseline, the run with the smallest id."""
     base_ids = runs.groupBy(family).agg(F.min("run_id").alias("base_id"))
-    with_base = runs.join(F.broadcast(base_ids), family)  # a row for each family
+    with_base = runs.join(base_ids, family)
     base = with_base.where("run_id = base_id").select(family, "pos", F.col("value").alias("base"))
     return with_base.where("run_id <> base_id").join(base, [family, "pos"]).select(family, "run_id", "pos", "value", "base")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.exprs import finite
+
 
 def centred(keys: list[str], order: str, size: int) -> WindowSpec:
     half = (size + 1 - size % 2) // 2
@@ -12,7 +14,8 @@ def centred(keys: list[str], order: str, size: int) -> WindowSpec:
 
 
 def rolling_rms(value: str, w: WindowSpec) -> Column:
-    return F.coalesce(F.sqrt(F.avg(F.pow(F.col(value), 2)).over(w)), F.lit(0.0))
+    """Of the finite samples of the window; 0 without any."""
+    return F.coalesce(F.sqrt(F.avg(F.when(finite(F.col(value)), F.pow(F.col(value), 2))).over(w)), F.lit(0.0))
 
 
 def rolling_median(value: str, w: WindowSpec) -> Column:

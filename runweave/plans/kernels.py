@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import align, classify, detect, windows
+from ..operators import align, classify, detect, noise, windows
 from ..sources import tables
 
 QUERIES: dict = {}
@@ -108,9 +108,9 @@ def block_mean(spark, d):
     return align.block_mean(vectors(spark, d), ["run_id"], "pos", "value", 10).select("run_id", F.col("block").cast("long").alias("block"), X.scaled(F.col("value")).alias("value"))
 
 
-@query("standardise", f"WITH {_VECTORS}, s AS (SELECT run_id, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY ALL) SELECT v.run_id, CAST(pos AS BIGINT) AS pos, {q('(value - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END')} AS z FROM v JOIN s USING (run_id) WHERE pos % 8 = 3")
+@query("standardise", f"WITH {_VECTORS}, s AS (SELECT run_id, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY ALL) SELECT v.run_id, CAST(pos AS BIGINT) AS pos, {q('(value - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END')} AS z FROM v JOIN s USING (run_id)")
 def standardise(spark, d):
-    return align.standardise(vectors(spark, d), ["run_id"], "value").where("pos % 8 = 3").select("run_id", F.col("pos").cast("long").alias("pos"), X.scaled(F.col("z")).alias("z"))
+    return align.standardise(vectors(spark, d), ["run_id"], "value").select("run_id", F.col("pos").cast("long").alias("pos"), X.scaled(F.col("z")).alias("z"))
 
 
 @query("standardise_every_place", f"WITH {_VECTORS}, s AS (SELECT run_id, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY ALL) SELECT v.run_id, CAST(pos AS BIGINT) AS pos, {q('(value - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END')} AS z FROM v JOIN s USING (run_id)")
@@ -194,12 +194,10 @@ def uniform(spark, d):
 @query("adaptive_noise")
 def adaptive_noise(spark, d):
     """Noise of the local level: sigma is a share of the rolling RMS, at least a share of the run's."""
-    e = tables.event_runs(spark, d)
-    own = Window.partitionBy("run_id")
-    local, whole = windows.rolling_rms("value", windows.centred(["run_id"], "t", 9)), F.sqrt(F.avg(F.pow("value", F.lit(2))).over(own))
-    seed = X.fnv1a32(F.concat(F.lit("run:"), F.col("run_id").cast("string")))
-    noisy = e.withColumn("sigma", 0.1 * F.greatest(local, 0.05 * whole)).withColumn("k", F.row_number().over(own.orderBy("t")))
-    return noisy.select("run_id", "t", "value", (F.col("value") + F.col("sigma") * X.normal(seed, F.col("k"))).alias("noisy"))
+    e = noise.levels(tables.event_runs(spark, d), ["run_id"], "t", window=9)
+    seed = noise.stream_seed(F.lit("run"), F.col("run_id").cast("string"))
+    noisy = noise.draw(e, ["run_id"], "t", "noise", noise.adaptive_sigma(0.1, floor=0.05), seed)
+    return noisy.select("run_id", "t", "value", (F.col("value") + F.col("noise")).alias("noisy"))
 
 
 def arrays(spark: SparkSession, d: str) -> DataFrame:
@@ -212,8 +210,7 @@ _ARRAYS = "r AS (SELECT vec_id AS run_id, label, embedding AS x FROM embeddings)
 @query("nearest_neighbour_vote", f"WITH {_ARRAYS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY distance, s_id) AS k FROM d), v AS (SELECT run_id, s_label, count(*) AS n, sum(distance) AS total FROM n WHERE k <= 5 GROUP BY ALL) SELECT run_id, arg_min(s_label, (-n, total, s_label)) AS predicted FROM v GROUP BY run_id")
 def knn(spark, d):
     r = arrays(spark, d)
-    distances = classify.pairs(r, classify.few_shots(r, 5)).withColumn("distance", classify.squared_distance(F.col("values"), F.col("s_values")))
-    return classify.vote(distances, 5)
+    return classify.nearest_vote(r, classify.few_shots(r, 5), classify.squared_distance, 5)
 
 
 @query("few_shot_accuracy", f"WITH {_ARRAYS}, n AS (SELECT run_id, label, arg_min(s_label, (distance, s_label)) AS predicted FROM d GROUP BY run_id, label) SELECT label, count(*) AS runs, count(*) FILTER (WHERE predicted = label) AS correct FROM n GROUP BY label")
@@ -227,23 +224,26 @@ def few_shot(spark, d):
 @query("nearest_centroid", f"WITH {_VECTORS}, k AS (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY run_id) AS shot FROM v), c AS (SELECT label AS s_label, pos, avg(value) AS m FROM k WHERE shot <= 5 GROUP BY ALL), d AS (SELECT run_id, s_label, sum((value - m) ** 2) AS distance FROM v JOIN c USING (pos) GROUP BY ALL) SELECT run_id, arg_min(s_label, (distance, s_label)) AS predicted FROM d GROUP BY run_id")
 def centroid(spark, d):
     r = arrays(spark, d)
-    c = classify.centroids(classify.few_shots(r, 5)).select(F.col("label").alias("s_label"), F.col("values").alias("s_values"))
-    distances = r.crossJoin(F.broadcast(c)).withColumn("distance", classify.squared_distance(F.col("values"), F.col("s_values")))  # a row for each class
+    c = classify.centroids(classify.few_shots(r, 5)).withColumn("run_id", F.lit(None).cast("long"))
+    distances = classify.pairs(r, c).withColumn("distance", classify.squared_distance(F.col("values"), F.col("s_values")))
     return distances.groupBy("run_id").agg(F.min(F.struct("distance", "s_label"))["s_label"].alias("predicted"))
 
 
 @query("correlation_nearest", f"WITH {_ARRAYS}, m AS (SELECT run_id, s_id, s_label, x, s, list_avg(x::DOUBLE[]) AS mx, list_avg(s::DOUBLE[]) AS ms FROM r, s WHERE run_id <> s_id), c AS (SELECT run_id, s_label, list_sum(list_transform(list_zip(x, s), lambda p: (p[1]::DOUBLE - mx) * (p[2]::DOUBLE - ms))) / sqrt(list_sum(list_transform(x, lambda p: (p::DOUBLE - mx) ** 2)) * list_sum(list_transform(s, lambda p: (p::DOUBLE - ms) ** 2))) AS r FROM m) SELECT run_id, arg_min(s_label, (-r, s_label)) AS predicted, {q('max(r)')} AS best FROM c GROUP BY run_id")
 def correlation(spark, d):
     r = arrays(spark, d)
-    c = classify.pairs(r, classify.few_shots(r, 5)).withColumn("r", classify.pearson(F.col("values"), F.col("s_values")))
-    return c.groupBy("run_id").agg(F.min(F.struct((-F.col("r")).alias("m"), "s_label"))["s_label"].alias("predicted"), X.scaled(F.max("r")).alias("best"))
+    c = classify.pairs(r, classify.few_shots(r, 5)).withColumn("r", F.coalesce(classify.pearson(F.col("values"), F.col("s_values")), F.lit(float("-inf"))))
+    return c.groupBy("run_id").agg(F.min(F.struct((-F.col("r")).alias("m"), "s_label"))["s_label"].alias("predicted"), X.scaled(F.max(F.when(F.col("r") > float("-inf"), F.col("r")))).alias("best"))
 
 
-@query("truncated_rmse", f"WITH {_ARRAYS}, t AS (SELECT run_id, s_id, sqrt(list_sum(list_transform(list_zip(x[1:32], s[1:32]), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) / 32) AS e FROM r, s WHERE run_id <> s_id) SELECT run_id, {q('min(e)')} AS least FROM t GROUP BY run_id")
+@query("truncated_rmse", f"WITH {_EVENTS}, r AS (SELECT run_id, list(value ORDER BY t) AS x FROM e GROUP BY run_id), s AS (SELECT run_id AS s_id, x AS s FROM (SELECT *, row_number() OVER (ORDER BY run_id) AS k FROM r) WHERE k <= 5), t AS (SELECT run_id, s_id, least(len(x), len(s)) AS n, x, s FROM r, s WHERE run_id <> s_id), u AS (SELECT run_id, s_id, n, sqrt(list_sum(list_transform(list_zip(x[1:n], s[1:n]), lambda p: (p[1] - p[2]) ** 2)) / n) AS e FROM t) SELECT run_id, s_id, n::BIGINT AS n, {q('e')} AS rmse FROM u")
 def truncated(spark, d):
-    r = arrays(spark, d)
-    shots = classify.few_shots(r, 5).withColumn("values", F.slice("values", 1, 32))
-    return classify.pairs(r, shots).withColumn("e", classify.truncated_rmse(F.col("values"), F.col("s_values"))).groupBy("run_id").agg(X.scaled(F.min("e")).alias("least"))
+    """Runs of different lengths against the first five: both are cut to the shorter one."""
+    e = tables.event_runs(spark, d).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("t", "value")))["value"].alias("values"))
+    shots = e.orderBy("run_id").limit(5).withColumn("label", F.lit(""))
+    p = classify.pairs(e, shots)
+    n = F.least(F.size("values"), F.size("s_values")).cast("long")
+    return p.select("run_id", "s_id", n.alias("n"), X.scaled(classify.truncated_rmse(F.col("values"), F.col("s_values"))).alias("rmse"))
 
 
 @query("leave_one_out_accuracy", f"WITH {_ARRAYS}, l AS (SELECT a.s_id, a.s_label, arg_min(b.s_label, (list_sum(list_transform(list_zip(a.s, b.s), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), b.s_id)) AS predicted FROM s a JOIN s b ON a.s_id <> b.s_id GROUP BY ALL) SELECT count(*) AS runs, count(*) FILTER (WHERE predicted = s_label) AS correct FROM l")
@@ -277,10 +277,10 @@ def lagged(spark, d):
     return s.groupBy("label", "run_id").agg(X.scaled(F.max(r)).alias("best"))
 
 
-@query("step_schedule", f"WITH {_EVENTS}, s AS (SELECT run_id, t // {DAY} AS day, arg_max(value, t) AS v FROM e WHERE signal = 'error' GROUP BY ALL), g AS (SELECT run_id, unnest(range(30)) AS day FROM (SELECT DISTINCT run_id FROM s)) SELECT g.run_id, g.day, {q('last_value(v IGNORE NULLS) OVER (PARTITION BY g.run_id ORDER BY g.day)')} AS value FROM g LEFT JOIN s USING (run_id, day)")
+@query("step_schedule", f"WITH {_EVENTS}, s AS (SELECT run_id, t // {DAY} AS day, arg_max(value, t) AS v FROM e WHERE signal = 'error' GROUP BY ALL), g AS (SELECT run_id, unnest(range(max(day) + 1)) AS day FROM s GROUP BY run_id) SELECT g.run_id, g.day, {q('last_value(v IGNORE NULLS) OVER (PARTITION BY g.run_id ORDER BY g.day)')} AS value FROM g LEFT JOIN s USING (run_id, day)")
 def step_schedule(spark, d):
     e = tables.event_runs(spark, d).where("signal = 'error'").withColumn("day", F.floor(F.col("t") / DAY).cast("long"))
     s = e.groupBy("run_id", "day").agg(F.max(F.struct("t", "value"))["value"].alias("v"))
-    g = s.select("run_id").distinct().select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("day"))
+    g = s.groupBy("run_id").agg(F.max("day").alias("last")).select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("day"))
     held = F.last("v", ignorenulls=True).over(Window.partitionBy("run_id").orderBy("day"))
     return g.join(s, ["run_id", "day"], "left").select("run_id", "day", X.scaled(held).alias("value"))

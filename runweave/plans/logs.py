@@ -58,10 +58,10 @@ def cost(spark, d):
     return t.select("k", X.scaled(((F.col("prompt") - F.col("cached")) * 3.0 + F.col("cached") * 0.3 + F.col("completion") * 15.0) / 100).alias("cost"))
 
 
-@query("tool_calls", "WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) SELECT word, count(*) AS calls, count(DISTINCT conv_id) AS conversations FROM w GROUP BY word HAVING count(*) > 20")
+@query("tool_calls", "WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) SELECT word, count(*) AS calls, count(DISTINCT conv_id) AS conversations FROM w GROUP BY word")
 def tool_calls(spark, d):
     w = tables.table(spark, d, "conversations").select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("conv_id").alias("conversations")).where("calls > 20")
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("conv_id").alias("conversations"))
 
 
 @query("tool_calls_every_word", "WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) SELECT word, count(*) AS calls, count(DISTINCT conv_id) AS conversations FROM w GROUP BY word")
