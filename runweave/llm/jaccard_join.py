@@ -68,22 +68,27 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _key(shingles: np.ndarray) -> np.ndarray:
-    """48 bits of a hash, by which shingles are counted: the counts only order them."""
-    return shingles >> np.uint64(16)
+    """40 bits of a hash, by which shingles are counted: the counts only order them."""
+    return shingles >> np.uint64(24)
+
+
+def _bytes_of(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of the values; those of a rank stand together, which compresses well."""
+    return values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray, n_blocks: int) -> pa.RecordBatch:
-    """Sorted keys and their counts, cut into blocks of the key range; bytes of a rank stand together, which compresses well."""
-    cut = np.searchsorted(keys, np.arange(n_blocks + 1, dtype=np.uint64) * np.uint64((1 << 48) // n_blocks + 1))
+    """Sorted keys and their counts, cut into blocks of the key range."""
+    cut = np.searchsorted(keys, np.arange(n_blocks + 1, dtype=np.uint64) * np.uint64((1 << 40) // n_blocks + 1))
     blocks = [k for k in range(n_blocks) if cut[k] < cut[k + 1]]
-    planes = [keys[cut[k] : cut[k + 1]].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() for k in blocks]
+    planes = [_bytes_of(keys[cut[k] : cut[k + 1]], 5) for k in blocks]
     times = [counts[cut[k] : cut[k + 1]].astype(np.uint32).tobytes() for k in blocks]
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(planes, pa.binary()), pa.array(times, pa.binary())], ["block", "planes", "times"])
 
 
-def _unpacked(planes: bytes) -> np.ndarray:
-    out = np.zeros((len(planes) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(planes, np.uint8).reshape(6, -1).T
+def _unpacked(planes: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
     return out.reshape(-1).view(np.uint64)
 
 
@@ -105,7 +110,7 @@ def _count(size: int, n_blocks: int):
 
 def _often(frame: pd.DataFrame) -> pd.DataFrame:
     """Keys of a block that at least 4 texts hold, and log2 of how many."""
-    keys = np.concatenate([_unpacked(x) for x in frame["planes"]])
+    keys = np.concatenate([_unpacked(x, 5) for x in frame["planes"]])
     times = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["times"]])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -177,7 +182,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                s, t = _unpacked(x.as_py(), 6), _unpacked(y.as_py(), 6)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -189,14 +194,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, set) of these nodes, read again from the text of each node's first row."""
+    """(node, set) of these nodes, read again from the text of each node's first row. A set is held as 48 bits of each hash."""
     wanted = nodes.select("node").distinct().join(firsts, "node").select("first.file", "first.place")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in common.slices(batch.column(0)):
                 found = shingle_sets(batch.column(0).slice(a, b - a), size)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([_bytes_of(s >> np.uint64(16), 6) for s in found], pa.binary())], ["node", "set"])
 
     return common.materialise(common.at_places(texts.select("text"), wanted, kept=True).mapInArrow(sets, "node long, set binary"))
 
@@ -236,7 +241,12 @@ def _first_pairs(postings: DataFrame, member: DataFrame, percent: int) -> DataFr
     return most.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().unionByName(inside)
 
 
-def _open_pairs(postings: DataFrame, placed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _prefixes_of(rows: DataFrame, leads: DataFrame) -> DataFrame:
+    """(group, n, prefix) of these groups, from the stored row of each one's first node."""
+    return common.at_places(rows, leads.select("row.file", "row.place"), kept=True).select(F.col("node").alias("group"), "n", "prefix")
+
+
+def _open_pairs(postings: DataFrame, placed: DataFrame, rows: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     """(a, b) of nodes in different components whose groups meet in a list and may link by size, place and prefix, or are one group."""
     sides = placed.select("group", "component").distinct()
     listed = common.materialise(postings.drop("lists").join(sides, "group"))
@@ -252,14 +262,15 @@ def _open_pairs(postings: DataFrame, placed: DataFrame, groups: DataFrame, perce
     larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_group") > F.col("b_group")))
     near = (F.col("a_place") <= F.col("a_n") - _overlap(percent)) & (F.col("b_place") <= F.col("b_n") - _overlap(percent))
     met = a.join(b, ["shingle", "step", "part"]).where((F.col("a_component") != F.col("b_component")) & larger & _enough(percent) & near)
-    met = met.select("a_group", "b_group", "a_n", "b_n").distinct()
-    prefix = groups.select("group", "prefix")
+    met = common.materialise(met.select("a_group", "b_group", "a_n", "b_n").distinct())
+    asked = met.select(F.col("a_group").alias("group")).unionByName(met.select(F.col("b_group").alias("group"))).distinct()
+    prefix = common.materialise(_prefixes_of(rows, leads.join(asked, "group", "left_semi")))
     met = met.join(prefix.select(F.col("group").alias("a_group"), F.col("prefix").alias("p")), "a_group").join(prefix.select(F.col("group").alias("b_group"), F.col("prefix").alias("q")), "b_group")
     rest = F.greatest(F.col("a_n") - F.size("p"), F.col("b_n") - F.size("q"))
     met = common.materialise(met.where(F.size(F.array_intersect("p", "q")) + rest >= _overlap(percent)).select("a_group", "b_group"))
     of_a, of_b = (placed.select(F.col("group").alias(f"{x}_group"), F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab")
     across = met.join(of_a, "a_group").join(of_b, "b_group").where(F.col("a_component") != F.col("b_component")).select("a", "b")
-    many = groups.where("members > 1").select(F.col("group").alias("g"), _parts(F.col("members")).alias("parts"))
+    many = leads.where("members > 1").select(F.col("group").alias("g"), _parts(F.col("members")).alias("parts"))
     inside = placed.join(many, F.col("group") == F.col("g"))
     one = inside.select("group", _part_of("node", "parts").alias("part"), F.col("node").alias("a"), F.col("component").alias("a_component"))
     two = inside.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("component").alias("b_component"))
@@ -276,19 +287,17 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     placed_texts = texts.select("id", *common.address(), "text")
     rows = placed_texts.mapInArrow(_prefixes(size, percent, known), f"id {kind}, file string, place long, node long, n long, prefix array<long>")
     rows = common.materialise(rows.withColumn("key", F.xxhash64("n", "prefix")))
-    full = rows.where("n > 0")
-    nodes = full.groupBy("node").agg(F.min(F.struct("file", "place")).alias("first"), F.first("key").alias("key"), F.count(F.lit(1)).alias("rows"))
+    own_place = F.struct(*common.address()).alias("own")
+    full = rows.where("n > 0").select("node", "key", F.struct("file", "place").alias("first"), own_place)
+    nodes = full.groupBy("node").agg(F.min("first").alias("first"), F.min("own").alias("row"), F.first("key").alias("key"), F.count(F.lit(1)).alias("rows"))
     nodes = common.materialise(nodes)
     firsts = nodes.select("node", "first")
     several = nodes.groupBy("key").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("members"))
     several = common.materialise(several.where("members > 1").withColumnRenamed("key", "of"))
-    member = common.join_keys(nodes, several, "key", "of", "members").select("node", F.coalesce("group", "node").alias("group"), "members")
+    member = common.join_keys(nodes, several, "key", "of", "members").select("node", F.coalesce("group", "node").alias("group"), "members", "row")
     member = common.materialise(member)
-    lead = member.where("node = group").select("group", F.coalesce("members", F.lit(1)).alias("members"))
-    # prefixes of equal sets are equal: the map side keeps one for each
-    groups = full.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumnRenamed("node", "group")
-    groups = common.materialise(groups.join(lead, "group"))
-    postings = groups.select("group", "n", F.posexplode("prefix").alias("place", "shingle"))
+    leads = member.where("node = group").select("group", F.coalesce("members", F.lit(1)).alias("members"), "row")
+    postings = _prefixes_of(rows, leads).select("group", "n", F.posexplode("prefix").alias("place", "shingle"))
     often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
     often = common.materialise(often.select(F.col("shingle").alias("of_list"), "lists"))
     postings = common.materialise(common.join_keys(postings, often, "shingle", "of_list", "lists", "inner").drop("of_list"))
@@ -299,7 +308,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     found = components(links)
 
     placed = common.materialise(member.join(found, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component")))
-    more = common.materialise(_open_pairs(postings, placed, groups, percent))
+    more = common.materialise(_open_pairs(postings, placed, rows, leads, percent))
     if not more.isEmpty():
         sets = _sets_of(more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))), firsts, texts, size)
         extra = common.materialise(_verify(more, sets, percent))
