@@ -3,8 +3,9 @@
 Every word has a slot of a class. The most frequent words have a slot each, dealt by rank over head classes. All
 others, known or not, share slots by their last bytes: buckets of endings with like contexts (counted over all
 training texts) form a tail class, in which neighbouring buckets make a slot. Two hashed softmax layers have
-features of the n-gram and skip kind (the slots of the word before, of the one two and of the one three before, and
-the hashed pair before): one over the classes, one over the slots of a class, so context reaches every word. Within a shared slot a word has its
+features of the n-gram and skip kind: one over the classes (the slots of the words one, two and three before, and the
+hashed pair before), one over the slots of a class (the slot before and the class two before, each with the class),
+so context reaches every word. Within a shared slot a word has its
 smoothed share, (c + 0.5) / (n + 0.5 (v + 1)); the last term is that of all words never seen. So the model is a
 distribution, and its score comparable to that of the base.
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import NON_SPACE, Words
 
-#: Head classes, slots of a class, tail classes; hashed rows of the pair; rounds; most words whose counts are broadcast.
-HEADS, WIDTH, TAILS, ROWS, ROUNDS, MOST_COMMON = 16, 32, 16, 2_048, 2, 400_000
+#: Head classes, slots of a class, tail classes; hashed rows of the pair, and of the slot before with the class; rounds; most words whose counts are broadcast.
+HEADS, WIDTH, TAILS, ROWS, SLOT_ROWS, ROUNDS, MOST_COMMON = 16, 32, 16, 2_048, 8_192, 2, 400_000
 #: Buckets of word endings, and of the endings before them that describe them.
 BUCKETS, BEFORE = 1_024, 64
 #: Step of an update, and the pull towards no change in occurrences, for the classes and for the slots.
@@ -89,7 +90,9 @@ def contexts(t: Tokens, place: np.ndarray) -> tuple[list[np.ndarray], list[np.nd
     of_class = [x + k * (PLACES + 1) for k, x in enumerate(before)]
     of_class.append((pair >> np.uint64(40)).astype(np.int64) % ROWS + 3 * (PLACES + 1))
     kind = place // WIDTH
-    return of_class, [before[0] * CLASSES + kind, (PLACES + 1 + t.back(2, code, CODES)) * CLASSES + kind]
+    with_class = common.mix((t.back(1, code, CODES) * CLASSES + kind).astype(np.uint64) * _SALT[0])
+    two_before = np.where(before[1] < PLACES, before[1] // WIDTH, CLASSES)
+    return of_class, [(with_class >> np.uint64(40)).astype(np.int64) % SLOT_ROWS, SLOT_ROWS + two_before * CLASSES + kind]
 
 
 def softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -129,7 +132,7 @@ class Model:
     slot_bias: np.ndarray
     total: float
     classes: np.ndarray = field(default_factory=lambda: np.zeros((3 * (PLACES + 1) + ROWS, CLASSES), np.float32))
-    slots: np.ndarray = field(default_factory=lambda: np.zeros(((PLACES + CODES + 2) * CLASSES, WIDTH), np.float32))
+    slots: np.ndarray = field(default_factory=lambda: np.zeros((SLOT_ROWS + (CLASSES + 1) * CLASSES, WIDTH), np.float32))
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Places among the known words, else -1."""
