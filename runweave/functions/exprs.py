@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-3
@@ -116,3 +116,24 @@ def normal(seed: Column, k: Column) -> Column:
     """The k-th normal (from 1) of a stream: two uniforms each, cosine branch."""
     u, v = mulberry32(seed, 2 * k - 1), mulberry32(seed, 2 * k)
     return F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-300)))) * F.cos(v * 6.283185307179586)
+
+
+def label_order(labels: DataFrame, label: str, preferred: list[str], last: str | None) -> DataFrame:
+    """(label, place): distinct labels by a preferred order, then by name, and one of them last. Labels are few by contract."""
+    rank = F.lit(len(preferred))
+    for k, name in enumerate(preferred):
+        rank = F.when(F.col(label) == name, k).otherwise(rank)
+    if last is not None:
+        rank = F.when(F.col(label) == last, len(preferred) + 1).otherwise(rank)
+    return labels.select(label, (F.row_number().over(Window.orderBy(rank, label)) - 1).cast("long").alias("place"))
+
+
+def first_seen(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, value, first, place): the distinct values of each key in the order in which they come first."""
+    first = df.groupBy(*keys, value).agg(F.min(order).alias("first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first", value)))
+
+
+def chronological(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+    """df with each row's place by time, rows without one last, ties in the order of `tie`."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(time), tie)))

@@ -58,9 +58,13 @@ def nearest(df: DataFrame, keys: list[str], time: str, at: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col(time) - at).alias("gap"), F.col(time).alias("t"), F.col("value").alias("v"))).alias("n")).select(*keys, F.col("n.t").alias("t"), F.col("n.gap").alias("gap"), F.col("n.v").alias("value"))
 
 
-def block_mean(df: DataFrame, keys: list[str], pos: str, value: str, factor: int) -> DataFrame:
-    """Means of whole blocks of `factor` rows."""
-    return df.groupBy(*keys, F.floor(F.col(pos) / factor).alias("block")).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n")).where(F.col("n") == factor).drop("n")
+def block_mean(df: DataFrame, keys: list[str], pos: str, value: str, factor: int, keep_short: bool = False) -> DataFrame:
+    """Means of whole blocks of `factor` rows. keep_short: a run shorter than a block keeps its first row."""
+    blocks = df.groupBy(*keys, F.floor(F.col(pos) / factor).alias("block")).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n"), F.min(F.struct(pos, value))[value].alias("first_"))
+    if not keep_short:
+        return blocks.where(F.col("n") == factor).drop("n", "first_")
+    short = (F.col("block") == 0) & (F.col("n") < factor)
+    return blocks.where((F.col("n") == factor) | short).withColumn(value, F.when(short, F.col("first_")).otherwise(F.col(value))).drop("n", "first_")
 
 
 def standardise(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -10,14 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contracts, impulses, kernels, logs, registry, reports
+from . import contracts, impulses, kernels, loading, logs, registry, reports, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return kernels.QUERIES | reports.QUERIES | logs.QUERIES | registry.QUERIES | contracts.QUERIES | impulses.QUERIES
+    return kernels.QUERIES | reports.QUERIES | logs.QUERIES | registry.QUERIES | contracts.QUERIES | impulses.QUERIES | loading.QUERIES | scalars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return kernels.ORACLES | reports.ORACLES | logs.ORACLES | registry.ORACLES | contracts.ORACLES | impulses.ORACLES
+    return kernels.ORACLES | reports.ORACLES | logs.ORACLES | registry.ORACLES | contracts.ORACLES | impulses.ORACLES | loading.ORACLES | scalars.ORACLES
