@@ -6,7 +6,7 @@ an equal prefix and size form one group, and only groups are indexed and paired.
 
 Links are found in two steps, so that a large family of near copies never becomes all its pairs: first each
 group is verified against a neighbour of like size in the lists of its prefix and against the hub that most of
-these lists name, and members against their group's first node; components follow. Then every pair of groups that
+these lists name (if their prefixes allow a link), and members against their group's first node; components follow. Then every pair of groups that
 meets in a list and still has members in different components is filtered by size, place and prefix overlap,
 expanded, and verified. What is not verified is connected already, so no link between different components is lost.
 
@@ -215,8 +215,8 @@ def _part_of(value: str, parts: str) -> Column:
     return F.pmod(F.xxhash64(value), F.col(parts)).cast("int")
 
 
-def _first_pairs(postings: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of groups and the neighbour and the hub that they meet in most lists, and of members and the first node of their group."""
+def _first_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(a_group, b_group) of groups and the neighbour and the hub that they meet in most lists."""
     shared = postings.groupBy("group").agg(F.count(F.lit(1)).alias("shared")).withColumnRenamed("group", "g")
     ranked = postings.join(shared, F.col("group") == F.col("g")).select("shingle", "lists", "group", "n", (F.col("shared") / F.col("n")).alias("shared"))
     ranked = ranked.withColumn("part", F.pmod(F.xxhash64("group"), _parts(F.col("lists"))).cast("int"))
@@ -237,8 +237,7 @@ def _first_pairs(postings: DataFrame, member: DataFrame, percent: int) -> DataFr
     meets = meets.where((F.col("with.b") != F.col("a")) & (smaller * 100 >= larger * percent))
     times = meets.groupBy("a", "kind", F.col("with.b").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     most = times.groupBy("a", "kind").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    inside = member.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
-    return most.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().unionByName(inside)
+    return most.select(F.greatest("a", "b").alias("a_group"), F.least("a", "b").alias("b_group")).distinct()
 
 
 def _prefixes_of(rows: DataFrame, leads: DataFrame) -> DataFrame:
@@ -246,6 +245,16 @@ def _prefixes_of(rows: DataFrame, leads: DataFrame) -> DataFrame:
     return common.at_places(rows, leads.select("row.file", "row.place"), kept=True).select(F.col("node").alias("group"), "n", "prefix")
 
 
+def _by_prefix(pairs: DataFrame, rows: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a_group, b_group), stored, that may still link: what their prefixes share, and all that stands behind the prefix that ends last, is enough."""
+    asked = pairs.select(F.col("a_group").alias("group")).unionByName(pairs.select(F.col("b_group").alias("group"))).distinct()
+    prefix = common.materialise(_prefixes_of(rows, leads.join(asked, "group", "left_semi")))
+    a, b = (prefix.select(F.col("group").alias(f"{x}_group"), F.col("n").alias(f"{x}_n"), F.col("prefix").alias(f"{x}_prefix")) for x in "ab")
+    both = pairs.join(a, "a_group").join(b, "b_group")
+    rest = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
+    return both.where(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest >= _overlap(percent)).select("a_group", "b_group")
+
+
 def _open_pairs(postings: DataFrame, placed: DataFrame, rows: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     """(a, b) of nodes in different components whose groups meet in a list and may link by size, place and prefix, or are one group."""
     sides = placed.select("group", "component").distinct()
@@ -262,12 +271,8 @@ def _open_pairs(postings: DataFrame, placed: DataFrame, rows: DataFrame, leads:
     larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_group") > F.col("b_group")))
     near = (F.col("a_place") <= F.col("a_n") - _overlap(percent)) & (F.col("b_place") <= F.col("b_n") - _overlap(percent))
     met = a.join(b, ["shingle", "step", "part"]).where((F.col("a_component") != F.col("b_component")) & larger & _enough(percent) & near)
-    met = common.materialise(met.select("a_group", "b_group", "a_n", "b_n").distinct())
-    asked = met.select(F.col("a_group").alias("group")).unionByName(met.select(F.col("b_group").alias("group"))).distinct()
-    prefix = common.materialise(_prefixes_of(rows, leads.join(asked, "group", "left_semi")))
-    met = met.join(prefix.select(F.col("group").alias("a_group"), F.col("prefix").alias("p")), "a_group").join(prefix.select(F.col("group").alias("b_group"), F.col("prefix").alias("q")), "b_group")
-    rest = F.greatest(F.col("a_n") - F.size("p"), F.col("b_n") - F.size("q"))
-    met = common.materialise(met.where(F.size(F.array_intersect("p", "q")) + rest >= _overlap(percent)).select("a_group", "b_group"))
+    met = common.materialise(met.select("a_group", "b_group").distinct())
+    met = common.materialise(_by_prefix(met, rows, leads, percent))
     of_a, of_b = (placed.select(F.col("group").alias(f"{x}_group"), F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab")
     across = met.join(of_a, "a_group").join(of_b, "b_group").where(F.col("a_component") != F.col("b_component")).select("a", "b")
     many = leads.where("members > 1").select(F.col("group").alias("g"), _parts(F.col("members")).alias("parts"))
@@ -302,7 +307,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     often = common.materialise(often.select(F.col("shingle").alias("of_list"), "lists"))
     postings = common.materialise(common.join_keys(postings, often, "shingle", "of_list", "lists", "inner").drop("of_list"))
 
-    first_pairs = common.materialise(_first_pairs(postings, member, percent))
+    near = _by_prefix(common.materialise(_first_pairs(postings, percent)), rows, leads, percent)
+    inside = member.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
+    first_pairs = common.materialise(near.select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).unionByName(inside))
     sets = _sets_of(first_pairs.select(F.col("a").alias("node")).unionByName(first_pairs.select(F.col("b").alias("node"))), firsts, texts, size)
     links = common.materialise(_verify(first_pairs, sets, percent))
     found = components(links)
