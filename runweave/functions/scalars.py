@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exprs import finite
@@ -196,3 +196,20 @@ def identity_number(text: Column) -> Column:
     x = text.try_cast("double")
     whole = F.when(x == 0, "0").when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string"))
     return F.when(x.isNull(), text).otherwise(F.coalesce(whole, x.cast("string")))
+
+
+def evaluated(df: DataFrame, given: dict[str, str]) -> DataFrame:
+    """df with a column for each expression, which may name columns and the other expressions; a circle is an error."""
+    left, out = dict(given), df
+    while left:
+        ready = [n for n, text in left.items() if not _names(text) & left.keys()]
+        if not ready:
+            raise ValueError(f"expressions in a circle: {sorted(left)}")
+        for n in ready:
+            out = out.withColumn(n, expression(left.pop(n), out.columns))
+    return out
+
+
+def _names(text: str) -> set[str]:
+    source = text.replace(".^", "**").replace("^", "**").replace(".*", "*").replace("./", "/").replace("&&", " and ").replace("||", " or ").replace("~=", "!=")
+    return {x.id for x in ast.walk(ast.parse(source.strip(), mode="eval")) if isinstance(x, ast.Name)}

@@ -36,16 +36,23 @@ def resample_largest(df: DataFrame, keys: list[str], time: str, value: str, step
 
 
 def interpolate(df: DataFrame, keys: list[str], time: str, value: str, step: int) -> DataFrame:
-    """Linear interpolation on the grid, held at the edges: one window over targets and samples together."""
-    targets = grid(df, keys, time, step).select(*keys, (F.col("bin") * step).alias(time), F.lit(None).cast("double").alias(value), "bin")
-    every = collapse_by_time(df, keys, time, value).withColumn("bin", F.lit(None).cast("long")).unionByName(targets)
-    point = F.when(F.col("bin").isNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
-    w = Window.partitionBy(*keys).orderBy(time, F.col("bin").isNotNull())
+    """Linear interpolation on the grid, held at the edges."""
+    targets = grid(df, keys, time, step).select(*keys, (F.col("bin") * step).alias(time), "bin")
+    return at_times(df, targets, keys, time, value).select(*keys, "bin", value)
+
+
+def at_times(df: DataFrame, targets: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
+    """targets (keys, time, ...) with the value of df at their times, interpolated and held at the edges: one window over targets and samples together."""
+    more = [c for c in targets.columns if c not in (*keys, time)]
+    wanted = targets.select(*keys, time, F.lit(None).cast("double").alias(value), F.struct(F.lit(1).alias("one_"), *more).alias("target_"))
+    every = collapse_by_time(df, keys, time, value).withColumn("target_", F.lit(None).cast(wanted.schema["target_"].dataType)).unionByName(wanted)
+    point = F.when(F.col("target_").isNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
+    w = Window.partitionBy(*keys).orderBy(time, F.col("target_").isNotNull())
     before = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last(point, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(time), F.col("bin").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
-    around = every.select(*keys, "bin", F.col(time).alias("at"), before.alias("b"), after.alias("a")).where("bin IS NOT NULL")
-    blend = F.col("b.v") + (F.col("a.v") - F.col("b.v")) * (F.col("at") - F.col("b.t")) / F.nullif(F.col("a.t") - F.col("b.t"), F.lit(0))
-    return around.select(*keys, "bin", F.coalesce(blend, F.col("b.v"), F.col("a.v")).alias(value))
+    after = F.last(point, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(time), F.col("target_").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    around = every.select(*keys, "target_", F.col(time).alias("at_"), before.alias("b_"), after.alias("a_")).where("target_ IS NOT NULL")
+    blend = F.col("b_.v") + (F.col("a_.v") - F.col("b_.v")) * (F.col("at_") - F.col("b_.t")) / F.nullif(F.col("a_.t") - F.col("b_.t"), F.lit(0))
+    return around.select(*keys, F.col("at_").alias(time), *(F.col(f"target_.{c}").alias(c) for c in more), F.coalesce(blend, F.col("b_.v"), F.col("a_.v")).alias(value))
 
 
 def align_exact(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -120,23 +120,114 @@ def dtw_distances(candidates: DataFrame, band: int | None, channels: int = 1) ->
 
 
 def match_events(df: DataFrame, keys: list[str], within: int) -> DataFrame:
-    """Greedy one-to-one matching of events of side 'b' to those of side 'a' within a time: largest magnitude, then nearest. df: keys, side, t, value."""
+    """(keys, matched, unmatched, loss): greedy one-to-one matching of events of side 'b' to those of side 'a' within a time: largest magnitude, then nearest.
+
+    df: keys, side, t, value. The loss is, of each match, its distance as a share of `within` and the difference of
+    magnitudes as a share of the largest of side a; and 1 for each event without a match. No match crosses a gap wider
+    than `within`, so groups are stretches between such gaps, however many events a key has.
+    """
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", matched long, unmatched long, loss double"
+    own = Window.partitionBy(*keys)
+    gap = F.col("t") - F.lag("t").over(own.orderBy("t"))
+    scale = F.greatest(F.lit(1e-9), F.coalesce(F.max(F.when(F.col("side") == "a", F.abs("value"))).over(own), F.lit(1.0)))
+    stretches = df.withColumn("fresh", F.coalesce((gap > within).cast("int"), F.lit(0))).withColumn("scale", scale)
+    stretches = stretches.withColumn("stretch", F.sum("fresh").over(own.orderBy("t", "side", "value").rowsBetween(Window.unboundedPreceding, 0)))
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame.side == "a"].sort_values("t"), frame[frame.side == "b"].sort_values("t")
-        rt, rv, used, loss = right.t.to_numpy(), right.value.to_numpy(), np.zeros(len(right), bool), 0.0
-        scale = max(1e-9, float(np.abs(left.value).max()) if len(left) else 1.0)
-        n = 0
+        left, right = frame[frame.side == "a"].sort_values("t", kind="stable"), frame[frame.side == "b"].sort_values("t", kind="stable")
+        rt, rv, used, loss, n = right.t.to_numpy(), right.value.to_numpy(), np.zeros(len(right), bool), 0.0, 0
         for t, v in zip(left.t, left.value, strict=True):
             low, high = np.searchsorted(rt, [t - within, t + within + 1])
             free = [i for i in range(low, high) if not used[i]]
             if free:
                 best = min(free, key=lambda i: (-abs(rv[i]), abs(rt[i] - t), i))
                 used[best] = True
-                loss += abs(rt[best] - t) / within + abs(abs(v) - abs(rv[best])) / scale
+                loss += abs(rt[best] - t) / within + abs(abs(v) - abs(rv[best])) / frame["scale"].iloc[0]
                 n += 1
         lost = len(left) + len(right) - 2 * n
         return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, "matched": n, "unmatched": lost, "loss": loss + lost}])
 
-    return df.groupBy(*keys).applyInPandas(match, schema)
+    parts = stretches.groupBy(*keys, "stretch").applyInPandas(match, schema)
+    return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("matched", "unmatched", "loss")))
+
+
+def truncated_centroids(support: DataFrame) -> DataFrame:
+    """(run_id, label, values): the mean run of each class, as long as its shortest member."""
+    shortest = support.groupBy("label").agg(F.min(F.size("values")).alias("n_"))
+    cut = support.join(shortest, "label").withColumn("values", F.slice("values", F.lit(1), F.col("n_")))
+    return centroids(cut.drop("n_"))
+
+
+def truncated_pearson(a: Column, b: Column) -> Column:
+    """Correlation over the shorter length; minus infinity where it isn't defined."""
+    n = F.least(F.size(a), F.size(b))
+    return F.coalesce(pearson(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)), F.lit(float("-inf")))
+
+
+def lag_distance(a: np.ndarray, b: np.ndarray, most: int) -> float:
+    """1 less the largest mean correlation of the channels over lags of up to `most` samples; overlaps of one sample and flat channels count 0. 0 to 2."""
+    best = -1.0
+    for lag in range(-most, most + 1):
+        x, y = (a[max(0, -lag) :], b[max(0, lag) :])
+        n = min(len(x), len(y))
+        if n < 2:
+            continue
+        x, y = x[:n] - x[:n].mean(0), y[:n] - y[:n].mean(0)
+        norm = np.sqrt((x**2).sum(0) * (y**2).sum(0))
+        r = np.divide((x * y).sum(0), norm, out=np.zeros_like(norm), where=norm > 1e-12)
+        best = max(best, float(r.mean()))
+    return float(np.clip(1 - best, 0, 2))
+
+
+def lag_distances(candidates: DataFrame, most: int, channels: int = 1) -> DataFrame:
+    """Distances by lagged correlation of candidate pairs, in Arrow batches; channels of a sample stand one after another."""
+
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([lag_distance(np.asarray(x, float).reshape(-1, channels), np.asarray(y, float).reshape(-1, channels), most) for x, y in zip(a, b, strict=True)])
+
+    return candidates.select("run_id", "s_id", "s_label", distance("values", "s_values").alias("distance"))
+
+
+def tuned(distances: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
+    """(setting, k, runs, correct): leave-one-out accuracy of a support set by setting and number of neighbours (0: all), the best first by `place`.
+
+    distances: (setting, run_id, s_id, s_label, distance) of the support's runs to its others; truth: (run_id, label).
+    Equal accuracies go to the smaller setting, then to the smaller k.
+    """
+    near = distances.withColumn("rank", F.row_number().over(Window.partitionBy("setting", "run_id").orderBy("distance", "s_id")))
+    each = near.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where((F.col("k") <= 0) | (F.col("rank") <= F.col("k")))
+    votes = each.groupBy("setting", "k", "run_id", "s_label").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("total"))
+    said = votes.groupBy("setting", "k", "run_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "total", "s_label"))["s_label"].alias("predicted"))
+    score = said.join(truth, "run_id").groupBy("setting", "k").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("predicted") == F.col("label")).alias("correct"))
+    order = Window.orderBy(F.desc(F.col("correct") / F.col("runs")), "setting", "k")  # a row for each of few settings
+    return score.withColumn("place", F.row_number().over(order))
+
+
+#: Named classifiers: distance, its settings, and numbers of neighbours (0: all shots). Fixed values.
+METHODS = {
+    "euclidean_1nn": ("euclidean", [0], [1]),
+    "euclidean_allshots": ("euclidean", [0], [0]),
+    "dtw_k1": ("dtw", [0, 5, 10, 25, 50], [1]),
+    "dtw_allshots": ("dtw", [0, 5, 10, 25, 50], [0]),
+    "xcorr_k1": ("xcorr", [0, 5, 10, 25, 50], [1]),
+    "xcorr_allshots": ("xcorr", [0, 5, 10, 25, 50], [0]),
+}
+
+
+def distances_by(method: str, candidates: DataFrame, setting: int, channels: int = 1) -> DataFrame:
+    """Distances of candidate pairs by a named one; setting: band or largest lag in samples."""
+    if method == "dtw":
+        found = dtw_distances(candidates, setting, channels)
+    elif method == "xcorr":
+        found = lag_distances(candidates, setting, channels)
+    elif method == "euclidean":
+        found = candidates.select("run_id", "s_id", "s_label", squared_distance(F.col("values"), F.col("s_values")).alias("distance"))
+    else:
+        raise ValueError(f"unknown distance: {method}")
+    return found.withColumn("setting", F.lit(setting))
+
+
+def chance(classes: Column) -> Column:
+    """Expected accuracy without shots."""
+    return F.when(classes > 0, 1.0 / classes)
