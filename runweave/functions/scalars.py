@@ -31,16 +31,19 @@ _COMPARE = {
 _CALLS = {"abs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log": F.ln, "sin": F.sin, "cos": F.cos, "tan": F.tan, "min": F.least, "max": F.greatest, "floor": F.floor, "ceil": F.ceil}
 
 
+def _plain(text: str) -> str:
+    """The expression with Python's operators."""
+    for old, new in (("~=", "!="), (".*", "*"), ("./", "/"), (".^", "**"), ("^", "**"), ("&&", " and "), ("||", " or "), ("!=", "\0"), ("!", " not "), ("~", " not "), ("\0", "!=")):
+        text = text.replace(old, new)
+    return text.strip()
+
+
 def expression(text: str, names: set[str] | list[str]) -> Column:
     """A users' arithmetic or Boolean expression over named columns, as a double column; truth is 1 and 0.
 
     Also in the notation `~=`, `!x`, `~x`, `&&`, `||`, `^`, `.*`, `./`, `.^`. Anything but numbers, the names given,
     operators and a few functions is an error. A division by zero is NULL.
     """
-    source = text.strip()
-    for old, new in (("~=", "!="), (".*", "*"), ("./", "/"), (".^", "**"), ("^", "**"), ("&&", " and "), ("||", " or "), ("!=", "\0"), ("!", " not "), ("~", " not "), ("\0", "!=")):
-        source = source.replace(old, new)
-
     def number(truth: Column) -> Column:
         return F.when(truth, 1.0).when(~truth, 0.0)
 
@@ -76,7 +79,7 @@ def expression(text: str, names: set[str] | list[str]) -> Column:
         raise ValueError(f"not allowed in an expression: {ast.dump(node)[:80]}")
 
     try:
-        tree = ast.parse(source, mode="eval")
+        tree = ast.parse(_plain(text), mode="eval")
     except SyntaxError as error:
         raise ValueError(f"no expression: {text}") from error
     return of(tree)
@@ -211,5 +214,4 @@ def evaluated(df: DataFrame, given: dict[str, str]) -> DataFrame:
 
 
 def _names(text: str) -> set[str]:
-    source = text.replace(".^", "**").replace("^", "**").replace(".*", "*").replace("./", "/").replace("&&", " and ").replace("||", " or ").replace("~=", "!=")
-    return {x.id for x in ast.walk(ast.parse(source.strip(), mode="eval")) if isinstance(x, ast.Name)}
+    return {x.id for x in ast.walk(ast.parse(_plain(text), mode="eval")) if isinstance(x, ast.Name)}

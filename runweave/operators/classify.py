@@ -131,7 +131,7 @@ def match_events(df: DataFrame, keys: list[str], within: int) -> DataFrame:
     gap = F.col("t") - F.lag("t").over(own.orderBy("t"))
     scale = F.greatest(F.lit(1e-9), F.coalesce(F.max(F.when(F.col("side") == "a", F.abs("value"))).over(own), F.lit(1.0)))
     stretches = df.withColumn("fresh", F.coalesce((gap > within).cast("int"), F.lit(0))).withColumn("scale", scale)
-    stretches = stretches.withColumn("stretch", F.sum("fresh").over(own.orderBy("t", "side", "value").rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = stretches.withColumn("stretch", F.sum("fresh").over(own.orderBy("t")))
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         left, right = frame[frame.side == "a"].sort_values("t", kind="stable"), frame[frame.side == "b"].sort_values("t", kind="stable")
