@@ -24,12 +24,19 @@ def pearson(a: Column, b: Column) -> Column:
     def total(x: Column) -> Column:
         return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
-    n = F.size(a)
-    ma, mb = total(a) / n, total(b) / n
-    ab = F.aggregate(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), F.lit(0.0), lambda s, v: s + (v["x"] - ma) * (v["y"] - mb))
-    aa = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - ma) * (v - ma))
-    bb = F.aggregate(b, F.lit(0.0), lambda s, v: s + (v - mb) * (v - mb))
-    return F.try_divide(ab, F.sqrt(aa * bb))
+    def around(m: Column) -> Column:
+        start = F.struct(*(F.lit(0.0).alias(c) for c in ("ab", "aa", "bb")))
+
+        def add(s: Column, v: Column) -> Column:
+            x, y = v["x"] - m["a"], v["y"] - m["b"]
+            return F.struct((s["ab"] + x * y).alias("ab"), (s["aa"] + x * x).alias("aa"), (s["bb"] + y * y).alias("bb"))
+
+        sums = F.aggregate(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), start, add)
+        return F.aggregate(F.array(sums), F.lit(None).cast("double"), lambda _, s: F.try_divide(s["ab"], F.sqrt(s["aa"] * s["bb"])))
+
+    # the means are bound once, as members of an array of one
+    means = F.array(F.struct((total(a) / F.size(a)).alias("a"), (total(b) / F.size(b)).alias("b")))
+    return F.get(F.transform(means, around), F.lit(0))
 
 
 #: Most runs of a support set. It is few shots of each class by contract; a larger one is an error.

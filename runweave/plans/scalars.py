@@ -86,13 +86,13 @@ def valid_ratios(spark, d):
     return xs.select("user_id", F.size(S.valid_ratios(F.col("xs"))).cast("long").alias("n"), X.scaled(F.array_min(F.filter(F.transform("xs", S.json_safe), lambda v: v.isNotNull()))).alias("least"))
 
 
-@query("sampling_specs", f"""WITH s AS (SELECT p_partkey, p_size / 10.0 AS low, p_size / 10.0 + (p_partkey % 5) - 1 AS high, CASE WHEN p_partkey % 3 = 0 THEN 'loguniform' ELSE 'uniform' END AS scale, (p_partkey % 101) / 101.0 AS u FROM part)
+@query("sampling_specs", f"""WITH s AS (SELECT p_partkey, p_size / 10.0 AS low, CASE WHEN p_partkey % 7 = 0 THEN p_size / 10.0 - 1 ELSE p_size / 10.0 + p_partkey % 5 END AS high, CASE WHEN p_partkey % 3 = 0 THEN 'loguniform' ELSE 'uniform' END AS scale, (p_partkey % 101) / 101.0 AS u FROM part)
 SELECT p_partkey, CASE WHEN low <= high THEN scale END AS scale, {q("CASE WHEN low <= high THEN CASE scale WHEN 'loguniform' THEN exp(ln(low) + u * (ln(high) - ln(low))) ELSE low + u * (high - low) END END")} AS value,
 {q("CASE WHEN high > low THEN CASE WHEN scale = 'uniform' THEN CASE WHEN u * (high - low) * 0.75 < (high - low) * 0.25 THEN low + u * (high - low) * 0.75 ELSE low + (high - low) * 0.25 + u * (high - low) * 0.75 END END END")} AS outside FROM s""")
 def sampling_specs(spark, d):
     """Intervals given as JSON, drawn on their scale, whole and (uniform ones) without their second quarter."""
     low = F.col("p_size") / 10.0
-    high = low + F.col("p_partkey") % 5 - 1
+    high = F.when(F.col("p_partkey") % 7 == 0, low - 1).otherwise(low + F.col("p_partkey") % 5)
     scale = F.when(F.col("p_partkey") % 3 == 0, "loguniform").otherwise("uniform")
     text = F.to_json(F.struct(F.array(low, high).alias("interval"), scale.alias("distribution")))
     p = tables.table(spark, d, "part").select("p_partkey", S.sampling(text).alias("s"), ((F.col("p_partkey") % 101) / 101.0).alias("u"))
