@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EPS, finite, half_srd, srd
-from .windows import first_run_of
+from .windows import run_starts
 
 
 def against_baseline(runs: DataFrame, family: str) -> DataFrame:
@@ -21,9 +21,10 @@ def scan(pairs: DataFrame, keys: list[str], threshold: float, start: int, steps:
     """Largest distance, first place where it is exceeded `steps` times in a row from `start` on, and Euclidean distance."""
     both = pairs.where(finite(F.col("value")) & finite(F.col("base"))).withColumn("srd", srd(F.col("value"), F.col("base"), eps))
     flagged = both.withColumn("flag", (F.col("srd") >= threshold) & (F.col("pos") >= start))
-    first = first_run_of(flagged, keys, "pos", "flag", steps)
-    totals = both.groupBy(*keys).agg(F.max("srd").alias("max_srd"), F.sqrt(F.sum(F.pow(F.col("value") - F.col("base"), 2))).alias("euclid"), F.sqrt(F.sum(F.pow(F.col("base"), 2))).alias("norm"))
-    return totals.join(first, keys)
+    # the window and the totals share the keys' partitioning: one shuffle
+    starts = flagged.withColumn("starts_", run_starts(keys, "pos", "flag", steps))
+    first = F.min(F.when(F.col("starts_"), F.col("pos"))).alias("first")
+    return starts.groupBy(*keys).agg(F.max("srd").alias("max_srd"), F.sqrt(F.sum(F.pow(F.col("value") - F.col("base"), 2))).alias("euclid"), F.sqrt(F.sum(F.pow(F.col("base"), 2))).alias("norm"), first)
 
 
 def decide(scanned: DataFrame, factor: float) -> DataFrame:
@@ -41,3 +42,11 @@ def pairwise_mse(runs: DataFrame, family: str, after: int) -> DataFrame:
     """Mean squared difference of all pairs of runs of a family from a place on; each pair once."""
     a, b = (runs.where(F.col("pos") >= after).select(family, "pos", F.col("run_id").alias(f"{x}_id"), F.col("value").alias(x)) for x in "ab")
     return a.join(b, [family, "pos"]).where("a_id < b_id").groupBy(family, "a_id", "b_id").agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse"))
+
+
+def normalised_before(runs: DataFrame, keys: list[str], until: int) -> DataFrame:
+    """Values as z-scores by mean and spread of the places before `until`, where runs of a family are alike; a spread under 1e-6 counts as 1."""
+    own = Window.partitionBy(*keys)
+    early = F.when(F.col("pos") < until, F.col("value"))
+    spread = F.stddev_pop(early).over(own)
+    return runs.withColumn("value", (F.col("value") - F.avg(early).over(own)) / F.when(spread < 1e-6, 1.0).otherwise(spread))

@@ -27,11 +27,15 @@ def median_gap(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     return df.withColumn("gap", gap).where("gap > 0").groupBy(*keys).agg(F.percentile("gap", 0.5).alias("median_gap"), F.count(F.lit(1)).alias("gaps"))
 
 
+def run_starts(keys: list[str], order: str, flag: str, length: int) -> Column:
+    """Whether `length` flags in a row begin here."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, length - 1)
+    return (F.sum(F.col(flag).cast("int")).over(w) == length) & (F.count(F.lit(1)).over(w) == length)
+
+
 def first_run_of(df: DataFrame, keys: list[str], order: str, flag: str, length: int) -> DataFrame:
     """Where `length` flags in a row begin first."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, length - 1)
-    long = (F.sum(F.col(flag).cast("int")).over(w) == length) & (F.count(F.lit(1)).over(w) == length)
-    return df.withColumn("starts", long).groupBy(*keys).agg(F.min(F.when(F.col("starts"), F.col(order))).alias("first"))
+    return df.withColumn("starts", run_starts(keys, order, flag, length)).groupBy(*keys).agg(F.min(F.when(F.col("starts"), F.col(order))).alias("first"))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, flag: str, value: str) -> DataFrame:
