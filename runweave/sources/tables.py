@@ -46,3 +46,12 @@ def write_runs(df: DataFrame, path: str, keys: tuple[str, ...] = ("run_id", "sig
     value = F.when(F.abs("value") > 3.4028235e38, F.raise_error(F.lit("a value does not fit a FLOAT")).cast("float")).otherwise(F.col("value").cast("float"))
     have = [k for k in keys if k in df.columns]
     df.withColumn("value", value).sortWithinPartitions(*have).write.option("compression", "zstd").parquet(path)
+
+
+#: Rows that a reader gets of a run if it doesn't say, and at most. Fixed values.
+ROWS, MOST_ROWS = 50_000, 200_000
+
+
+def fetched(df: DataFrame, keys: list[str], order: str, rows: int | None = None) -> DataFrame:
+    """Evenly spaced rows of each run, as many as asked for (ROWS without a number), MOST_ROWS at most."""
+    return evenly_spaced(df, keys, order, max(1, min(rows or ROWS, MOST_ROWS)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runweave.functions import scalars as S
-from runweave.operators import classify, contracts, loading, registry, sampling
+from runweave.operators import classify, contracts, families, loading, registry, sampling
 from runweave.plans import catalog
 from runweave.sources import runs
 
@@ -188,3 +188,27 @@ def test_registry_fields_by_name(spark):
         registry.failed_children(spark.createDataFrame([(1, 2, "maybe", "yes")], "family int, child int, vs_baseline string, vs_time0 string"), "family").collect()
     m = spark.sql("SELECT map('a', 1) AS p UNION ALL SELECT map('a', CAST(NULL AS INT)) UNION ALL SELECT map('a', 1, 'b', 2)")
     assert [r.r for r in m.select(registry.runnable(F.col("p")).alias("r")).collect()] == [True, False, False]
+
+
+def test_inferers_by_model(spark):
+    known = families.Inferers()
+    known.add("pendulum", lambda run, least: "swings" if run.value.max() > least else "rests", ("least",))
+    df = spark.createDataFrame([(1, 0, 5.0), (1, 1, 1.0), (2, 0, 0.5)], "run_id int, t int, value double")
+    got = {r.run_id: r.predictions for r in known.apply("pendulum", df, ["run_id"], "t", least=2.0).collect()}
+    assert got == {1: ["swings"], 2: ["rests"]}
+    for call, why in ((lambda: known.apply("pendulum", df, ["run_id"], "t"), "needs"), (lambda: known.apply("other", df, ["run_id"], "t"), "no inferer"), (lambda: known.add("pendulum", len), "has an")):
+        with pytest.raises(ValueError, match=why):
+            call()
+
+
+def test_support_sets_are_bounded_and_balanced(spark, monkeypatch):
+    s = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [2.0])], "run_id int, label string, values array<double>")
+    assert families.balanced_support(s, "label") and not families.balanced_support(s.unionByName(s.where("run_id = 1")), "label")
+    monkeypatch.setattr(classify, "MOST_SUPPORT", 1)
+    with pytest.raises(ValueError, match="at most 1"):
+        classify.support_row(s)
+    flat = spark.createDataFrame([(3, "", [1.0, 2.0])], "run_id int, label string, values array<double>")
+    shots = spark.createDataFrame([(1, "flat", [1.0, 1.0]), (2, "up", [1.0, 3.0])], "run_id int, label string, values array<double>")
+    monkeypatch.setattr(classify, "MOST_SUPPORT", 10)
+    r = classify.pairs(flat, shots).select("s_label", classify.truncated_pearson(F.col("values"), F.col("s_values")).alias("r")).collect()
+    assert {(x.s_label, x.r) for x in r} == {("flat", float("-inf")), ("up", 1.0)}
