@@ -201,16 +201,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in common.slices(batch.column(0)):
             t = Tokens.of(batch.column(0).slice(a, b - a))
-            held.append((t.hash, t.bucket, np.ones(len(t.hash))))
+            word, at, n = np.unique(t.hash, return_index=True, return_counts=True)
+            held.append((word, t.bucket[at].astype(np.int16), n))
             inner = np.flatnonzero(t.doc[1:] == t.doc[:-1])
             pairs += np.bincount(t.bucket[inner + 1] * BEFORE + t.bucket[inner] % BEFORE, minlength=len(pairs))
-        if sum(len(x[0]) for x in held) > 3_000_000:
-            held = [merged()]
-            if len(held[0][0]) > 1_500_000:
-                yield out(*held[0])
-                held = []
+            if sum(len(x[0]) for x in held) > 1_000_000:
+                held = [merged()]
+                if len(held[0][0]) > 500_000:
+                    yield out(*held[0])
+                    held = []
     if held:
         yield out(*merged())
+        held = []
+    common.release()
     cells = np.flatnonzero(pairs)
     yield out(cells, np.full(len(cells), -1), pairs[cells])
 
