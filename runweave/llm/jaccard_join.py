@@ -6,12 +6,12 @@ an equal prefix and size form one group, and only groups are indexed and paired.
 
 Links are found in two steps, so that a large family of near copies never becomes all its pairs: first each
 group is verified against a neighbour of like size in the lists of its prefix and against the hub that most of
-these lists name (if their prefixes allow a link), and members against their group's first node; components follow. Then every pair of groups that
+these lists name (if their prefixes allow a link), members against their group's first node; components follow. Then every pair of groups that
 meets in a list and still has members in different components is filtered by size, place and prefix overlap,
 expanded, and verified. What is not verified is connected already, so no link between different components is lost.
 
-Lists and groups of any length are dealt over tasks: hubs come from aggregates, neighbours from dealt parts of a
-list, and pairs of a long list from its parts against the whole. Rows are named by file and place, so whole texts
+Lists and groups of any length are dealt over tasks: neighbours and hubs come from dealt parts of a list, whose hubs
+meet the whole list's, and pairs of a long list from its parts against the whole. Rows are named by file and place, so whole texts
 are never shuffled: those to verify are read again by bitmaps of their places.
 
 Texts without words have an empty set and link with nothing; null counts as empty. Rows with a null id link like
