@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,14 @@ def address() -> list[Column]:
     return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
 
 
+def is_stored(docs: DataFrame) -> bool:
+    """Whether the rows of docs have a file and a place: it reads Parquet files, with nothing above but filters and projections."""
+    try:
+        return bool(docs.select(*address()).columns and docs.inputFiles())
+    except AnalysisException:
+        return False
+
+
 #: Places that a bitmap covers (fixed by Spark), and most bitmaps (of 4 KB) that are broadcast at once.
 PLACES, MOST_BITMAPS = 32_768, 16_384
 
