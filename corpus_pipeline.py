@@ -20,17 +20,17 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, white space aside."""
-    return exact_dedup.drop_copies(docs, stored=bool(docs.inputFiles()))
+    return exact_dedup.drop_copies(docs, stored=common.is_stored(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles with a similarity of 0.8 or more."""
-    return jaccard_join.drop_near_copies(docs, stored=bool(docs.inputFiles()))
+    return jaccard_join.drop_near_copies(docs, stored=common.is_stored(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    return decontaminate.drop_contaminated(docs, common.documents(spark, sf_dir, "benchmark"), stored=bool(docs.inputFiles()))
+    return decontaminate.drop_contaminated(docs, common.documents(spark, sf_dir, "benchmark"), stored=common.is_stored(docs))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
