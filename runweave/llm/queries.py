@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_model, licenses, sharding, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, fill_in_middle, fingerprints, html_text, jaccard_join, language_model, licenses, merkle, sharding, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_fingerprints": fingerprints.op11_fingerprints,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op9_exact_dedup": exact_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
