@@ -5,6 +5,11 @@ the like; words of class, id and role, but for those of html and body) can only
 rest by link density, length and stop-word density. Pass 2 gives blocks that it left open, short ones mostly, the
 label of the nearest decided neighbours; in an article these are found among its own blocks and its ends.
 
+A hint that would delete the page's text is no hint: a form counts as a wrapper where it holds an article or half of
+the running text; one without its end tag (but for those of comments and adverts) rules out only what comes before an article or running text inside
+it; and where all running text is ruled out, the elements that hold most of it are taken for wrappers, those of layout
+words first, those of comments and adverts last, until some is free.
+
 Null or empty html, and pages without good blocks, have an empty text. Repeated rows are extracted each; columns
 other than the ids and the html are left out. Time is linear in the page's length, however deep its elements.
 """
@@ -13,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,15 +63,28 @@ _ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Veto:
+    """An element that rules its content out. outer: the veto around it, or -1; first: its first block; article: the first block of the first article inside it, if any; closed: whether it has an end tag."""
+
+    kind: str
+    sign: str
+    outer: int
+    first: int
+    article: int | None = None
+    closed: bool = False
+
+
 @dataclass
 class Block:
-    """A block's text. linked: its linked characters; around: what it stands in rules it out; article: number of its article, or -1."""
+    """A block's text. linked: its linked characters; vetoes: the innermost elements that may rule it out, or -1; around: whether one does; article: number of its article, or -1."""
 
     text: str
     linked: int
     heading: bool
-    around: bool
     article: int
+    vetoes: tuple[int, int] = (-1, -1)
+    around: bool = False
 
 
 #: Elements that end others of their kind without an end tag, up to the nearest of the elements named after them. Fixed values.
@@ -81,36 +100,47 @@ _LEADING = ("p",), ("table", "td", "th", "button")
 
 
 class Open:
-    """The open elements, with their places by name and by what they make of their content: each step is O(1), however deep."""
+    """The open elements, with their places by name and by what they make of their content: each step is O(1), however deep.
+
+    Vetoes form two chains: those that hold everywhere, and layout words and headers, which an article inside them ends.
+    """
 
     def __init__(self):
-        self.elements: list[tuple[str, str]] = []
+        self.elements: list[tuple[str, str, tuple[int, int]]] = []
         self.names: dict[str, list[int]] = {}
-        self.kinds: dict[str, list[int]] = {k: [] for k in ("none", "around", "others", "layout", "header", "article")}
         self.articles: list[int] = []
         self.n_articles = 0
+        self.vetoes: list[Veto] = []
+        self.inner = (-1, -1)
 
-    def push(self, name: str, kind: str) -> None:
+    def push(self, name: str, kind: str, attributes: str, block: int) -> None:
         self.names.setdefault(name, []).append(len(self.elements))
-        if kind:
-            self.kinds[kind].append(len(self.elements))
+        self.elements.append((name, kind, self.inner))
+        strong, weak = self.inner
         if kind == "article":
             self.articles.append(self.n_articles)
             self.n_articles += 1
-        self.elements.append((name, kind))
+            if strong >= 0 and self.vetoes[strong].article is None:
+                self.vetoes[strong].article = block
+            self.inner = (strong, -1)
+        elif kind and not (kind == "header" and self.articles):
+            hard = kind in ("none", "around", "form", "others")
+            self.vetoes.append(Veto(kind, f"{name} {attributes}", strong if hard else weak, block))
+            self.inner = (len(self.vetoes) - 1, weak) if hard else (strong, len(self.vetoes) - 1)
 
     def last(self, names: tuple[str, ...]) -> int:
         return max((self.names[n][-1] for n in names if self.names.get(n)), default=-1)
 
-    def cut(self, place: int) -> None:
-        """Ends the element at this place and all inside it."""
+    def cut(self, place: int, ended: bool = False) -> None:
+        """Ends the element at this place, by its end tag if `ended`, and all inside it. Some elements need no end tag."""
         while len(self.elements) > place:
-            name, kind = self.elements.pop()
+            name, kind, before = self.elements.pop()
             self.names[name].pop()
-            if kind and self.kinds[kind] and self.kinds[kind][-1] == len(self.elements):
-                self.kinds[kind].pop()
-                if kind == "article":
-                    self.articles.pop()
+            if kind == "article":
+                self.articles.pop()
+            elif self.inner != before and (name in ENDS or name == "p" or (ended and len(self.elements) == place)):
+                self.vetoes[max(set(self.inner) - set(before))].closed = True
+            self.inner = before
 
     def end_implied(self, name: str) -> None:
         for names, bounds in (_LEADING, *([ENDS[name]] if name in ENDS else [])):
@@ -118,12 +148,6 @@ class Open:
             if place > self.last(bounds):
                 self.cut(place)
 
-    def around(self) -> bool:
-        """Whether something that isn't the page's text is open: a layout word only if no article is nearer, a header only outside articles."""
-        article = self.kinds["article"][-1] if self.kinds["article"] else -1
-        layout = self.kinds["layout"]
-        return bool(self.kinds["around"] or self.kinds["others"] or (layout and layout[-1] > article) or (self.kinds["header"] and article < 0))
-
 
 def _kind(name: str, attributes: str) -> str:
     """What an element makes of its content."""
@@ -131,7 +155,7 @@ def _kind(name: str, attributes: str) -> str:
     if name in NOT_TEXT:
         return "none"
     if name in AROUND:
-        return "around"
+        return "form" if name in ("form", "fieldset") else "around"
     if any(OTHERS_WORDS.search(v) for v in named):
         return "others"
     if name in ("article", "main"):
@@ -141,7 +165,8 @@ def _kind(name: str, attributes: str) -> str:
     return "header" if name == "header" else ""
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str) -> tuple[list[Block], list[Veto]]:
+    """The page's blocks in order, and the vetoes that they name."""
     out: list[Block] = []
     opened = Open()
     parts: list[str] = []
@@ -149,8 +174,8 @@ def blocks(page: str) -> list[Block]:
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        if text and not opened.kinds["none"]:
-            out.append(Block(text, state["linked"], state["heading"], opened.around(), opened.articles[-1] if opened.articles else -1))
+        if text:
+            out.append(Block(text, state["linked"], state["heading"], opened.articles[-1] if opened.articles else -1, opened.inner))
         parts.clear()
         state["linked"] = 0
 
@@ -190,34 +215,88 @@ def blocks(page: str) -> list[Block]:
         if tag[1]:
             place = opened.last((name,))
             if place >= 0 and (name not in INLINE or place == len(opened.elements) - 1):
-                opened.cut(place)
+                opened.cut(place, ended=True)
         elif name not in INLINE or tag[3]:
             if name not in INLINE:
                 opened.end_implied(name)
             kind = _kind(name, tag[3])
-            if kind == "article":
-                opened.kinds["none"].clear()  # elements that were never closed
             if kind or name not in INLINE:
-                opened.push(name, kind)
+                opened.push(name, kind, tag[3], len(out))
     flush()
-    return out
+    return out, opened.vetoes
+
+
+#: The order in which vetoes give way where they hold all running text.
+_WEAKEST = ("layout", "header", "form", "around", "others")
+
+
+def rule_out(found: list[Block], vetoes: list[Veto], counts: list[tuple[int, int]]) -> None:
+    """Sets `around` of the blocks, by the vetoes that are no wrappers of the page's text."""
+    n = len(found)
+
+    def apply(ends: list[int]) -> None:
+        limits: list[int] = []  # the block from which on neither a veto nor one around it holds
+        for v, end in zip(vetoes, ends, strict=True):
+            limits.append(max(end, limits[v.outer] if v.outer >= 0 else 0))
+        for i, b in enumerate(found):
+            b.around = any(k >= 0 and i < limits[k] for k in b.vetoes)
+
+    apply([n * (v.kind == "none" and v.closed) for v in vetoes])
+    hidden = [b.around for b in found]
+    ends = [n] * len(vetoes)
+    apply(ends)
+    good = [i for i, label in enumerate(first_pass(found, counts, ruled=False)) if label == "good" and not hidden[i]]
+    if not good:
+        return
+    mass = [0] * len(vetoes)
+    for i in good:
+        for k in {*found[i].vetoes} - {-1}:
+            mass[k] += len(found[i].text)
+    for k in reversed(range(len(vetoes))):
+        outer = vetoes[k].outer
+        if outer >= 0:
+            mass[outer] += mass[k]
+            vetoes[outer].article = min((x for x in (vetoes[k].article, vetoes[outer].article) if x is not None), default=None)
+    total = sum(len(found[i].text) for i in good)
+    for k, v in enumerate(vetoes):
+        if not v.closed and v.kind != "others":
+            running = bisect_left(good, v.first)
+            ends[k] = min(v.article if v.article is not None else n, good[running] if running < len(good) else n)
+        elif v.kind == "form" and (2 * mass[k] >= total or (v.article is not None and mass[k])):
+            ends[k] = 0
+    apply(ends)
+    order = sorted((k for k, v in enumerate(vetoes) if mass[k] and v.kind in _WEAKEST), key=lambda k: (_WEAKEST.index(vetoes[k].kind), -mass[k]))
+    for k in order:
+        if any(not found[i].around for i in good) or any(b.article >= 0 and not b.around for b in found):
+            break
+        for j, v in enumerate(vetoes):
+            if v.sign == vetoes[k].sign:
+                ends[j] = 0
+        apply(ends)
+
+
+def counted(found: list[Block]) -> list[tuple[int, int]]:
+    """Words and stop words of each block."""
+    words = (_WORD.findall(b.text.lower()) for b in found)
+    return [(len(own), sum(w in STOP_WORDS for w in own)) for own in words]
 
 
-def first_pass(found: list[Block]) -> list[str]:
-    """Of each block good, bad, short (ambiguous) or veto (bad by what it stands in).
+def first_pass(found: list[Block], counts: list[tuple[int, int]] | None = None, ruled: bool = True) -> list[str]:
+    """Of each block good, bad, short (ambiguous) or, if ruled, veto (bad by what it stands in).
 
     Long blocks with few links and many stop words are good. Outside articles linked blocks and long ones
     without stop words are bad; inside they're ambiguous like short ones, as all that isn't ruled out is the
     article's text. Where a page's text has hardly any stop words of ours (another language), length and links decide alone.
     """
-    words = [_WORD.findall(b.text.lower()) for b in found]
-    known = [sum(w in STOP_WORDS for w in own) for own in words]
-    free = [i for i, b in enumerate(found) if not b.around]
-    foreign = sum(known[i] for i in free) < FOREIGN * sum(len(words[i]) for i in free)
+    counts = counts or counted(found)
+    free = [c for b, c in zip(found, counts, strict=True) if not b.around]
+    if not (ruled or any(n for n, _ in free)):
+        free = counts
+    foreign = sum(known for _, known in free) < FOREIGN * sum(n for n, _ in free)
     out = []
-    for b, own, n_known in zip(found, words, known, strict=True):
-        size, density = len(b.text), n_known / max(1, len(own))
-        if b.around:
+    for b, (n_words, n_known) in zip(found, counts, strict=True):
+        size, density = len(b.text), n_known / max(1, n_words)
+        if ruled and b.around:
             out.append("veto")
         elif b.linked > MOST_LINKED * size:
             out.append("short" if b.article >= 0 else "bad")
@@ -263,8 +342,10 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    kept = second_pass(found, first_pass(found))
+    found, vetoes = blocks(page or "")
+    counts = counted(found)
+    rule_out(found, vetoes, counts)
+    kept = second_pass(found, first_pass(found, counts))
     return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
@@ -273,8 +354,10 @@ def extract_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pa.array([main_text(x.as_py()) for x in batch.column(len(id_cols))], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], text], [*id_cols, "text"])
+            for a, b in common.slices(batch.column(len(id_cols))):
+                own = batch.slice(a, b - a)
+                text = pa.array([main_text(x.as_py()) for x in own.column(len(id_cols))], pa.string())
+                yield pa.RecordBatch.from_arrays([*own.columns[: len(id_cols)], text], [*id_cols, "text"])
 
     kinds = dict(pages.dtypes)
     return pages.select(*id_cols, common.text_of(html_col).alias("html")).mapInArrow(extract, ", ".join(f"{c} {kinds[c]}" for c in id_cols) + ", text string")

@@ -54,7 +54,9 @@ def test_the_query_gives_the_articles_of_the_whole_table(spark):
 def test_both_passes_decide_blocks(spark):
     decided = {"good": 0, "short": 0}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        for label in html_text.first_pass(html_text.blocks(r.html)):
+        found, vetoes = html_text.blocks(r.html)
+        html_text.rule_out(found, vetoes, html_text.counted(found))
+        for label in html_text.first_pass(found):
             decided[label] = decided.get(label, 0) + 1
     assert decided["good"] > 100 and decided["short"] > 100
 
@@ -129,6 +131,39 @@ def test_classes_of_elements_with_implied_ends():
     assert html_text.main_text("<article><table><tr><td>One<td class=sidebar>No<table><tr><td>no</table><td>Two<tr class=ad><td>No<tr><td>Three</table><dl><dt>A<dd class=promo>No<dt>B</dl></article>") == "One\n\nTwo\n\nThree\n\nA\n\nB"
 
 
+BODY = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+WANT = f"Title\n\n{LONG.strip()}\n\nShort.\n\n{LONG.strip()}"
+
+
+def test_a_hint_does_not_delete_a_page():
+    menu = "<nav><a href=x>menu</a></nav>"
+    search = "<form class=search><label>Search the site for words that you are looking for in it</label><input></form>"
+    for page in (
+        f"<form id=main>{menu}<div>{BODY}</div>{search}</form>",
+        f"<form id=main>{menu}<article>{BODY}</article></form>",
+        f"<main><div class='comments-enabled'>{BODY}</div></main>",
+        f"{menu}<div class='page-with-sidebar sidebar'>{BODY}</div>",
+        f"<div class='elementor widget'>{BODY}</div>",
+        f"<nav><a href=x>menu</a><article>{BODY}</article>",
+        f"<noscript>enable it<article>{BODY}</article>",
+        f"<div><nav><ul><li><a href=x>menu</a></ul></div><article>{BODY}</article>{search}",
+    ):
+        assert html_text.main_text(f"<html><body>{page}<footer>Imprint</footer></body></html>") == WANT, page
+    # an element left open in an article rules out what comes before the next running text
+    page = f"<article><h1>Title</h1><p>{LONG}</p><nav><a href=x>menu</a><p>Short.</p><p>{LONG}</p></article>"
+    assert html_text.main_text(page) == f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_vetoes_stay_where_other_text_is_left():
+    for other in ("<div class=comments>", "<aside>", "<div class=widget>", "<noscript>", "<form>", "<p class=ad>"):
+        name = other[1:].split(" ")[0].strip(">")
+        for page in (f"<div>{BODY}</div>{other}{LONG}</{name}>", f"{other}{LONG}</{name}><div>{BODY}</div>", f"<article>{BODY}{other}{LONG}</{name}></article>"):
+            assert html_text.main_text(page) == WANT, page
+    assert html_text.main_text(f"<article>{BODY}<div class=comments>{LONG}</article>") == WANT
+    # comments are the last to give way
+    assert html_text.main_text(f"<div class=comments><p>{LONG}{LONG}</p></div><div class=widget>{BODY}</div>") == WANT
+
+
 def test_deep_and_long_pages_take_linear_time():
     begin = time.perf_counter()
     assert html_text.main_text("<div class=x>" * 100_000 + "<article><p>" + "word " * 200_000) == ("word " * 200_000).strip()
