@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-1. Voters: fixed lexicons of insults in four languages, patterns (capitals, exclamation marks, stretched letters,
-   unusual characters), and learnt units (words and word beginnings of 4 to 6 bytes) that mark toxic texts of a
-   bounded sample of labelled rows; a greedy cover picks these. Learnt units are cross-fitted: on a sampled text
-   only those vote that mark toxic texts without the text's own fold.
+1. Voters: patterns (capitals, exclamation marks, stretched letters, unusual characters), and many small lexicons,
+   each of a word or of all words with one beginning (of 4 to 6 bytes), that mark toxic texts of a bounded sample of
+   labelled rows; a greedy cover picks these. No word is given beforehand. Lexicons are cross-fitted: on a sampled
+   text only those vote that mark toxic texts without the text's own fold.
 2. A generative label model, fitted by expectation maximisation from the voters' own agreement and the given
    label, which is one more voter of unknown accuracy, has for each voter how often it fires on toxic and on other
    texts, and correlations of voters given the class: correlated voters share their evidence. It gives each
@@ -35,20 +35,6 @@ LEAST_TEXTS, MOST_OTHER, COVERED = 3, 0.15, 6
 PREFIXES = (4, 5, 6)
 PATTERNS, FOLDS = 4, 3
 
-#: Insults by language and tone. Fixed values.
-LEXICONS = {
-    "en contempt": "idiot idiots moron morons stupid dumb dumbass fool imbecile loser losers clown pathetic worthless retard ignorant",
-    "en disgust": "trash scum disgusting filth filthy vermin garbage vile pig pigs rat rats disgrace",
-    "en abuse": "bastard bitch asshole jerk fuck fucking shit crap damn hate",
-    "de contempt": "idiot idiotin dummkopf trottel vollidiot schwachkopf versager depp blöd dämlich",
-    "de disgust": "abschaum dreck müll ekelhaft widerlich drecksau schwein pack gesindel",
-    "fr contempt": "idiot idiote imbécile crétin débile abruti minable bouffon nul stupide",
-    "fr disgust": "ordure ordures dégoûtant racaille déchet salaud salope pourriture",
-    "es contempt": "idiota imbécil estúpido estúpida tonto payaso patético inútil",
-    "es disgust": "basura escoria asqueroso asquerosa cerdo cabrón mierda",
-}
-
-
 def units(words: Words) -> list[np.ndarray]:
     """Hashes of each word, and of its beginnings that are shorter than it (else of the word)."""
     beginnings = [words.span_hash(words.start, np.minimum(words.start + k, words.end)) for k in PREFIXES]
@@ -72,7 +58,7 @@ def patterns(texts: list[str]) -> np.ndarray:
 
 
 class Voters:
-    """Lexicon voters by the hashes of their units. hashes: of units; columns: the voter that each makes fire; n: voters."""
+    """Lexicons by the hashes of their units. hashes: of units; columns: the voter that each makes fire; n: voters."""
 
     def __init__(self, hashes: np.ndarray, columns: np.ndarray, n: int):
         order = np.argsort(hashes, kind="stable")
@@ -82,12 +68,9 @@ class Voters:
 
     @staticmethod
     def of(learnt: np.ndarray, voting: np.ndarray | None = None) -> Voters:
-        """The fixed lexicons, then a voter for each learnt unit, of which only those of `voting` ever fire."""
-        words = [w for text in LEXICONS.values() for w in text.split()]
-        group = [k for k, text in enumerate(LEXICONS.values()) for _ in text.split()]
+        """A voter for each learnt unit, of which only those of `voting` ever fire."""
         voting = np.ones(len(learnt), bool) if voting is None else voting
-        own = len(LEXICONS) + np.flatnonzero(voting)
-        return Voters(np.concatenate([common.word_hashes(words), learnt[voting]]), np.concatenate([np.array(group), own]), len(LEXICONS) + len(learnt))
+        return Voters(learnt[voting], np.flatnonzero(voting), len(learnt))
 
     def fired(self, words: Words, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each document the voters that fire, and how many of its words fire any."""
