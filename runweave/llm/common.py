@@ -88,15 +88,16 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def address() -> list[Column]:
-    """(file, place) of the rows of a table that is a plain read of Parquet files."""
-    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
+def address(docs: DataFrame) -> list[Column]:
+    """(file, place) of the rows of a table that is a plain read of Parquet files; a column of docs may be named _metadata."""
+    source = docs.metadataColumn("_metadata")
+    return [source["file_path"].alias("file"), source["row_index"].alias("place")]
 
 
 def is_stored(docs: DataFrame) -> bool:
     """Whether the rows of docs have a file and a place: it reads Parquet files, with nothing above but filters and projections."""
     try:
-        return bool(docs.select(*address()).columns and docs.inputFiles())
+        return bool(docs.select(*address(docs)).columns and docs.inputFiles())
     except AnalysisException:
         return False
 
@@ -116,9 +117,9 @@ def at_places(docs: DataFrame, rows: DataFrame, kept: bool, *more: Column) -> Da
     n_groups = -(-2 * bitmaps.count() // MOST_BITMAPS) or 1
     out = None
     for k in range(n_groups):
-        own = docs.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(n_groups)) == k) if n_groups > 1 else docs
+        own = docs.where(F.pmod(F.xxhash64(docs.metadataColumn("_metadata")["file_path"]), F.lit(n_groups)) == k) if n_groups > 1 else docs
         side = bitmaps.where(F.pmod(F.xxhash64("of_file"), F.lit(n_groups)) == k) if n_groups > 1 else bitmaps
-        found = own.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns], *more).alias("row"), *address())
+        found = own.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns], *more).alias("row"), *address(own))
         here = (F.col("file") == F.col("of_file")) & (F.floor(F.col("place") / PLACES) == F.col("part"))
         found = found.join(F.broadcast(side), here, "inner" if kept else "left")
         byte = F.conv(F.hex(F.substring("places", ((F.col("place") % PLACES) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

@@ -30,16 +30,20 @@ SAMPLE_RATE = 16
 #: Benchmark text, in bytes, that a block holds (or one item); a larger benchmark is searched in blocks.
 BLOCK_BYTES = 8 << 20
 
+#: Bits that tell which pairs of neighbouring words a shard has; windows with other pairs aren't searched in it.
+PAIR_CELLS = 1 << 22
+
 SPANS = "spans array<struct<first_word:long,last_word:long,start:long,end:long>>, items array<string>"
 
 
 class Phrases:
     """Windows of a block of benchmark items, over the ids 1, 2, ... of their words.
 
-    sets: for each length the distinct windows, and of window p the items, which are owners[begin[p]:begin[p + 1]].
+    sets: for each length the distinct windows, and of window p the items, which are owners[begin[p]:begin[p + 1]];
+    last, cells of some of its pairs of neighbouring words.
     """
 
-    def __init__(self, rows: list[tuple[str, str]], window: int):
+    def __init__(self, rows: list[tuple[str | None, str]], window: int):
         words = Words(pa.array([text for _, text in rows], pa.string()), ALNUM)
         self.vocabulary, symbols = np.unique(words.hash, return_inverse=True)
         symbols = (symbols + 1).astype(np.int32)
@@ -55,7 +59,9 @@ class Phrases:
             _, at, phrase = np.unique(matrix.view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
             pairs = np.unique(phrase.astype(np.int64) * len(rows) + item)
             begin = np.searchsorted(pairs // len(rows), np.arange(len(at) + 1))
-            self.sets.append((n, matrix[at], begin, pairs % len(rows)))
+            matrix = matrix[at]
+            told = [neighbours(matrix[:, k], matrix[:, k + 1]) for k in sorted({0, (n - 1) // 2, n - 2})] if n > 1 else []
+            self.sets.append((n, matrix, begin, pairs % len(rows), told))
         self.shortest = min((n for n, *_ in self.sets), default=0)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
@@ -63,6 +69,11 @@ class Phrases:
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
 
+def neighbours(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A cell of PAIR_CELLS for each pair of neighbouring words."""
+    return common.mix(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) % np.uint64(PAIR_CELLS)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of all suffixes by prefix doubling; every 0 is a symbol of its own, in order of place."""
     n, zero = len(text), text == 0
@@ -160,8 +171,14 @@ def occurrences(words: Words, phrases: Phrases) -> Iterator[tuple[np.ndarray, in
     text = symbols[np.minimum(places, len(symbols) - 1)]
     text[np.cumsum(sizes + 1) - 1] = 0
     index = FMIndex(text, len(phrases.vocabulary))
-    for n, matrix, begin, owners in phrases.sets:
-        found, low, high = index.search(matrix)
+    pairs = np.zeros(PAIR_CELLS, bool)
+    pairs[neighbours(text[:-1], text[1:])] = True
+    for n, matrix, begin, owners, told in phrases.sets:
+        some = np.arange(len(matrix))
+        for cells in told:  # most windows have a pair of words that the shard hasn't
+            some = some[pairs[cells[some]]]
+        found, low, high = index.search(matrix[some])
+        found = some[found]
         if len(found):
             counts = high - low
             rows = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
@@ -181,7 +198,8 @@ def find(words: Words, phrases: Phrases, n_docs: int) -> tuple[list, list]:
         item = owners[np.arange(counts.sum()) + np.repeat(begin[seen[:, 1]] - np.cumsum(counts) + counts, counts)]
         pairs.append(np.stack([np.repeat(seen[:, 0], counts), item], 1))
     for doc, item in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
-        names[doc].append(phrases.items[item])
+        if phrases.items[item] is not None:
+            names[doc].append(phrases.items[item])
     hit = np.cumsum(delta[:-1]) > 0
     border = np.concatenate([[True], words.doc[1:] != words.doc[:-1]]) if len(words) else np.zeros(0, bool)
     heads = np.flatnonzero(hit & (border | ~np.concatenate([[False], hit[:-1]]))) if len(words) else np.zeros(0, int)
@@ -215,7 +233,7 @@ _SPAN_TYPE = pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "last_w
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[int, Iterator[Phrases]]:
     """How many blocks of about BLOCK_BYTES (or one item) the benchmark has, and the blocks, each fetched when it is asked for."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), common.text_of(text_col).alias("text")).where("item IS NOT NULL AND text <> ''").distinct()
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), common.text_of(text_col).alias("text")).where("text <> ''").distinct()
     n = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
     return n, (Phrases([tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()], window) for k in range(n))
 
@@ -241,7 +259,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finds(docs: DataFrame, blocks: Iterator[Phrases], text_col: str) -> DataFrame:
     """(file, place, n_words, spans, items) of the rows with a span; docs is a plain read of Parquet files, of which each block makes one pass."""
     kinds, out = "file string, place long", None
-    rows = docs.select(*common.address(), common.text_of(text_col).alias("text"))
+    rows = docs.select(*common.address(docs), common.text_of(text_col).alias("text"))
     for phrases in blocks:
         found = common.materialise(rows.mapInArrow(_searcher(phrases, False, ["file", "place"]), f"{kinds}, n_words long, {SPANS}"))
         out = found if out is None else out.unionByName(found)
@@ -270,7 +288,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     n_words = pa.array(np.diff(Words(batch.column(3).slice(a, b - a), ALNUM).first))
                     yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:3], n_words], ["id", "file", "place", "n_words"])
 
-        rows = texts.select("id", *common.address(), "text").mapInArrow(count, f"id {kind}, file string, place long, n_words long")
+        rows = texts.select("id", *common.address(texts), "text").mapInArrow(count, f"id {kind}, file string, place long, n_words long")
         rows = rows.join(places, (F.col("file") == F.col("f")) & (F.col("place") == F.col("p")), "left")
         empty = {c: F.coalesce(c, F.array().cast(places.schema[c].dataType)).alias(c) for c in ("spans", "items")}
         found = rows.select("id", "n_words", empty["spans"], empty["items"])

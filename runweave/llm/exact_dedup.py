@@ -100,7 +100,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not stored:
         docs = common.materialise(docs)
-    shared = possibly_repeated(_narrow(docs, id_col, text_col, *common.address())).where("maybe")
+    shared = possibly_repeated(_narrow(docs, id_col, text_col, *common.address(docs))).where("maybe")
     found = common.join_keys(shared, _groups(shared, "id", "file", "place"), "sha", "of", "n")
     gone = found.where(F.col("of").isNotNull() & ~((F.col("file") == F.col("keep.file")) & (F.col("place") == F.col("keep.place"))))
     return common.at_places(docs, gone, kept=False)

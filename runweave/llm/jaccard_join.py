@@ -289,10 +289,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(texts.select("text"), size))
-    placed_texts = texts.select("id", *common.address(), "text")
+    placed_texts = texts.select("id", *common.address(texts), "text")
     rows = placed_texts.mapInArrow(_prefixes(size, percent, known), f"id {kind}, file string, place long, node long, n long, prefix array<long>")
     rows = common.materialise(rows.withColumn("key", F.xxhash64("n", "prefix")))
-    own_place = F.struct(*common.address()).alias("own")
+    own_place = F.struct(*common.address(rows)).alias("own")
     full = rows.where("n > 0").select("node", "key", F.struct("file", "place").alias("first"), own_place)
     nodes = full.groupBy("node").agg(F.min("first").alias("first"), F.min("own").alias("row"), F.first("key").alias("key"), F.count(F.lit(1)).alias("rows"))
     nodes = common.materialise(nodes)

@@ -25,7 +25,7 @@ ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns named as the operators' own.
-CLASH = ["node", "id", "spans", "__h", "__text", "text_", "file", "place", "row", "sha", "maybe", "n_words", "score"]
+CLASH = ["node", "id", "spans", "__h", "__text", "text_", "file", "place", "row", "sha", "maybe", "n_words", "score", "_metadata", "__slot", "key_slot"]
 
 
 def lower(text):
@@ -105,28 +105,28 @@ def test_exact_dedup_beyond_each_bound(spark, docs, tmp_path, monkeypatch):
 
 
 def test_decontamination(spark, odd, docs, empty):
-    bench = spark.createDataFrame([("i1", "one two"), ("i2", "word " * 20), ("i3", None), (None, "one two"), ("i4", " ".join(f"w{k}" for k in range(30))), ("i5", "under the mit license")], "item_id string, text string")
+    bench = spark.createDataFrame([("i1", "one two"), ("i2", "word " * 20), ("i3", None), (None, "one two"), (None, "no id but the words"), ("i4", " ".join(f"w{k}" for k in range(30))), ("i5", "under the mit license")], "item_id string, text string")
     more = spark.createDataFrame([(50, " ".join(["z"] * 300 + [f"w{k}" for k in range(5, 25)]), "en", "s", 0)], SCHEMA)
     for df, b in ((odd.select(empty.columns).union(more), bench), (docs, spark.read.parquet(f"{SF}/benchmark.parquet"))):
         windows = {}
         for r in b.collect():
             w = ALNUM.findall(lower(r.text))
             n = min(13, len(w))
-            for k in range(len(w) - n + 1 if n and r.item_id is not None else 0):
-                windows.setdefault(tuple(w[k : k + n]), set()).add(str(r.item_id))
+            for k in range(len(w) - n + 1 if n else 0):
+                windows.setdefault(tuple(w[k : k + n]), set()).update([] if r.item_id is None else [str(r.item_id)])
         got = by_id(decontaminate.contamination(decontaminate.find_spans(df, b)))
         for r in df.collect():
             w, hit, items = ALNUM.findall(lower(r.text)), set(), set()
             for n in {len(x) for x in windows}:
                 for k in range(len(w) - n + 1):
-                    if own := windows.get(tuple(w[k : k + n])):
+                    if (own := windows.get(tuple(w[k : k + n]))) is not None:
                         items |= own
                         hit.update(range(k, k + n))
             y = got[r.doc_id]
             assert (y.n_words, y.n_hit, y.n_items, y.contaminated) == (len(w), len(hit), len(items), bool(hit) and 20 * len(hit) >= len(w))
             assert y.items_sha256 == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
     clean = decontaminate.drop_contaminated(odd, bench)
-    assert clean.columns == odd.columns and {r.doc_id for r in clean.collect()} == {1, 2, 3, 7, 9, 10, 11, None}
+    assert clean.columns == odd.columns and {r.doc_id for r in clean.collect()} == {1, 2, 3, 7, 9, 10, 11}
     assert all(r[c] == "clash" for r in clean.collect() for c in CLASH)
     assert decontaminate.find_spans(empty, bench).count() == 0
     assert decontaminate.find_spans(odd, bench.limit(0)).where("size(items) > 0").count() == 0
@@ -447,6 +447,9 @@ def test_sharding(spark, odd, empty):
     assert sharding.place(empty, "doc_id", shards, 1_009).count() == 0
     with pytest.raises(ValueError):
         sharding.lookup_table(shards, 1_000)
+    named = sharding.place(odd.withColumns({"Slot": F.lit("old"), "a.b": F.lit(1), "SHARD_": F.lit(2)}), "Slot", shards, 1_009)
+    assert named.columns == [*odd.columns, "a.b", "SHARD_", "slot", "shard"]
+    assert {r.slot for r in named.collect()} == {int(hashlib.md5(b"old").hexdigest()[:15], 16) % 1_009}
 
 
 def test_pipeline(spark):

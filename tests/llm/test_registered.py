@@ -19,7 +19,7 @@ from runweave.llm import queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-CLASH = ["node", "id", "file", "place", "row", "sha", "maybe", "text_", "__h", "__text", "score"]
+CLASH = ["node", "id", "file", "place", "row", "sha", "maybe", "text_", "__h", "__text", "score", "_metadata"]
 
 
 @pytest.fixture(scope="module")
