@@ -46,13 +46,14 @@ def lookup_table(shards: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def place(df: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with `slot` and `shard`, which replace columns of these names."""
-    table = df.sparkSession.createDataFrame([(k, shards[i]) for k, i in enumerate(lookup_table(shards, slots))], "__slot long, __shard string")
+    """df with `slot` and `shard`, which replace columns of these names, in capitals or not."""
+    own, of_table, owner = (common.free_name(df, c) for c in ("key_slot", "table_slot", "table_shard"))
+    table = df.sparkSession.createDataFrame([(k, shards[i]) for k, i in enumerate(lookup_table(shards, slots))], f"{of_table} long, {owner} string")
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
     slot = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % slots
-    kept = [c for c in df.columns if c not in ("slot", "shard")]
-    placed = df.withColumn("__key", slot).join(F.broadcast(table), F.col("__key") == F.col("__slot"), "left")
-    return placed.select(*kept, F.col("__key").alias("slot"), F.col("__shard").alias("shard"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.withColumn(own, slot).join(F.broadcast(table), F.col(own) == F.col(of_table), "left")
+    return placed.select(*kept, F.col(own).alias("slot"), F.col(owner).alias("shard"))
 
 
 def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
