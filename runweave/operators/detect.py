@@ -38,12 +38,6 @@ def first_places(pairs: DataFrame, keys: list[str], tolerance: float) -> DataFra
     return pairs.groupBy(*keys).agg(F.coalesce(F.min(F.when(srd(a, b) >= tolerance, F.col("pos"))), F.lit(-1)).alias("first_seen"), F.min(F.when(half_srd(a, b) > 0, F.col("pos"))).alias("first_differs"))
 
 
-def pairwise_mse(runs: DataFrame, family: str, after: int) -> DataFrame:
-    """Mean squared difference of all pairs of runs of a family from a place on; each pair once."""
-    a, b = (runs.where(F.col("pos") >= after).select(family, "pos", F.col("run_id").alias(f"{x}_id"), F.col("value").alias(x)) for x in "ab")
-    return a.join(b, [family, "pos"]).where("a_id < b_id").groupBy(family, "a_id", "b_id").agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse"))
-
-
 def normalised_before(runs: DataFrame, keys: list[str], until: int) -> DataFrame:
     """Values as z-scores by mean and spread of the places before `until`, where runs of a family are alike; a spread under 1e-6 counts as 1."""
     own = Window.partitionBy(*keys)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import pairs as pair_distances
 from ..operators import plugins
 from ..sources import tables
 from .kernels import _EVENTS, _PAIRS, _VECTORS, DAY, pairs, q, vectors
@@ -99,16 +98,35 @@ def bindings(spark, d):
     return p.groupBy("binding").agg(F.count(F.lit(1)).alias("parameters"), F.min("p_partkey").alias("first"))
 
 
-@query("choice_combinations", f"WITH {_VECTORS}, s AS (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY run_id) AS k FROM v WHERE label < 3), r AS (SELECT * FROM s WHERE k <= 3), c AS (SELECT i, j, l FROM range(1, 4) a(i), range(1, 4) b(j), range(1, 4) z(l)), m AS (SELECT a.label AS la, a.k AS ka, b.label AS lb, b.k AS kb, avg((a.value - b.value) ** 2) AS mse FROM r a JOIN r b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL), t AS (SELECT i, j, l, min(mse) AS least FROM c JOIN m ON (la = 0 AND lb = 1 AND ka = i AND kb = j) OR (la = 0 AND lb = 2 AND ka = i AND kb = l) OR (la = 1 AND lb = 2 AND ka = j AND kb = l) GROUP BY ALL) SELECT i, j, l, {q('least')} AS separation FROM t")
+def _chosen(runs: int) -> str:
+    """SQL for every choice of one run of each label of a family of so many consecutive runs, with its least distance in ten-thousandths."""
+    return f"""WITH RECURSIVE {_VECTORS}, f AS (SELECT *, run_id // {runs} AS family FROM v), r AS (SELECT family, run_id, label, dense_rank() OVER (PARTITION BY family ORDER BY label) AS turn FROM (SELECT DISTINCT family, run_id, label FROM f)),
+m AS (SELECT a.family, a.run_id AS a_id, b.run_id AS b_id, {q('avg((a.value - b.value) ** 2)')} AS mse FROM f a JOIN f b ON a.family = b.family AND a.pos = b.pos AND a.run_id < b.run_id GROUP BY ALL),
+c AS (SELECT family, turn, [run_id] AS choice, NULL::BIGINT AS separation FROM r WHERE turn = 1
+UNION ALL SELECT c.family, r.turn, list_append(c.choice, r.run_id), least(c.separation, (SELECT min(mse) FROM m WHERE m.family = c.family AND ((m.b_id = r.run_id AND list_contains(c.choice, m.a_id)) OR (m.a_id = r.run_id AND list_contains(c.choice, m.b_id))))) FROM c JOIN r ON r.family = c.family AND r.turn = c.turn + 1),
+w AS (SELECT family, array_to_string(choice, ',') AS choice, choice AS ids, separation FROM c SEMI JOIN (SELECT family, max(turn) AS turn FROM r GROUP BY family) e USING (family, turn) WHERE turn > 1)"""
+
+
+def _families(spark, d, runs: int):
+    """Vectors of so many consecutive ids as a family, and the distances of its pairs in ten-thousandths."""
+    r = vectors(spark, d).withColumn("family", F.floor(F.col("run_id") / runs))
+    return r, pair_distances.pairwise_mse(r, "family").withColumn("mse", X.scaled(F.col("mse")).cast("double"))
+
+
+@query("choice_combinations", f"{_chosen(12)} SELECT family, choice, separation FROM w")
 def combinations(spark, d):
-    """Every choice of one of three runs for each of three classes, and how far apart its nearest two are. The runs are few, whatever the table's size."""
-    r = vectors(spark, d).where("label < 3").withColumn("k", F.dense_rank().over(Window.partitionBy("label").orderBy("run_id")).cast("long")).where("k <= 3")
-    a, b = (r.select("pos", F.col("label").alias(f"l{x}"), F.col("k").alias(f"k{x}"), F.col("value").alias(x)) for x in "ab")
-    m = a.join(b, "pos").where("la < lb").groupBy("la", "ka", "lb", "kb").agg(F.avg(F.pow(F.col("a") - F.col("b"), 2)).alias("mse"))
-    every = [F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))] * 3
-    c = reduce(lambda df, x: df.withColumn(x[0], F.explode(x[1])), zip("ijl", every, strict=True), spark.range(1)).drop("id")
-    sides = F.explode(F.array(*(F.struct(F.lit(p).alias("la"), F.lit(o).alias("lb"), F.col(x).alias("ka"), F.col(y).alias("kb")) for p, o, x, y in ((0, 1, "i", "j"), (0, 2, "i", "l"), (1, 2, "j", "l")))))
-    return c.withColumn("s", sides).select("i", "j", "l", "s.*").join(m, ["la", "lb", "ka", "kb"]).groupBy("i", "j", "l").agg(X.scaled(F.min("mse")).alias("separation"))
+    """Every choice of one run of each label, in families of twelve runs, and how far apart its nearest two are."""
+    r, p = _families(spark, d, 12)
+    found = pair_distances.separation(pair_distances.every_choice(r, "family", "label"), p, "family")
+    return found.select("family", F.array_join("choice", ",").alias("choice"), F.col("separation").cast("long").alias("separation"))
+
+
+@query("best_separated_choice", f"{_chosen(16)} SELECT family, arg_min(choice, (-separation, ids)) AS choice, max(separation) AS separation FROM w GROUP BY family")
+def best_choice(spark, d):
+    """The best separated choice of each family of sixteen runs, found without listing the choices."""
+    r, p = _families(spark, d, 16)
+    best = pair_distances.best_separated_choice(p, r, "family", "label")
+    return best.select("family", F.array_join("choice", ",").alias("choice"), F.col("separation").cast("long").alias("separation"))
 
 
 @query("early_stop", f"WITH {_PAIRS}, l AS (SELECT label, run_id, avg((value - base) ** 2) AS loss, max(avg(base ** 2)) OVER (PARTITION BY label) AS ref FROM p GROUP BY label, run_id) SELECT label, bool_and(abs(loss - ref) <= 1.5 * ref) AS stop, {q('min(loss)')} AS best, arg_min(run_id, ({q('loss')}, run_id)) AS run_id FROM l GROUP BY label")
