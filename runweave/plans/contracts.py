@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import pairs as pair_distances
-from ..operators import plugins
+from ..operators import aliases, plugins
 from ..sources import tables
 from .kernels import _EVENTS, _PAIRS, _VECTORS, DAY, pairs, q, vectors
 
@@ -80,16 +80,25 @@ def rollout_plan(spark, d):
     return tables.table(spark, d, "orders").select(agents.alias("agent"), F.col("o_orderpriority").alias("slug")).groupBy("agent", "slug").agg(F.count(F.lit(1)).alias("questions"))
 
 
-@query("alias_match", "WITH p AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_type), ' '))) AS w FROM part), a AS (SELECT t AS alias, unnest(list_distinct(string_split(lower(t), ' '))) AS w FROM (SELECT DISTINCT p_type AS t FROM part)), o AS (SELECT p_partkey, alias, count(*) AS n FROM p JOIN a USING (w) GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY p_partkey ORDER BY n DESC) AS k FROM o) SELECT p_partkey, max(n) AS shared, count(*) > 1 AS ambiguous, CASE WHEN count(*) = 1 THEN min(alias) END AS alias FROM k WHERE k = 1 GROUP BY p_partkey")
+_TOKENS = """list_distinct(list_concat({w}, list_transform(list_filter({w}, lambda w: ends_with(w, 's') AND length(w) > 3), lambda w: w[:-2])))"""
+_WORDS = "list_filter(string_split_regex(replace(replace(lower({x}), '_', ' '), '-', ' '), '\\s+'), lambda w: w <> '')"
+
+
+def _tokens(x: str) -> str:
+    """SQL for the words of a name, with singulars, where bolt and gear stand for each other."""
+    both = _TOKENS.format(w=_WORDS.format(x=x))
+    return f"list_distinct(list_concat({both}, CASE WHEN list_contains({both}, 'bolt') THEN ['gear'] ELSE [] END, CASE WHEN list_contains({both}, 'gear') THEN ['bolt'] ELSE [] END))"
+
+
+@query("alias_match", f"WITH n AS (SELECT DISTINCT p_brand AS brand, p_type || ' ' || p_name AS name, {_tokens("p_type || ' ' || p_name")} AS words FROM part), c AS (SELECT DISTINCT p_brand AS brand, p_name AS candidate, p_type AS described, p_size * 1000 + p_partkey % 1000 AS place FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) = 1), o AS (SELECT *, list_distinct(list_concat({_tokens('candidate')}, {_tokens('described')})) AS words FROM c), s AS (SELECT n.brand, name, candidate, place, len(list_intersect(n.words, o.words)) AS shared, len(o.words) AS own FROM n JOIN o USING (brand)), m AS (SELECT *, max(shared) OVER (PARTITION BY brand, name) AS most FROM s), p AS (SELECT brand, name, most AS shared, arg_min(candidate, (-own, place, candidate)) AS candidate, max(place) > arg_min(place, (-own, place, candidate)) AS ambiguous FROM m WHERE shared = most AND most > 0 GROUP BY brand, name, most) SELECT brand, name, CASE WHEN NOT ambiguous THEN candidate END AS candidate, shared, ambiguous FROM p")
 def alias_match(spark, d):
-    """The alias that shares most words with a name, found by joining on words; ties are ambiguous."""
-    words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " ")))
+    """Types and names of parts by the name of their brand that shares most words with them."""
     p = tables.table(spark, d, "part")
-    names, aliases = p.select("p_partkey", words("p_type").alias("w")), p.select(F.col("p_type").alias("alias")).distinct()
-    shared = names.join(aliases.select("alias", words("alias").alias("w")), "w").groupBy("p_partkey", "alias").agg(F.count(F.lit(1)).alias("n"))
-    k = shared.withColumn("k", F.rank().over(Window.partitionBy("p_partkey").orderBy(F.desc("n")))).where("k = 1")
-    n = F.count(F.lit(1))
-    return k.groupBy("p_partkey").agg(F.max("n").alias("shared"), (n > 1).alias("ambiguous"), F.when(n == 1, F.min("alias")).alias("alias"))
+    first = Window.partitionBy("p_brand", "p_name").orderBy("p_partkey")
+    c = p.withColumn("k", F.row_number().over(first)).where("k = 1")
+    c = c.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("candidate"), (F.col("p_size") * 1000 + F.col("p_partkey") % 1000).alias("place"), F.col("p_type").alias("more"))
+    n = p.select(F.col("p_brand").alias("brand"), F.concat_ws(" ", "p_type", "p_name").alias("name"))
+    return aliases.alias_match(n, c, ["brand"], {"bolt": ["gear"], "gear": ["bolt"]})
 
 
 @query("parameter_bindings", "SELECT w AS binding, count(*) AS parameters, min(p_partkey) AS first FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) GROUP BY w")

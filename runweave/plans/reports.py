@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import report, windows
+from ..operators import paging, report, windows
 from ..sources import tables
 from .kernels import q
 
@@ -120,13 +120,21 @@ def orphans(spark, d):
     return tables.table(spark, d, "customer").join(tables.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("page_of_families", "WITH k AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS pos, count(*) OVER () AS total FROM customer) SELECT c_custkey, c_name, pos, total, pos > 50 AS has_previous, total > 100 AS has_next FROM k WHERE pos BETWEEN 51 AND 100")
+#: Pages asked for (number, size), some beyond what there is.
+PAGES = ((1, 0), (3, 50), (2, 5_000), (1_000_000, 250))
+
+
+@query("page_of_families", f"WITH k AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS pos, count(*) OVER () AS total FROM customer), a(asked, size) AS (VALUES {', '.join(str(p) for p in PAGES)}), z AS (SELECT asked, least(CASE WHEN size > 0 THEN size ELSE 250 END, 1000) AS page_size FROM a), p AS (SELECT k.*, page_size, ceil(total / page_size)::BIGINT AS pages, asked, least(asked, ceil(total / page_size))::BIGINT AS page FROM k, z) SELECT asked, page, page_size, pages, total, c_custkey, c_name, page > 1 AS has_previous, page < pages AS has_next FROM p WHERE pos BETWEEN (page - 1) * page_size + 1 AND page * page_size")
 def page(spark, d):
-    """The second page of 50: the first 100 are taken by a distributed top-k, so no window goes over all rows."""
-    c = tables.table(spark, d, "customer")
-    top = c.orderBy("c_custkey").limit(100).select("c_custkey", "c_name", F.row_number().over(Window.orderBy("c_custkey")).cast("long").alias("pos"))
-    total = c.agg(F.count(F.lit(1)).alias("total"))
-    return top.where("pos > 50").crossJoin(total).select("*", (F.col("pos") > 50).alias("has_previous"), (F.col("total") > 100).alias("has_next"))  # one row
+    """Pages of customers, each found by counts of ranges of the key."""
+    c = tables.table(spark, d, "customer").select("c_custkey", "c_name")
+    out = None
+    for asked, size in PAGES:
+        p = paging.page_of(c, "c_custkey", asked, size)
+        facts = {"asked": asked, "page": p.page, "page_size": p.page_size, "pages": p.total_pages, "total": p.total, "has_previous": p.has_previous, "has_next": p.has_next}
+        rows = p.rows.withColumns({k: F.lit(v) for k, v in facts.items()})
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("common_models", "SELECT p_brand FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) = (SELECT count(DISTINCT p_type) FROM part)")

@@ -139,12 +139,12 @@ def chronological(spark, d):
     return X.chronological(e, ["user_id"], "ts", "event_id").select("event_id", "user_id", F.col("place").cast("long").alias("place"))
 
 
-@query("sorted_groups", "SELECT o_orderpriority, o_orderstatus, sha256(string_agg(o_orderkey || ':' || o_custkey, ',' ORDER BY o_orderkey)) AS digest, count(*) AS members FROM orders GROUP BY ALL")
+@query("sorted_groups", "SELECT o_custkey, o_orderstatus, sha256(string_agg(o_orderkey || ':' || o_orderpriority, ',' ORDER BY o_orderkey)) AS digest, count(*) AS members FROM orders GROUP BY ALL")
 def sorted_groups(spark, d):
-    """The members of each manifest group, sorted by id, as one digest."""
-    o = tables.table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus")
-    own = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey")))
-    texts = F.transform(own, lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_custkey"].cast("string")))
+    """The members of each manifest group (a customer's orders of a status, few by the data's contract), sorted by id, as one digest."""
+    o = tables.table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus")
+    own = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    texts = F.transform(own, lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderpriority"]))
     return o.agg(F.sha2(F.array_join(texts, ","), 256).alias("digest"), F.count(F.lit(1)).alias("members"))
 
 

@@ -23,13 +23,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-_VERDICTS = "v AS (SELECT o_custkey AS family, o_orderkey AS child, CASE o_orderkey % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'error' ELSE 'yes' END AS vs_baseline, CASE o_custkey % 3 WHEN 0 THEN 'no' ELSE 'yes' END AS vs_time0 FROM orders)"
+_VERDICTS = "v AS (SELECT o_custkey AS family, o_orderkey AS child, CASE o_orderkey % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'error' ELSE 'yes' END AS vs_baseline, CASE WHEN o_custkey % 3 = 0 THEN 'no' WHEN o_orderkey % 7 = 3 THEN 'error' ELSE 'yes' END AS vs_time0 FROM orders)"
 
 
 def verdicts(spark, d):
     k = F.col("o_orderkey") % 5
     base = F.when(k == 0, "no").when(k == 1, "error").otherwise("yes")
-    zero = F.when(F.col("o_custkey") % 3 == 0, "no").otherwise("yes")
+    zero = F.when(F.col("o_custkey") % 3 == 0, "no").when(F.col("o_orderkey") % 7 == 3, "error").otherwise("yes")
     return tables.table(spark, d, "orders").select(F.col("o_custkey").alias("family"), F.col("o_orderkey").alias("child"), base.alias("vs_baseline"), zero.alias("vs_time0"))
 
 
@@ -45,10 +45,10 @@ def eligible_children(spark, d):
     return registry.eligible_children(v, f, "family").select("family", "child")
 
 
-@query("eligibility_summary", f"WITH {_VERDICTS} SELECT family, count(*) AS children, count(*) FILTER (WHERE vs_baseline = 'yes') AS told, count(*) FILTER (WHERE vs_time0 = 'yes') AS unlike_time0, count(*) FILTER (WHERE vs_baseline = 'error') AS errors, coalesce(array_to_string(list_sort(list('/run/' || child) FILTER (WHERE vs_baseline = 'error'))[1:10], ','), '') AS urls FROM (SELECT * FROM v ORDER BY child) GROUP BY family HAVING count(*) FILTER (WHERE vs_baseline = 'error') <= 10")
+@query("eligibility_summary", f"WITH {_VERDICTS}, e AS (SELECT *, vs_baseline = 'error' OR vs_time0 = 'error' AS error FROM v) SELECT family, count(*) AS children, count(*) FILTER (WHERE vs_baseline = 'yes') AS told, count(*) FILTER (WHERE vs_time0 = 'yes') AS unlike_time0, count(*) FILTER (WHERE error) AS errors, coalesce(array_to_string(list_sort((list('/run/' || child ORDER BY child) FILTER (WHERE error))[1:10]), ','), '') AS urls FROM e GROUP BY family")
 def eligibility_summary(spark, d):
     s = registry.summary(verdicts(spark, d), "family", F.concat(F.lit("/run/"), F.col("child").cast("string")))
-    return s.where("errors <= 10").withColumn("urls", F.array_join("urls", ","))
+    return s.withColumn("urls", F.array_join("urls", ","))
 
 
 _RUNTIME = "r AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN ' Failed' WHEN 'O' THEN 'success' ELSE 'not_run' END AS status, o_clerk AS host, CASE WHEN o_orderkey % 2 = 0 THEN o_shippriority END AS code FROM orders WHERE o_orderkey % 7 <> 0)"

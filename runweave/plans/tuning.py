@@ -125,10 +125,11 @@ def best_other_candidate(spark, d):
     return losses.best_other(li, ["k"], "candidate", F.col("k") % 4 + 1).withColumn("loss", X.scaled(F.col("loss")))
 
 
-@query("no_candidate_moves", "SELECT l_suppkey AS k, bool_and(abs(l_discount - 0.05) <= 0.5 * 0.05) AS stop FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey")
+@query("no_candidate_moves", "SELECT l_suppkey AS k, l_partkey AS child, bool_and(abs(l_discount - 0.05) <= 0.5 * 0.05) AS stop FROM lineitem GROUP BY l_suppkey, l_partkey")
 def no_candidate_moves(spark, d):
-    li = tables.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), F.col("l_discount").alias("loss"), F.lit(0.05).alias("base"))
-    return losses.stopped(li, ["k"], "base", 0.5)
+    """Whether none of a child's candidates departs from the baseline's loss."""
+    li = tables.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("child"), F.col("l_discount").alias("loss"), F.lit(0.05).alias("base"))
+    return losses.stopped(li, ["k", "child"], "base", 0.5)
 
 
 @query("initial_states", f"WITH p AS (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) SELECT p_partkey, {q('size * 2')} AS mass, {q('sqrt(size * 2) + price')} AS energy, CASE WHEN sqrt(size * 2) + price > 1200 THEN 1 ELSE 0 END AS high FROM p")
