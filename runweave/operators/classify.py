@@ -223,9 +223,10 @@ METHODS = {
 
 
 def distances_by(method: str, candidates: DataFrame, setting: int, channels: int = 1) -> DataFrame:
-    """Distances of candidate pairs by a named one; setting: band or largest lag in samples."""
-    if method == "dtw":
-        found = dtw_distances(candidates, setting, channels)
+    """Distances of candidate pairs by a named one; setting: window (0: any shift, which comes last) or largest lag in samples."""
+    if method == "dtw":  # a window of 1 is the straight path, one of 0 none at all
+        found = dtw_distances(candidates, setting - 1 if setting > 0 else None, channels)
+        setting = setting if setting > 0 else 1_000_000_000
     elif method == "xcorr":
         found = lag_distances(candidates, setting, channels)
     elif method == "euclidean":

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .contracts import list_hash
+from .stored import cut
 
 
 def seeded(seed: Column, *parts: Column) -> Column:
@@ -83,6 +84,64 @@ def manifests(train: DataFrame, test: DataFrame, keys: list[str], value: str, at
     return both.withColumns({"train_hash": list_hash(F.col("train")), "test_hash": list_hash(F.col("test"))})
 
 
+#: Attempts that a key has, and those of each wave. Attempts are a fixed value.
+MOST_ATTEMPTS, WAVES = 500, (4, 16, 64)
+
+
+def accuracies(train: DataFrame, test: DataFrame, pairs: DataFrame, keys: list[str], attempt: str, label: str, value: str) -> DataFrame:
+    """(keys, attempt, nearest, correlated, centroid): the share of each key's test samples that three classifiers get right from each attempt's train samples.
+
+    train: (keys, attempt, label, value); test: (keys, label, value); pairs: (a_id, b_id, mse, z_mse), each pair of samples
+    once, with the mean squared difference of their values, and of their values in units of their own mean and spread.
+    The least mse is the nearest sample, the least z_mse the one with the highest correlation. A class's centroid needs
+    no vectors: the distance to it is the mean distance to its samples less half the mean distance among them.
+    Equal distances go to the first label. Pairs without a distance don't count.
+    """
+    both = pairs.select("a_id", "b_id", "mse", "z_mse")
+    both = both.unionByName(both.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "mse", "z_mse"))
+    own = train.select(*keys, attempt, F.col(label).alias("said"), F.col(value).alias("b_id"))
+    asked = test.select(*keys, F.col(label).alias("truth"), F.col(value).alias("a_id"))
+    met = asked.join(own, keys).join(both, ["a_id", "b_id"])
+    by_class = met.groupBy(*keys, attempt, "a_id", "truth", "said").agg(F.min("mse").alias("mse"), F.min("z_mse").alias("z_mse"), F.avg("mse").alias("mean"))
+    inside = own.withColumnRenamed("b_id", "a_id").join(own, [*keys, attempt, "said"]).join(pairs.select("a_id", "b_id", "mse"), ["a_id", "b_id"])
+    n = own.groupBy(*keys, attempt, "said").agg(F.count(F.lit(1)).alias("n"))
+    spread = inside.groupBy(*keys, attempt, "said").agg(F.sum("mse").alias("inside")).join(n, [*keys, attempt, "said"], "right")
+    scored = by_class.join(spread, [*keys, attempt, "said"]).withColumn("mean", F.col("mean") - F.coalesce("inside", F.lit(0.0)) / (F.col("n") * F.col("n")))
+    right = {"nearest": "mse", "correlated": "z_mse", "centroid": "mean"}
+    best = scored.groupBy(*keys, attempt, "a_id", "truth").agg(*((F.min(F.struct(c, "said"))["said"] == F.col("truth")).alias(k) for k, c in right.items()))
+    return best.groupBy(*keys, attempt).agg(*(F.avg(F.col(k).cast("double")).alias(k) for k in right))
+
+
+def adversarial_manifests(pool: DataFrame, test: DataFrame, pairs: DataFrame, keys: list[str], label: str, value: str, seed: str, per_label: int, margin: float = 0.1, attempts: int = MOST_ATTEMPTS, waves: tuple[int, ...] = WAVES) -> DataFrame:
+    """(keys, attempt, best, train, test, train_hash, test_hash) of each key's first attempt whose train samples don't give the test samples away: the best of the three classifiers gets at most chance + margin (1 - chance) of them right. Keys without such an attempt are left out.
+
+    pool: (keys, seed, label, value), what a key may draw from, without its test samples; test: (keys, label, value).
+    An attempt draws `per_label` samples of each label in an order seeded by seed and attempt; an attempt that can't is
+    none. Attempts are tried in waves, each over the keys that are still open, so most keys need few. Only the drawn
+    samples meet the table of pairs; no vectors move.
+    """
+    names = pool.groupBy(*keys).agg(F.count_distinct(label).alias("labels"))
+    open_, begin, out, turn = names, 0, None, 0
+    while begin < attempts:
+        end = min(attempts, begin + waves[min(turn, len(waves) - 1)])
+        rows = pool.join(open_.select(*keys), keys, "left_semi").withColumn("attempt", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))))
+        rows = rows.withColumn("own_", F.concat_ws("::", F.col(seed).cast("string"), F.col("attempt").cast("string")))
+        drawn = cut(stratified(rows, [*keys, "attempt"], label, value, "own_", per_label).select(*keys, "attempt", label, value))
+        whole = drawn.groupBy(*keys, "attempt").agg(F.count(F.lit(1)).alias("n")).join(names, keys).where(F.col("n") == per_label * F.col("labels"))
+        scores = accuracies(drawn, test, pairs, keys, "attempt", label, value).join(whole, [*keys, "attempt"])
+        best = F.greatest("nearest", "correlated", "centroid")
+        passed = scores.withColumn("best", best).where(best <= 1 / F.col("labels") + margin * (1 - 1 / F.col("labels")))
+        first = cut(passed.groupBy(*keys).agg(F.min(F.struct("attempt", "best")).alias("m")).select(*keys, "m.attempt", "m.best"))
+        found = manifests(drawn, test.join(first, keys), keys, value, "attempt", first.drop("best")).join(first, [*keys, "attempt"])
+        found = found.select(*keys, "attempt", "best", "train", "test", "train_hash", "test_hash")
+        out = found if out is None else out.unionByName(found)
+        open_ = cut(open_.join(first, keys, "left_anti"))
+        if open_.isEmpty():
+            break
+        begin, turn = end, turn + 1
+    return out
+
+
 def candidates(registry: DataFrame, eligibility: DataFrame, keys: list[str]) -> DataFrame:
     """registry (keys, status, skipped) with the reason why a child is no candidate (NULL: it is one), by its own state and its eligibility (keys, vs_baseline, vs_time0)."""
     rows = registry.join(eligibility, keys, "left")

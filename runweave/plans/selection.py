@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import contracts, registry, sampling
+from ..operators import align, contracts, registry, sampling, stored
+from ..operators import pairs as pair_distances
 from ..sources import tables
 
 QUERIES: dict = {}
@@ -168,6 +170,32 @@ def manifests(spark, d):
     return m.withColumns({c: F.array_join(c, ",") for c in ("train", "test")})
 
 
+_DRAWS = f"""z AS (SELECT vec_id AS id, label, embedding AS x, list_transform(embedding, lambda v: (v - list_avg(embedding)) / list_stddev_pop(embedding)) AS y FROM embeddings),
+d AS (SELECT a.id AS a_id, b.id AS b_id, list_avg(list_transform(list_zip(a.x, b.x), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS mse, list_avg(list_transform(list_zip(a.y, b.y), lambda p: (p[1] - p[2]) ** 2)) AS z_mse FROM z a JOIN z b ON a.id <> b.id),
+s AS (SELECT unnest(range(8)) AS seed), c AS (SELECT seed, label, id, row_number() OVER (PARTITION BY seed, label ORDER BY md5('test::' || seed || '::' || id), id) AS k FROM z, s),
+e AS (SELECT seed, label, id FROM c WHERE k <= 3), p AS (SELECT seed, label, id FROM c WHERE k > 3), a AS (SELECT *, unnest(range(60)) AS attempt FROM p),
+t AS (SELECT seed, attempt, label, id FROM (SELECT *, row_number() OVER (PARTITION BY seed, attempt, label ORDER BY md5(seed || '::' || attempt || '::' || id), id) AS k FROM a) WHERE k <= 2),
+m AS (SELECT t.seed, t.attempt, e.id, e.label AS truth, t.label AS said, min(mse) AS mse, min(z_mse) AS z_mse, avg(mse) AS mean FROM e JOIN t USING (seed) JOIN d ON a_id = e.id AND b_id = t.id GROUP BY ALL),
+w AS (SELECT t.seed, t.attempt, t.label AS said, sum(mse) / 8 AS inside FROM t JOIN t u ON t.seed = u.seed AND t.attempt = u.attempt AND t.label = u.label JOIN d ON a_id = t.id AND b_id = u.id GROUP BY ALL),
+b AS (SELECT seed, attempt, id, truth, (arg_min(said, (mse, said)) = truth)::INT AS nearest, (arg_min(said, (z_mse, said)) = truth)::INT AS correlated, (arg_min(said, (mean - inside, said)) = truth)::INT AS centroid FROM m JOIN w USING (seed, attempt, said) GROUP BY seed, attempt, id, truth),
+r AS (SELECT seed, attempt, greatest(avg(nearest), avg(correlated), avg(centroid)) AS best FROM b GROUP BY seed, attempt), f AS (SELECT seed, min(attempt) AS attempt FROM r WHERE best <= 0.1 + 0.02 * 0.9 GROUP BY seed)"""
+
+
+@query("adversarial_manifests", f"""WITH {_DRAWS}, x AS (SELECT seed, list_sort(list(id::VARCHAR)) AS test FROM e GROUP BY seed), y AS (SELECT seed, attempt, list_sort(list(id::VARCHAR)) AS train FROM t GROUP BY ALL)
+SELECT seed, attempt, CAST(round(best * 30) AS BIGINT) AS right_of_thirty, array_to_string(train, ',') AS train, array_to_string(test, ',') AS test, sha256('["' || array_to_string(train, '", "') || '"]') AS train_hash, sha256('["' || array_to_string(test, '", "') || '"]') AS test_hash FROM f JOIN r USING (seed, attempt) JOIN x USING (seed) JOIN y USING (seed, attempt)""")
+def adversarial_manifests(spark, d):
+    """For each of eight seeds the first draw of train samples from which no classifier tells the test samples' labels much better than chance."""
+    runs = tables.vector_runs(spark, d)
+    near = pair_distances.pairwise_mse(runs.withColumn("all", F.lit(0)), "all")
+    alike = pair_distances.pairwise_mse(align.standardise(runs, ["run_id"], "value").select(F.lit(0).alias("all"), "run_id", "pos", F.col("z").alias("value")), "all")
+    pairs = near.join(alike.withColumnRenamed("mse", "z_mse"), ["all", "a_id", "b_id"])
+    samples = tables.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id").select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("seed"), "label", "id")
+    order = Window.partitionBy("seed", "label").orderBy(F.md5(F.concat_ws("::", F.lit("test"), F.col("seed").cast("string"), F.col("id").cast("string"))), "id")
+    placed = samples.withColumn("k", F.row_number().over(order))
+    m = sampling.adversarial_manifests(placed.where("k > 3").drop("k"), placed.where("k <= 3").drop("k"), stored.cut(pairs), ["seed"], "label", "id", "seed", 2, margin=0.02)
+    return m.select("seed", "attempt", F.round(F.col("best") * 30).cast("long").alias("right_of_thirty"), F.array_join("train", ",").alias("train"), F.array_join("test", ",").alias("test"), "train_hash", "test_hash")
+
+
 _MANIFEST = "m AS (SELECT l_suppkey AS row, l_linenumber AS seed, list_sort(list(DISTINCT l_orderkey::VARCHAR) FILTER (WHERE l_returnflag = 'A')) AS train, list_sort(list(DISTINCT l_orderkey::VARCHAR) FILTER (WHERE l_returnflag <> 'A')) AS test FROM lineitem GROUP BY ALL HAVING count(*) FILTER (WHERE l_returnflag = 'A') > 0 AND count(*) FILTER (WHERE l_returnflag <> 'A') > 0)"
 
 
