@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,35 @@ from .windows import centred
 WINDOW, FLOOR = 11, 1e-4
 
 
+@dataclass(frozen=True)
+class Rules:
+    """window: samples of the local level, an odd number; floor: the least share of the run's level that counts."""
+
+    window: int = WINDOW
+    floor: float = FLOOR
+
+
+def rules_of(text: str | None, default: Rules = Rules()) -> Rules:
+    """Rules from a JSON document. What it lacks, or what is no number, is the default's; windows under 1 too, and even ones are one larger."""
+    try:
+        given = json.loads(text or "")
+    except ValueError:
+        return default
+    if not isinstance(given, dict):
+        return default
+
+    def number(name: str, kind: type, fallback: float) -> float:
+        try:
+            found = float(given.get(name))
+            return kind(found) if math.isfinite(found) else fallback
+        except (TypeError, ValueError):
+            return fallback
+
+    window = number("rolling_window_points", int, default.window)
+    window = window if window >= 1 else default.window
+    return Rules(int(window) + (int(window) % 2 == 0), number("sigma_floor_ratio", float, default.floor))
+
+
 def levels(df: DataFrame, keys: list[str], order: str, value: str = "value", window: int = WINDOW) -> DataFrame:
     """df with the RMS of the finite samples of the window (__local) and of the run (__whole)."""
     square = F.when(X.finite(F.col(value)), F.pow(F.col(value), 2))
@@ -52,3 +85,17 @@ def apply_profile(df: DataFrame, run: str, signal: str, order: str, share: float
     stream = stream_seed(F.concat(F.lit("signal:"), run_id, F.lit(":"), F.col(signal)), run_seed(seed, run_id))
     noisy = draw(levels(df, keys, order, value), keys, order, "__noise", adaptive_sigma(share, base, absolute), stream, value)
     return noisy.withColumn("noisy", F.col(value) + F.col("__noise")).drop("__noise", "__local", "__whole")
+
+
+def apply_streams(df: DataFrame, run: str, signal: str, order: str, run_share: float = 0.0, signal_shares: dict[str, float] | None = None, seed: int = 0, rules: Rules = Rules(), value: str = "value") -> DataFrame:
+    """df with `noisy`: the value, noise of all signals and noise of the single signal, from streams `run:` and `signal:` of the signal's name.
+
+    signal_shares: shares by signal; others have no noise of their own. A share that is not finite is none.
+    """
+    keys, shares = [run, signal], {k: v for k, v in (signal_shares or {}).items() if math.isfinite(v)}
+    one = F.coalesce(*(F.when(F.col(signal) == k, F.lit(float(v))) for k, v in shares.items()), F.lit(0.0))
+    out = levels(df, keys, order, value, rules.window)
+    for name, share in (("run", F.lit(run_share if math.isfinite(run_share) else 0.0)), ("signal", one)):
+        sigma = share * F.greatest(F.col("__local"), rules.floor * F.col("__whole"))
+        out = draw(out, keys, order, f"__{name}", sigma, stream_seed(F.concat(F.lit(f"{name}:"), F.col(signal)), F.lit(seed)), value)
+    return out.withColumn("noisy", F.col(value) + F.col("__run") + F.col("__signal")).drop("__run", "__signal", "__local", "__whole")

@@ -5,8 +5,10 @@ A run is the unit of memory: it must fit a task.
 
 from __future__ import annotations
 
+import inspect
+import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,3 +77,60 @@ def apply_beside(runs: DataFrame, references: DataFrame, keys: list[str], order:
         return found
 
     return runs.groupBy(*keys).cogroup(references.groupBy(*keys)).applyInPandas(one, f"{_schema(runs, keys)}, {schema}")
+
+
+#: Noise profiles that a model's noise must know, and the scopes of their thresholds. Fixed values.
+PROFILES, SCOPES = ("low", "high"), ("global", "local")
+
+
+def checked_noise(model: str, exports: object) -> object:
+    """A model's noise, a module or the like, after a check of what it must export.
+
+    NOISE_DICT: settings by profile; SNR_THR_DICT: by profile and scope a list of thresholds;
+    quantify_noise(clean, noisy, reference); add_noise(src, seed, noise_level, ref) -> (frame, analysis).
+    """
+    settings, thresholds = getattr(exports, "NOISE_DICT", None), getattr(exports, "SNR_THR_DICT", None)
+    if not isinstance(settings, Mapping) or any(p not in settings for p in PROFILES):
+        raise TypeError(f"{model}: NOISE_DICT must have the profiles {PROFILES}")
+    if not isinstance(thresholds, Mapping) or not all(isinstance(thresholds.get(p), Mapping) and isinstance(thresholds[p].get(s), list) for p in PROFILES for s in SCOPES):
+        raise TypeError(f"{model}: SNR_THR_DICT must have a list for each of {PROFILES} and {SCOPES}")
+    for name, parameters in (("quantify_noise", ["clean", "noisy", "reference"]), ("add_noise", ["src", "seed", "noise_level", "ref"])):
+        f = getattr(exports, name, None)
+        if not callable(f) or list(inspect.signature(f).parameters) != parameters:
+            raise TypeError(f"{model}: {name} must take {parameters}")
+    return exports
+
+
+def profile_of(said: str | None) -> str:
+    """none, low or high, in any case; nothing said is none."""
+    profile = (said or "none").strip().lower() or "none"
+    if profile not in ("none", *PROFILES):
+        raise ValueError(f"unknown noise profile: {said}")
+    return profile
+
+
+def apply_noise(runs: DataFrame, references: DataFrame, keys: list[str], order: str, models: dict[str, object], profile: str | None, seed: int, model: str = "model") -> DataFrame:
+    """(keys, columns of the run, analysis) of each run after its model's noise: keys begin with the model's name, by which the noise is chosen.
+
+    models: noise by model, checked here. analysis: what add_noise says of the run, as JSON with sorted keys, beside
+    each of its rows. Profile none leaves runs as they are, without an analysis. A model without noise is an error.
+    """
+    profile = profile_of(profile)
+    known = {name: checked_noise(name, m) for name, m in models.items()}
+    columns = [c for c in runs.columns if c not in keys]
+    kinds = dict(runs.dtypes)
+    if profile == "none":
+        return runs.select(*keys, *columns, F.lit(None).cast("string").alias("analysis"))
+    tagged = runs.withColumn("model_", F.col(model))
+
+    def noisy(run: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
+        name = run["model_"].iloc[0]
+        if name not in known:
+            raise KeyError(f"no noise for model {name}")
+        given = known[name].add_noise(run[columns].copy(), seed=seed, noise_level=profile, ref=reference[columns].copy() if len(reference) else None)
+        if not (isinstance(given, tuple) and len(given) == 2 and isinstance(given[0], pd.DataFrame) and isinstance(given[1], dict)):
+            raise TypeError(f"{name}: add_noise must return a frame and a dict")
+        return given[0][columns].assign(analysis=json.dumps(given[1], sort_keys=True))
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", analysis string"
+    return apply_beside(tagged, references, keys, order, noisy, schema)

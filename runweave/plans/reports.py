@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import paging, report, windows
+from ..operators import draws, paging, report, windows
 from ..sources import tables
 from .kernels import q
 
@@ -160,6 +160,22 @@ def balanced(spark, d):
     return k.where("k <= 8").select("label", "vec_id", (F.col("k") <= 3).alias("train"))
 
 
+@query("published_folds")
+def published_folds(spark, d):
+    """Families of each brand's parts dealt to three folds by the permutation that published splits use."""
+    p = tables.table(spark, d, "part").select(F.col("p_brand").alias("model"), F.col("p_partkey").alias("family"))
+    return draws.folds(p, ["model"], "family", 3, 7)
+
+
+@query("published_choices")
+def published_choices(spark, d):
+    """Two parts of each type of each brand, from a generator named by the brand, and the brand's names in the shuffled order of its questions."""
+    p = tables.table(spark, d, "part").select(F.col("p_brand").alias("model"), F.col("p_type").alias("label"), F.col("p_partkey").alias("id"))
+    picked = draws.chosen(p, ["model"], "label", "id", 2, "model")
+    order = draws.shuffled(p.select("model", "label").distinct(), ["model"], "label", "label", 11)
+    return picked.join(order, ["model", "label"])
+
+
 @query("family_folds", "WITH f AS (SELECT c_nationkey AS family, (row_number() OVER (ORDER BY md5('3:' || c_nationkey)) - 1) % 5 AS fold FROM (SELECT DISTINCT c_nationkey FROM customer)) SELECT fold, count(DISTINCT family) AS families, count(*) AS members FROM customer JOIN f ON c_nationkey = family GROUP BY fold")
 def family_folds(spark, d):
     """Families are dealt to folds whole, in the order of a seeded hash; a family is one of few keys."""

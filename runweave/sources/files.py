@@ -32,6 +32,21 @@ def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(file.rlike(name)).select("*", F.regexp_extract(file, name, 1).alias("epoch"), F.regexp_extract(file, name, 2).alias("split"))
 
 
+def read_run_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of a run's folder, or where it has none the entries of its errors/<split>_errors.json, in the same columns; documents that are no lists of objects are skipped."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    if not listed.where(F.col("path").rlike(r"/predictions/[^/]*\.csv$")).isEmpty():
+        return read_predictions(spark, folder)
+    names = ("dataset_index", "sample_id", "scenario", "true_label", "pred_label", "true_choice", "pred_choice")
+    schema = ", ".join(f"{n} string" for n in names)
+    if listed.where(F.col("path").rlike(r"/errors/(train|val|test)_errors\.json$")).isEmpty():
+        return spark.createDataFrame([], schema + ", epoch string, split string")
+    texts = spark.read.option("wholetext", True).text(f"{folder}/errors").select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(train|val|test)_errors\.json$", 1).alias("split"))
+    rows = texts.where("split <> ''").select("split", F.explode(F.from_json("value", f"array<struct<{', '.join(f'{n}:string' for n in names)}>>")).alias("r"))
+    whole = ("dataset_index", "true_label", "pred_label")
+    return rows.where("r IS NOT NULL").select(*((F.col(f"r.{n}").try_cast("long") if n in whole else F.col(f"r.{n}")).cast("string").alias(n) for n in names), F.lit(None).cast("string").alias("epoch"), "split")
+
+
 def read_metadata(spark: SparkSession, folder: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, errors): one row of each metadata_task.json below the folder; errors hold path and text of those that don't parse."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata_task.json").option("wholetext", True).text(folder)
