@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.llm import common, fill_in_middle, fingerprints, merkle
+from runweave.llm import common, fill_in_middle, fingerprints, licenses, merkle
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -229,3 +229,19 @@ def test_differences_of_two_versions(spark, most_cells):
         assert (len(got[i].removed), len(got[i].added)) == (gone, added)
     assert {i: round(r.likeness, 6) for i, r in got.items()} == {1: 0.5, 2: 0.4, 3: 1, 4: 0, 5: 0, 6: 1}
     assert fingerprints.differences(old.limit(0), new.limit(0)).count() == 0
+
+
+def test_whole_licences_are_found_in_part_and_with_other_names():
+    scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.TEMPLATES)
+
+    def labels(text):
+        _, pieces, told = scanner.scan(licenses.Words(pa.array([text.lower()]), licenses.ALNUM), 1)
+        return {c[0] for c in scanner.chains(pieces[0], told[0])}
+
+    for label, text in licenses.WHOLE.items():
+        w = [x.lstrip("*") for x in text.split()]
+        assert label in labels("Copyright (c) X. " + " ".join(w).capitalize() + " the end")
+        assert label in labels(" ".join(w[: int(0.7 * len(w))])), label
+        assert label not in labels(" ".join(w[-len(w) // 3 :])), label
+        named = [x for k, x in enumerate(w) for x in ([x, "acme"] if k % 40 == 39 else [x])]
+        assert label in labels(" ".join(named)), label
