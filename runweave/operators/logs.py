@@ -422,6 +422,14 @@ def inclusive_prompt(prompt: Column, cached: Column) -> Column:
     return F.when(cached > prompt, prompt + cached).otherwise(prompt)
 
 
+def token_averages(finals: DataFrame) -> DataFrame:
+    """(session, prompt, completion, prompt_per_step, completion_per_step) of each session's final figures (session, steps, prompt, cached, completion); prompts with those from the cache. A session without steps is an error."""
+    steps = F.when(F.col("steps") > 0, F.col("steps")).otherwise(F.raise_error(F.concat(F.lit("no steps: "), F.col("session").cast("string"))).cast("long"))
+    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    prompt = inclusive_prompt(n("prompt"), n("cached"))
+    return finals.select("session", prompt.alias("prompt"), n("completion").alias("completion"), (prompt / steps).alias("prompt_per_step"), (n("completion") / steps).alias("completion_per_step"))
+
+
 def cost(prompt: Column, cached: Column, completion: Column, price: Column, cached_price: Column, out_price: Column) -> Column:
     """Of tokens at prices for a million."""
     whole = inclusive_prompt(prompt, cached)
