@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import decimate, noise, registry
+from ..operators import decimate, noise, registry, scores
 from ..sources import tables
 from .kernels import _EVENTS, _PAIRS, DAY, pairs, q
 from .reports import _RESULTS, results
@@ -119,9 +119,8 @@ def trajectory_loss(spark, d):
 
 @query("channel_tolerance", f"WITH {_PAIRS} SELECT label, run_id, {q('max(abs(value - base))')} AS most, {q('max(abs(value - base)) / nullif(max(abs(base)), 0)')} AS share, {q('CASE WHEN avg(abs(base)) > 0 THEN max(abs(value - base)) / avg(abs(base)) END')} AS ratio FROM p WHERE pos < 16 GROUP BY ALL")
 def channel_tolerance(spark, d):
-    gap = F.max(F.abs(F.col("value") - F.col("base")))
-    p = pairs(spark, d).where("pos < 16").groupBy("label", "run_id")
-    return p.agg(X.scaled(gap).alias("most"), X.scaled(F.try_divide(gap, F.max(F.abs("base")))).alias("share"), X.scaled(F.try_divide(gap, F.avg(F.abs("base")))).alias("ratio"))
+    found = scores.signal_ratio(pairs(spark, d).where("pos < 16"), ["label", "run_id"], F.col("value") - F.col("base"), F.col("base"))
+    return found.select("label", "run_id", *(X.scaled(F.col(c)).alias(c) for c in ("most", "share", "ratio")))
 
 
 @query("series_inventory", f"WITH {_EVENTS} SELECT run_id, signal, count(*) AS points, count(DISTINCT t // {DAY}) AS days, min(t) AS t_start, max(t) AS t_end FROM e GROUP BY ALL")
@@ -134,9 +133,9 @@ def inventory(spark, d):
 def rule_scores(spark, d):
     """Means over seeds of each sample, then over samples; the headline takes the base seed alone."""
     part = F.when(F.col("l_partkey") % 3 == 0, "test").otherwise("other")
-    s = tables.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("sample"), part.alias("part"))
-    m = s.agg(F.avg("l_discount").alias("mean"), F.avg(F.when(F.col("l_suppkey") % 5 == 0, (F.col("l_returnflag") == "N").cast("int"))).alias("headline"))
-    return m.groupBy("part").agg(F.count(F.lit(1)).alias("samples"), X.scaled(F.avg("mean")).alias("mean"), X.scaled(F.coalesce(F.avg("headline"), F.lit(0.0))).alias("headline"))
+    rows = tables.table(spark, d, "lineitem").withColumns({"sample": F.col("l_partkey"), "part": part})
+    found = scores.over_seeds(rows, "sample", "part", F.col("l_discount"), F.col("l_suppkey") % 5 == 0, (F.col("l_returnflag") == "N").cast("int"))
+    return found.select("part", "samples", X.scaled(F.col("mean")).alias("mean"), X.scaled(F.col("headline")).alias("headline"))
 
 
 @query("grouped_seeds", "SELECT o_orderpriority AS slug, o_orderstatus AS kind, array_to_string(list_sort(list(DISTINCT o_custkey % 13)), ',') AS seeds, count(DISTINCT o_custkey % 3) AS settings FROM orders GROUP BY ALL")
@@ -164,11 +163,23 @@ def interval_draws(spark, d):
 
 @query("test_batches", "WITH k AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings) SELECT label, k // 8 AS batch, count(*) AS n, count(*) = 8 AS whole FROM k GROUP BY ALL")
 def test_batches(spark, d):
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    e = tables.table(spark, d, "embeddings").select("label", F.floor(k / 8).cast("long").alias("batch"))
+    e = scores.batched(tables.table(spark, d, "embeddings"), ["label"], "vec_id", 8, whole=False)
     return e.groupBy("label", "batch").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == 8).alias("whole"))
 
 
+@query("answer_faults", "WITH a AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber = 7 THEN ' ' ELSE 's' || l_suppkey END AS name, 's' || l_suppkey AS stem, CASE l_returnflag WHEN 'A' THEN ['x', ' x'] WHEN 'R' THEN ['x', 'y'] WHEN 'N' THEN CASE WHEN l_quantity > 40 THEN [] ELSE ['y', ' '] END END AS labels FROM lineitem), e AS (SELECT DISTINCT l_orderkey AS k, 's' || l_suppkey AS stem FROM lineitem WHERE l_linenumber <> 3), j AS (SELECT a.k, trim(name) AS name, CASE WHEN trim(name) = '' THEN '' WHEN e.stem IS NULL THEN name ELSE 'data/' || e.stem || '.parquet' END AS sample, labels, e.stem IS NOT NULL AND trim(name) <> '' AS known FROM a LEFT JOIN e ON a.k = e.k AND a.stem = e.stem), f AS (SELECT k, sample, unnest(list_filter([CASE WHEN name = '' THEN 'empty_key' END, CASE WHEN len(labels) = 0 OR list_contains(labels, ' ') THEN 'empty_label' END, CASE WHEN labels = ['x', ' x'] THEN 'repeated_label' END, CASE WHEN name <> '' AND NOT known THEN 'unexpected' END], lambda x: x IS NOT NULL)) AS rule FROM j) SELECT k, rule, sample FROM f UNION ALL SELECT k, 'repeated_key', sample FROM j WHERE name <> '' GROUP BY k, sample HAVING count(*) > 1 UNION ALL SELECT k, 'missing', 'data/' || stem || '.parquet' FROM e WHERE NOT EXISTS (FROM j WHERE j.k = e.k AND j.sample = 'data/' || e.stem || '.parquet')")
+def answer_faults(spark, d):
+    """Items of an order as answers by the names of samples, of which some aren't expected."""
+    li = tables.table(spark, d, "lineitem").withColumn("k", F.col("l_orderkey"))
+    stem = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    flag = F.col("l_returnflag")
+    texts = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    labels = F.when(flag == "A", texts("x", " x")).when(flag == "R", texts("x", "y")).otherwise(F.when(F.col("l_quantity") > 40, texts()).otherwise(texts("y", " ")))
+    answers = li.select("k", F.when(F.col("l_linenumber") == 7, " ").otherwise(stem).alias("sample"), labels.alias("labels"))
+    expected = li.where("l_linenumber <> 3").select("k", F.concat(F.lit("data/"), stem, F.lit(".parquet")).alias("sample"))
+    return scores.answer_faults(answers, expected, ["k"])
+
+
 @query("answer_contract", "WITH a AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_suppkey) AS kinds, list(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY 1) SELECT count(*) FILTER (WHERE kinds < n) AS repeated, count(*) FILTER (WHERE NOT list_contains(flags, 'N')) AS missing, count(*) AS answers FROM a")
 def answer_contract(spark, d):
     a = tables.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("kinds"), F.count_if(F.col("l_returnflag") == "N").alias("expected"))
