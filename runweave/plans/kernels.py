@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import align, classify, detect, noise, windows
+from ..operators import align, classify, detect, noise, warping, windows
 from ..operators import pairs as pair_distances
 from ..sources import tables
 
@@ -265,11 +265,20 @@ def leave_one_out(spark, d):
     return best.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("predicted") == F.col("label")).alias("correct"))
 
 
-@query("dtw_nearest")
+def warped(support: str, windows: tuple[int, ...], n: int = 16, means_of: int = 4) -> str:
+    """SQL for warped distances of queries to a support (CTEs r and s), by anti-diagonals of the table of costs: of runs of n means of so many values."""
+    cell = "least(coalesce(prev[i], 'inf'::DOUBLE), coalesce(prev[i - 1], 'inf'::DOUBLE), coalesce(prev2[i - 1], 'inf'::DOUBLE))"
+    return f"""WITH RECURSIVE r AS (SELECT vec_id AS run_id, label, list_transform(range({n}), lambda b: list_avg(list_transform(range(b * {means_of} + 1, b * {means_of} + {means_of + 1}), lambda i: embedding[i]::DOUBLE))) AS x FROM embeddings), s AS (SELECT run_id AS s_id, label AS s_label, x AS y FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY run_id) AS k FROM r) WHERE k <= {support}),
+w(w) AS (VALUES {', '.join(f'({x})' for x in windows)}), dp AS (SELECT w, run_id, label, s_id, s_label, x, y, 1 AS t, list_transform(range({n}), lambda i: 'inf'::DOUBLE) AS prev2, list_transform(range({n}), lambda i: 'inf'::DOUBLE) AS prev FROM QUERIES, s, w WHERE run_id <> s_id
+UNION ALL SELECT w, run_id, label, s_id, s_label, x, y, t + 1, prev, list_transform(range(1, {n + 1}), lambda i: CASE WHEN t + 1 - i BETWEEN 1 AND {n} AND (w = 0 OR abs(2 * i - t - 1) < w) THEN (x[i] - y[t + 1 - i]) ** 2 + CASE WHEN t = 1 THEN 0 ELSE {cell} END ELSE 'inf'::DOUBLE END) FROM dp WHERE t < {2 * n}),
+d AS (SELECT w, run_id, label, s_id, s_label, sqrt(prev[{n}]) AS distance FROM dp WHERE t = {2 * n}), n AS (SELECT *, row_number() OVER (PARTITION BY w, run_id ORDER BY distance, s_id) AS rank FROM d)"""
+
+
+@query("dtw_nearest", f"{warped('1', (6,), 64, 1).replace('QUERIES', 'r')} SELECT run_id, arg_min(s_label, (distance, s_id)) AS predicted, {q('min(distance) ** 2')} AS distance FROM d GROUP BY run_id")
 def dtw_nearest(spark, d):
     r = arrays(spark, d)
-    near = classify.pairs(r, classify.few_shots(r, 1))
-    return classify.dtw_distances(near, 5).groupBy("run_id").agg(F.min(F.struct("distance", "s_label")).alias("b")).select("run_id", F.col("b.s_label").alias("predicted"), F.col("b.distance").alias("distance"))
+    near = warping.warped_nearest(r, classify.few_shots(r, 1), 1, 6)
+    return near.select("run_id", F.col("s_label").alias("predicted"), X.scaled(F.pow("distance", 2)).alias("distance"))
 
 
 @query("greedy_event_matching")

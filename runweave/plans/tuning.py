@@ -8,7 +8,7 @@ from ..functions import exprs as X
 from ..functions import scalars as S
 from ..operators import classify, losses, warping
 from ..sources import tables
-from .kernels import _ARRAYS, _EVENTS, DAY, arrays, q
+from .kernels import _ARRAYS, _EVENTS, DAY, arrays, q, warped
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,22 +62,13 @@ def tuned_neighbours(spark, d):
     return classify.tuned(found, shots.select("run_id", "label"), [1, 3, 5, 0]).withColumn("place", F.col("place").cast("long"))
 
 
-def _warped(support: str, windows: tuple[int, ...]) -> str:
-    """SQL for warped distances of queries to a support (CTEs r and s), by anti-diagonals of the table of costs: of runs of sixteen means of four values."""
-    cell = "least(coalesce(prev[i], 'inf'::DOUBLE), coalesce(prev[i - 1], 'inf'::DOUBLE), coalesce(prev2[i - 1], 'inf'::DOUBLE))"
-    return f"""WITH RECURSIVE r AS (SELECT vec_id AS run_id, label, list_transform(range(16), lambda b: list_avg(list_transform(range(b * 4 + 1, b * 4 + 5), lambda i: embedding[i]::DOUBLE))) AS x FROM embeddings), s AS (SELECT run_id AS s_id, label AS s_label, x AS y FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY run_id) AS k FROM r) WHERE k <= {support}),
-w(w) AS (VALUES {', '.join(f'({x})' for x in windows)}), dp AS (SELECT w, run_id, label, s_id, s_label, x, y, 1 AS t, list_transform(range(16), lambda i: 'inf'::DOUBLE) AS prev2, list_transform(range(16), lambda i: 'inf'::DOUBLE) AS prev FROM QUERIES, s, w WHERE run_id <> s_id
-UNION ALL SELECT w, run_id, label, s_id, s_label, x, y, t + 1, prev, list_transform(range(1, 17), lambda i: CASE WHEN t + 1 - i BETWEEN 1 AND 16 AND (w = 0 OR abs(2 * i - t - 1) < w) THEN (x[i] - y[t + 1 - i]) ** 2 + CASE WHEN t = 1 THEN 0 ELSE {cell} END ELSE 'inf'::DOUBLE END) FROM dp WHERE t < 32),
-d AS (SELECT w, run_id, label, s_id, s_label, sqrt(prev[16]) AS distance FROM dp WHERE t = 32), n AS (SELECT *, row_number() OVER (PARTITION BY w, run_id ORDER BY distance, s_id) AS rank FROM d)"""
-
-
 def sixteenths(spark, d):
     """Vectors as runs of sixteen samples, each the mean of four values."""
     block = lambda b: F.aggregate(F.slice("values", b * 4 + 1, F.lit(4)), F.lit(0.0), lambda s, v: s + v) / 4
     return arrays(spark, d).withColumn("values", F.transform(F.sequence(F.lit(0), F.lit(15)), block))
 
 
-@query("warped_nearest", f"{_warped('2', (4,)).replace('QUERIES', 'r')}, v AS (SELECT run_id, s_label, count(*) AS n, sum(distance) AS total FROM n WHERE rank <= 3 GROUP BY ALL), p AS (SELECT run_id, arg_min(s_label, (-n, total, s_label)) AS predicted FROM v GROUP BY run_id) SELECT p.run_id, predicted, s_id AS nearest, {q('distance')} AS distance FROM p JOIN n ON n.run_id = p.run_id AND rank = 1")
+@query("warped_nearest", f"{warped('2', (4,)).replace('QUERIES', 'r')}, v AS (SELECT run_id, s_label, count(*) AS n, sum(distance) AS total FROM n WHERE rank <= 3 GROUP BY ALL), p AS (SELECT run_id, arg_min(s_label, (-n, total, s_label)) AS predicted FROM v GROUP BY run_id) SELECT p.run_id, predicted, s_id AS nearest, {q('distance')} AS distance FROM p JOIN n ON n.run_id = p.run_id AND rank = 1")
 def warped_nearest(spark, d):
     """The three nearest of twenty shots under warping, and what they vote for."""
     r = sixteenths(spark, d)
@@ -86,7 +77,7 @@ def warped_nearest(spark, d):
     return classify.vote(near, 3).join(first, "run_id").select("run_id", "predicted", F.col("m.s_id").alias("nearest"), X.scaled(F.col("m.distance")).alias("distance"))
 
 
-@query("tuned_warping", f"{_warped('5', (0, 2, 5, 10)).replace('QUERIES', '(SELECT s_id AS run_id, s_label AS label, y AS x FROM s)')}, v AS (SELECT w, k, run_id, label, s_label, count(*) AS n, sum(distance) AS total FROM n, (VALUES (1), (3), (5)) g(k) WHERE rank <= k GROUP BY ALL), p AS (SELECT w, k, run_id, label, arg_min(s_label, (-n, total, s_label)) AS predicted FROM v GROUP BY ALL), c AS (SELECT CASE w WHEN 0 THEN 1000000000 ELSE w END AS setting, k, count(*) AS runs, count(*) FILTER (WHERE predicted = label) AS correct FROM p GROUP BY ALL) SELECT setting, k, runs, correct, row_number() OVER (ORDER BY correct / runs DESC, setting, k) AS place FROM c")
+@query("tuned_warping", f"{warped('5', (0, 2, 5, 10)).replace('QUERIES', '(SELECT s_id AS run_id, s_label AS label, y AS x FROM s)')}, v AS (SELECT w, k, run_id, label, s_label, count(*) AS n, sum(distance) AS total FROM n, (VALUES (1), (3), (5)) g(k) WHERE rank <= k GROUP BY ALL), p AS (SELECT w, k, run_id, label, arg_min(s_label, (-n, total, s_label)) AS predicted FROM v GROUP BY ALL), c AS (SELECT CASE w WHEN 0 THEN 1000000000 ELSE w END AS setting, k, count(*) AS runs, count(*) FILTER (WHERE predicted = label) AS correct FROM p GROUP BY ALL) SELECT setting, k, runs, correct, row_number() OVER (ORDER BY correct / runs DESC, setting, k) AS place FROM c")
 def tuned_warping(spark, d):
     """Windows and neighbours of dynamic time warping by leave-one-out accuracy over five shots of each class."""
     shots = classify.few_shots(sixteenths(spark, d), 5)
