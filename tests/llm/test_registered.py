@@ -67,6 +67,30 @@ def test_op3_columns(spark, texts):
     assert all(r.slot == int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % 65_537 and r.shard.startswith("shard-") for i, r in got.items())
 
 
+def test_op6_against_all_pairs(spark, texts):
+    spaced = re.compile(r"[^\x20\x09-\x0D]+")
+    sets = {}
+    for i, t in texts.items():
+        w = spaced.findall(lower(t))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    got = run(spark, "op6_ngram_jaccard_join")
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), find(i)) for i in ids}
+    assert len({find(i) for i in ids}) < len(ids)
+
+
 def test_op7_columns(spark, texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
