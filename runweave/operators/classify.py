@@ -90,14 +90,37 @@ def few_shots(runs: DataFrame, shots: int) -> DataFrame:
     return runs.withColumn("shot", F.row_number().over(Window.partitionBy("label").orderBy("run_id"))).where(F.col("shot") <= shots).drop("shot")
 
 
+#: Cells of a row up to which warping goes row by row: whole anti-diagonals pay only for wider bands.
+NARROW = 48
+
+
+def _dtw_narrow(a: list[float], b: list[float], band: int, best: float) -> float:
+    """Warping of runs of one channel, row by row; every path crosses each row, so it ends once a row is not under `best`."""
+    inf, m = float("inf"), len(b)
+    before = [0.0] + [inf] * m
+    for i, x in enumerate(a, 1):
+        low, high = max(1, i - band), min(m, i + band)
+        row, left = [inf] * (m + 1), inf
+        for j in range(low, high + 1):
+            least = before[j] if before[j] < before[j - 1] else before[j - 1]
+            d = x - b[j - 1]
+            left = row[j] = d * d + (left if left < least else least)
+        if min(row[low : high + 1], default=inf) >= best:
+            return inf
+        before = row
+    return before[m]
+
+
 def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None, best: float = np.inf) -> float:
     """Dynamic time warping of squared differences of runs (samples, channels) within a band.
 
-    Anti-diagonals are computed at once. Infinite once no path can stay under `best`.
+    Narrow bands go row by row, wide ones by whole anti-diagonals. Infinite once no path can stay under `best`.
     """
     a, b = (x[:, None] if x.ndim == 1 else x for x in (a, b))
     n, m = len(a), len(b)
     band = max(n, m) if band is None else max(band, abs(n - m))
+    if a.shape[1] == 1 and min(2 * band + 1, m) <= NARROW:
+        return _dtw_narrow(a[:, 0].tolist(), b[:, 0].tolist(), band, best)
     cost = np.full((n + 1, m + 1), np.inf)
     cost[0, 0] = 0.0
     i = np.arange(1, n + 1)

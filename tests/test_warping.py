@@ -97,3 +97,14 @@ def test_adversarial_draws(spark):
     assert none.count() == 0
     short = sampling.adversarial_manifests(pool, test, pairs, ["seed"], "label", "id", "seed", 50, attempts=2)
     assert short.count() == 0
+
+
+def test_narrow_and_wide_bands_agree(monkeypatch):
+    rng = np.random.default_rng(12)
+    cases = [(rng.normal(size=int(rng.integers(1, 30))), rng.normal(size=int(rng.integers(1, 30))), [None, 0, 1, 3, 9][k % 5]) for k in range(60)]
+    narrow = [classify.dtw(*c) for c in cases]
+    monkeypatch.setattr(classify, "NARROW", 0)
+    assert np.allclose(narrow, [classify.dtw(*c) for c in cases])
+    monkeypatch.setattr(classify, "NARROW", 1_000)
+    for c, d in zip(cases, narrow, strict=True):
+        assert classify.dtw(*c, d * 1.01 + 1e-9) == pytest.approx(d) and classify.dtw(*c, d * 0.5) == (np.inf if d else 0)
