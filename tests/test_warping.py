@@ -107,4 +107,4 @@ def test_narrow_and_wide_bands_agree(monkeypatch):
     assert np.allclose(narrow, [classify.dtw(*c) for c in cases])
     monkeypatch.setattr(classify, "NARROW", 1_000)
     for c, d in zip(cases, narrow, strict=True):
-        assert classify.dtw(*c, d * 1.01 + 1e-9) == pytest.approx(d) and classify.dtw(*c, d * 0.5) == (np.inf if d else 0)
+        assert classify.dtw(*c, d * 1.01 + 1e-9) == pytest.approx(d) and classify.dtw(*c, d * 0.5) >= d * (1 - 1e-9)
