@@ -97,11 +97,11 @@ def accuracy(spark, d):
     return found.withColumns({c: X.scaled(F.col(c)) for c in ("accuracy", "corrected")})
 
 
-@query("final_metrics", f"WITH s AS (SELECT o_custkey AS run, CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN ' test' ELSE 'other' END AS kind, o_orderstatus = 'F' AS top1, CASE WHEN o_orderkey % 4 > 0 THEN 1.0 / (1 + o_orderkey % 4) END AS score, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS answers FROM orders), t AS (SELECT DISTINCT run, unnest(['train', 'test', 'held']) AS sample_type FROM s) SELECT t.run, sample_type, {q('coalesce(avg(coalesce(top1, false)::INT) FILTER (WHERE s.run IS NOT NULL), 0)')} AS top1, {q('coalesce(avg(coalesce(score, 0)) FILTER (WHERE s.run IS NOT NULL), 0)')} AS shortlist, {q('coalesce(avg(answers), 0)')} AS answers FROM t LEFT JOIN s ON s.run = t.run AND trim(kind) = sample_type GROUP BY ALL")
+@query("final_metrics", f"WITH s AS (SELECT o_custkey AS run, CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN ' test' ELSE 'other' END AS kind, o_orderstatus = 'F' AS top1, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 4)::DOUBLE / 4 END AS score, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS answers FROM orders), t AS (SELECT DISTINCT run, unnest(['train', 'test', 'held']) AS sample_type FROM s) SELECT t.run, sample_type, {q('coalesce(avg(coalesce(top1, false)::INT) FILTER (WHERE s.run IS NOT NULL), 0)')} AS top1, {q('coalesce(avg(coalesce(score, 0)) FILTER (WHERE s.run IS NOT NULL), 0)')} AS shortlist, {q('coalesce(avg(answers), 0)')} AS answers FROM t LEFT JOIN s ON s.run = t.run AND trim(kind) = sample_type GROUP BY ALL")
 def final_metrics(spark, d):
     """Figures of each kind of sample, zeros where there is none."""
     k = F.col("o_orderkey")
-    rows = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.when(k % 3 == 0, "train").when(k % 3 == 1, " test").otherwise("other").alias("sample_type"), (F.col("o_orderstatus") == "F").alias("top1_correct"), F.when(k % 4 > 0, 1.0 / (1 + k % 4)).alias("shortlist_score"), F.when(k % 5 > 0, k % 5).alias("num_answers"))
+    rows = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.when(k % 3 == 0, "train").when(k % 3 == 1, " test").otherwise("other").alias("sample_type"), (F.col("o_orderstatus") == "F").alias("top1_correct"), F.when(k % 4 > 0, (k % 4) / 4.0).alias("shortlist_score"), F.when(k % 5 > 0, k % 5).alias("num_answers"))
     found = scores.by_sample_type(rows, ["run"], ["train", "test", "held"])
     return found.select("run", "sample_type", *(X.scaled(F.col(c)).alias(c) for c in ("top1", "shortlist", "answers")))
 
