@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import finite
 
 #: How benchmarks of a kind begin, how variants with shots end, and how many shots a level has. Fixed values.
-CLASSIFICATION = ("classification_", "equations_", "ucr_", "uea_", "tsenv_cls")
+CLASSIFICATION = ("classification_", "equations_", "ucr_", "uea_")
 EQUATIONS = ("equations_",)
 ANOMALY = ("anomaly_", "tsb_ad_")
 SHOT_ENDINGS = ("_one_shot", "_few_shot", "_many_shots", "_many_shot")
@@ -108,11 +108,11 @@ def benchmark_of(identity: Column, benchmark: Column, variant: Column) -> Column
     return F.coalesce(some(identity), F.when(some(benchmark).isNotNull(), F.concat_ws("_", some(benchmark), some(variant))))
 
 
-def kind_of_question(task: Column, benchmark: Column) -> Column:
-    """classification (with equations among it), anomaly or other: by the task where there is one, else by how the benchmark begins."""
+def kind_of_question(task: Column, benchmark: Column, more: tuple[str, ...] = ()) -> Column:
+    """classification (with equations among it), anomaly or other: by the task where there is one, else by how the benchmark begins. more: further prefixes of classification, those of a project's own benchmarks."""
     task = F.nullif(task, F.lit(""))
     by_task = F.when(task == "classification", "classification").when(task.isin(*ANOMALY_TASKS), "anomaly").otherwise("other")
-    by_name = F.when(begins_with(benchmark, CLASSIFICATION), "classification").when(begins_with(benchmark, ANOMALY), "anomaly").otherwise("other")
+    by_name = F.when(begins_with(benchmark, (*CLASSIFICATION, *more)), "classification").when(begins_with(benchmark, ANOMALY), "anomaly").otherwise("other")
     return F.when(task.isNotNull(), by_task).otherwise(by_name)
 
 

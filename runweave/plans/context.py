@@ -67,15 +67,15 @@ def sanitised_states(spark, d):
     return s.select("c_custkey", F.array_join("runs", ",").alias("runs"), F.array_join("expanded", ",").alias("expanded"), F.array_join(times, ",").alias("times"))
 
 
-@query("kinds_of_questions", "WITH b AS (SELECT o_orderkey AS question, CASE o_orderkey % 6 WHEN 0 THEN 'classification' WHEN 1 THEN 'anomaly_localization' WHEN 2 THEN 'forecast' END AS task, ['UCR', 'uea_x', 'Equations', 'tsb_ad_1', 'anomaly', 'other', 'tsenv_cls9'][1 + o_custkey % 7] AS benchmark, CASE o_orderkey % 4 WHEN 0 THEN 'v_one_shot' WHEN 1 THEN 'v_many_shots' WHEN 2 THEN 'v_zero_shot' END AS variant FROM orders), n AS (SELECT *, benchmark || CASE WHEN variant IS NULL THEN '' ELSE '_' || variant END AS name FROM b) SELECT question, name, CASE WHEN task = 'classification' THEN 'classification' WHEN task = 'anomaly_localization' THEN 'anomaly' WHEN task IS NOT NULL THEN 'other' WHEN regexp_matches(lower(name), '^((ucr|uea|equations|classification)(_|$)|tsenv_cls)') THEN 'classification' WHEN regexp_matches(lower(name), '^(anomaly|tsb_ad)(_|$)') THEN 'anomaly' ELSE 'other' END AS kind, coalesce(variant IN ('v_one_shot', 'v_many_shots'), false) AS shots FROM n")
+@query("kinds_of_questions", "WITH b AS (SELECT o_orderkey AS question, CASE o_orderkey % 6 WHEN 0 THEN 'classification' WHEN 1 THEN 'anomaly_localization' WHEN 2 THEN 'forecast' END AS task, ['UCR', 'uea_x', 'Equations', 'tsb_ad_1', 'anomaly', 'other', 'own_cls9'][1 + o_custkey % 7] AS benchmark, CASE o_orderkey % 4 WHEN 0 THEN 'v_one_shot' WHEN 1 THEN 'v_many_shots' WHEN 2 THEN 'v_zero_shot' END AS variant FROM orders), n AS (SELECT *, benchmark || CASE WHEN variant IS NULL THEN '' ELSE '_' || variant END AS name FROM b) SELECT question, name, CASE WHEN task = 'classification' THEN 'classification' WHEN task = 'anomaly_localization' THEN 'anomaly' WHEN task IS NOT NULL THEN 'other' WHEN regexp_matches(lower(name), '^((ucr|uea|equations|classification)(_|$)|own_cls)') THEN 'classification' WHEN regexp_matches(lower(name), '^(anomaly|tsb_ad)(_|$)') THEN 'anomaly' ELSE 'other' END AS kind, coalesce(variant IN ('v_one_shot', 'v_many_shots'), false) AS shots FROM n")
 def kinds_of_questions(spark, d):
     """Questions by task or by how their benchmark begins, and whether their variant has shots."""
     k = F.col("o_orderkey")
     task = F.when(k % 6 == 0, "classification").when(k % 6 == 1, "anomaly_localization").when(k % 6 == 2, "forecast")
-    bench = F.element_at(F.array(*map(F.lit, ("UCR", "uea_x", "Equations", "tsb_ad_1", "anomaly", "other", "tsenv_cls9"))), (1 + F.col("o_custkey") % 7).cast("int"))
+    bench = F.element_at(F.array(*map(F.lit, ("UCR", "uea_x", "Equations", "tsb_ad_1", "anomaly", "other", "own_cls9"))), (1 + F.col("o_custkey") % 7).cast("int"))
     variant = F.when(k % 4 == 0, "v_one_shot").when(k % 4 == 1, "v_many_shots").when(k % 4 == 2, "v_zero_shot")
     rows = tables.table(spark, d, "orders").select(k.alias("question"), task.alias("task"), variant.alias("variant"), context.benchmark_of(F.lit(None).cast("string"), bench, variant).alias("name"))
-    return rows.select("question", "name", context.kind_of_question(F.col("task"), F.col("name")).alias("kind"), context.has_shots(F.col("variant")).alias("shots"))
+    return rows.select("question", "name", context.kind_of_question(F.col("task"), F.col("name"), ("own_cls",)).alias("kind"), context.has_shots(F.col("variant")).alias("shots"))
 
 
 @query("shot_faults", "WITH s AS (SELECT o_orderkey, [' Few_Shot', 'zero_shot', 'one_shot', 'some', 'many_shots'][1 + o_orderkey % 5] AS level, count(l_orderkey) AS n, count(DISTINCT l_returnflag) AS classes, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 END AS per_class FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey), f AS (SELECT *, lower(trim(level)) AS name, per_class IS NOT NULL AND lower(trim(level)) <> 'zero_shot' AS each FROM s) SELECT o_orderkey, CASE WHEN name = 'some' THEN 'level' WHEN each AND classes < 1 THEN 'classes' WHEN each AND per_class < 0 THEN 'per_class' WHEN n <> CASE WHEN each THEN per_class * classes ELSE CASE name WHEN 'few_shot' THEN 3 WHEN 'zero_shot' THEN 0 WHEN 'one_shot' THEN 1 ELSE 30 END END THEN 'total' END AS fault FROM f")
