@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,16 +45,12 @@ def collapsed(df: DataFrame, keys: list[str], time: str, values: list[str]) -> D
     return df.groupBy(*keys, F.col(time).cast("float").alias(time)).agg(*(F.avg(v).alias(v) for v in values))
 
 
-#: Most selected values that `others` takes.
-MOST_SELECTED = 100_000
-
-
 def others(selected: DataFrame, used: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value): all selected values that a key doesn't use. A selection is at most MOST_SELECTED values; more are an error."""
-    checked = F.when(F.count_distinct(value) <= MOST_SELECTED, F.collect_set(value)).otherwise(F.raise_error(F.lit("too many selected values")).cast("array<string>").cast(f"array<{dict(selected.dtypes)[value]}>"))
-    every = selected.agg(checked.alias("every_"))  # one row
-    own = used.groupBy(*keys).agg(F.collect_set(value).alias("own_"))
-    return own.join(F.broadcast(every)).select(*keys, F.explode(F.array_except("every_", "own_")).alias(value))
+    """(keys, value): all selected values that a key doesn't use, by a left anti-join of the keys' values and those they use. It has up to as many rows as keys times values."""
+    every = used.select(*keys).distinct().crossJoin(selected.select(value).where(F.col(value).isNotNull()).distinct())
+    own = used.select(*(F.col(c).alias(f"{c}_used") for c in (*keys, value))).distinct()
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_used")) for c in (*keys, value)))
+    return every.join(own, same, "left_anti")
 
 
 def set_verdicts(expected: Column, valid: Column, train: Column, test: Column) -> dict[str, Column]:
