@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +32,34 @@ def balanced_counts(labels: DataFrame, label: str, total: Column) -> DataFrame:
 def stratified(candidates: DataFrame, keys: list[str], label: str, value: str, seed: str, per_label: int, used: DataFrame | None = None) -> DataFrame:
     """`per_label` values of each label for each key, in a seeded order, without the used ones (columns of candidates)."""
     rows = candidates if used is None else candidates.join(used, used.columns, "left_anti")
-    order = Window.partitionBy(*keys, label).orderBy(seeded(F.col(seed), F.col(value)), value)
-    return rows.withColumn("k_", F.row_number().over(order)).where(F.col("k_") <= per_label).drop("k_")
+    return first_seeded(rows, [*keys, label], value, F.col(seed), per_label)
+
+
+#: Groups of draws up to which their bounds are broadcast.
+FEW_GROUPS = 200_000
+
+
+def near_front(rows: DataFrame, keys: list[str], value: str, seed: Column, n: int) -> DataFrame:
+    """rows with their hashes (h_), without most of those that can't be among the first n of their key in a seeded order.
+
+    Hashes are texts of hexadecimal digits, so those with more zeros in front come first. Counts of rows by zeros say how
+    many zeros the first n have at least; only rows with as many are left, some 16 n of a key, whatever its size.
+    """
+    hashed = rows.withColumn("h_", seeded(seed, F.col(value))).withColumn("z_", F.length("h_") - F.length(F.ltrim("h_", F.lit("0"))))
+    counts = hashed.groupBy(*keys, "z_").agg(F.count(F.lit(1)).alias("c_"))
+    upto = F.sum("c_").over(Window.partitionBy(*keys).orderBy(F.desc("z_")))
+    least = counts.withColumn("u_", upto).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("u_") >= n, F.col("z_"))), F.lit(0)).alias("least_"))
+    least = cut(least.select(*(F.col(c).alias(f"of_{c}") for c in keys), "least_"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys))
+    few = F.broadcast(least) if least.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else least
+    return hashed.join(few, same & (F.col("z_") >= F.col("least_"))).select(*rows.columns, "h_")
+
+
+def first_seeded(rows: DataFrame, keys: list[str], value: str, seed: Column, n: int) -> DataFrame:
+    """The first n rows of each key in a seeded order."""
+    near = near_front(rows, keys, value, seed, n)
+    order = Window.partitionBy(*keys).orderBy("h_", value)
+    return near.withColumn("k_", F.row_number().over(order)).where(F.col("k_") <= n).select(*rows.columns)
 
 
 def matched(frame: pd.DataFrame) -> dict[str, int]:
@@ -88,22 +117,30 @@ def manifests(train: DataFrame, test: DataFrame, keys: list[str], value: str, at
 MOST_ATTEMPTS, WAVES = 500, (4, 16, 64)
 
 
-def accuracies(train: DataFrame, test: DataFrame, pairs: DataFrame, keys: list[str], attempt: str, label: str, value: str) -> DataFrame:
+#: Distances of pairs, or what gives those of the pairs (a_id, b_id) that are wanted.
+Pairs = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def accuracies(train: DataFrame, test: DataFrame, pairs: Pairs, keys: list[str], attempt: str, label: str, value: str) -> DataFrame:
     """(keys, attempt, nearest, correlated, centroid): the share of each key's test samples that three classifiers get right from each attempt's train samples.
 
     train: (keys, attempt, label, value); test: (keys, label, value); pairs: (a_id, b_id, mse, z_mse), each pair of samples
-    once, with the mean squared difference of their values, and of their values in units of their own mean and spread.
+    once, or a function that gives those of the pairs that meet here, a_id < b_id, with the mean squared difference of their values, and of their values in units of their own mean and spread.
     The least mse is the nearest sample, the least z_mse the one with the highest correlation. A class's centroid needs
     no vectors: the distance to it is the mean distance to its samples less half the mean distance among them.
     Equal distances go to the first label. Pairs without a distance don't count.
     """
-    both = pairs.select("a_id", "b_id", "mse", "z_mse")
-    both = both.unionByName(both.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "mse", "z_mse"))
     own = train.select(*keys, attempt, F.col(label).alias("said"), F.col(value).alias("b_id"))
     asked = test.select(*keys, F.col(label).alias("truth"), F.col(value).alias("a_id"))
+    mates = own.withColumnRenamed("b_id", "a_id").join(own, [*keys, attempt, "said"])
+    if not isinstance(pairs, DataFrame):
+        wanted = asked.join(own, keys).select("a_id", "b_id").unionByName(mates.select("a_id", "b_id")).where("a_id <> b_id")
+        pairs = cut(pairs(cut(wanted.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct())))
+    both = pairs.select("a_id", "b_id", "mse", "z_mse")
+    both = both.unionByName(both.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "mse", "z_mse"))
     met = asked.join(own, keys).join(both, ["a_id", "b_id"])
     by_class = met.groupBy(*keys, attempt, "a_id", "truth", "said").agg(F.min("mse").alias("mse"), F.min("z_mse").alias("z_mse"), F.avg("mse").alias("mean"))
-    inside = own.withColumnRenamed("b_id", "a_id").join(own, [*keys, attempt, "said"]).join(pairs.select("a_id", "b_id", "mse"), ["a_id", "b_id"])
+    inside = mates.join(pairs.select("a_id", "b_id", "mse"), ["a_id", "b_id"])
     n = own.groupBy(*keys, attempt, "said").agg(F.count(F.lit(1)).alias("n"))
     spread = inside.groupBy(*keys, attempt, "said").agg(F.sum("mse").alias("inside")).join(n, [*keys, attempt, "said"], "right")
     scored = by_class.join(spread, [*keys, attempt, "said"]).withColumn("mean", F.col("mean") - F.coalesce("inside", F.lit(0.0)) / (F.col("n") * F.col("n")))
@@ -112,13 +149,13 @@ def accuracies(train: DataFrame, test: DataFrame, pairs: DataFrame, keys: list[s
     return best.groupBy(*keys, attempt).agg(*(F.avg(F.col(k).cast("double")).alias(k) for k in right))
 
 
-def adversarial_manifests(pool: DataFrame, test: DataFrame, pairs: DataFrame, keys: list[str], label: str, value: str, seed: str, per_label: int, margin: float = 0.1, attempts: int = MOST_ATTEMPTS, waves: tuple[int, ...] = WAVES) -> DataFrame:
+def adversarial_manifests(pool: DataFrame, test: DataFrame, pairs: Pairs, keys: list[str], label: str, value: str, seed: str, per_label: int, margin: float = 0.1, attempts: int = MOST_ATTEMPTS, waves: tuple[int, ...] = WAVES) -> DataFrame:
     """(keys, attempt, best, train, test, train_hash, test_hash) of each key's first attempt whose train samples don't give the test samples away: the best of the three classifiers gets at most chance + margin (1 - chance) of them right. Keys without such an attempt are left out.
 
     pool: (keys, seed, label, value), what a key may draw from, without its test samples; test: (keys, label, value).
     An attempt draws `per_label` samples of each label in an order seeded by seed and attempt; an attempt that can't is
-    none. Attempts are tried in waves, each over the keys that are still open, so most keys need few. Only the drawn
-    samples meet the table of pairs; no vectors move.
+    none. Attempts are tried in waves, each over the keys that are still open, so most keys need few. Of the pairs only
+    those of drawn and test samples are needed; as a function, pairs gives them wave by wave, however many samples there are.
     """
     names = pool.groupBy(*keys).agg(F.count_distinct(label).alias("labels"))
     open_, begin, out, turn = names, 0, None, 0
