@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,30 @@ def pairwise_mse(runs: DataFrame, family: str, start: int | float | str = 0, sig
     return found.withColumnRenamed("signal", signal) if signal else found.drop("signal")
 
 
+def wanted_mse(runs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (a_id, b_id) with mse, as `pairwise_mse` gives it for runs (run_id, pos, value) of one signal. Only the runs wanted become rows, and only the pairs wanted meet."""
+    ids = wanted.select(F.col("a_id").alias("run_id")).union(wanted.select("b_id")).distinct()
+    sample = F.struct(F.col("pos").cast("double").alias("pos"), F.col("value").cast("double").alias("value"))
+    rows = runs.join(ids, "run_id", "left_semi").where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    rows = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(sample)).alias("s_"))
+    side = lambda x: rows.select(F.col("run_id").alias(f"{x}_id"), F.col("s_.pos").alias(f"{x}_pos"), F.col("s_.value").alias(f"{x}_value"))
+    both = wanted.select("a_id", "b_id").join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
+
+    @F.pandas_udf("double")
+    def distance(a_pos: pd.Series, a: pd.Series, b_pos: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(a), np.nan)
+        for k, (p, x, q, y) in enumerate(zip(a_pos, a, b_pos, b, strict=True)):
+            if p is not None and q is not None:
+                if not np.array_equal(p, q):
+                    _, i, j = np.intersect1d(p, q, return_indices=True)
+                    x, y = x[i], y[j]
+                out[k] = ((y - x) ** 2).sum() / len(x) if len(x) else np.nan
+        return pd.Series(out)
+
+    mse = distance("a_pos", "a_value", "b_pos", "b_value")
+    return both.select("a_id", "b_id", F.nanvl(mse, F.lit(None).cast("double")).alias("mse"))
+
+
 def _dense(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """(values of run, signal and place, NaN where there is none; starts; places; signals) of a group's rows."""
     samples = table["samples"].combine_chunks()

@@ -186,13 +186,17 @@ SELECT seed, attempt, CAST(round(best * 30) AS BIGINT) AS right_of_thirty, array
 def adversarial_manifests(spark, d):
     """For each of eight seeds the first draw of train samples from which no classifier tells the test samples' labels much better than chance."""
     runs = tables.vector_runs(spark, d)
-    near = pair_distances.pairwise_mse(runs.withColumn("all", F.lit(0)), "all")
-    alike = pair_distances.pairwise_mse(align.standardise(runs, ["run_id"], "value").select(F.lit(0).alias("all"), "run_id", "pos", F.col("z").alias("value")), "all")
-    pairs = near.join(alike.withColumnRenamed("mse", "z_mse"), ["all", "a_id", "b_id"])
+
+    def distances(wanted):
+        own = stored.cut(runs.join(wanted.select(F.col("a_id").alias("run_id")).union(wanted.select("b_id")).distinct(), "run_id", "left_semi"))
+        near = pair_distances.wanted_mse(own, wanted)
+        alike = pair_distances.wanted_mse(align.standardise(own, ["run_id"], "value").select("run_id", "pos", F.col("z").alias("value")), wanted)
+        return near.join(alike.withColumnRenamed("mse", "z_mse"), ["a_id", "b_id"])
+
     samples = tables.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id").select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("seed"), "label", "id")
     order = Window.partitionBy("seed", "label").orderBy(F.md5(F.concat_ws("::", F.lit("test"), F.col("seed").cast("string"), F.col("id").cast("string"))), "id")
     placed = samples.withColumn("k", F.row_number().over(order))
-    m = sampling.adversarial_manifests(placed.where("k > 3").drop("k"), placed.where("k <= 3").drop("k"), stored.cut(pairs), ["seed"], "label", "id", "seed", 2, margin=0.02)
+    m = sampling.adversarial_manifests(placed.where("k > 3").drop("k"), placed.where("k <= 3").drop("k"), distances, ["seed"], "label", "id", "seed", 2, margin=0.02)
     return m.select("seed", "attempt", F.round(F.col("best") * 30).cast("long").alias("right_of_thirty"), F.array_join("train", ",").alias("train"), F.array_join("test", ",").alias("test"), "train_hash", "test_hash")
 
 

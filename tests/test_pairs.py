@@ -108,3 +108,15 @@ def test_a_choice_of_many_labels_is_found_without_listing(spark):
     best = pairs.best_separated_choice(p, r, "family", "label").collect()[0]
     assert best.separation >= least and [label[x] for x in best.choice] == list(range(10))
     assert min(d for _, a, b, d in rows if {a, b} <= set(best.choice)) == best.separation
+
+
+def test_wanted_pairs_are_those_of_all_pairs(spark, runs):
+    """Draws of samples needed the distances of all pairs."""
+    own = [(run, pos, value) for family, run, signal, pos, value, _ in runs if family == "f" and signal == "u"]
+    df = spark.createDataFrame(own, "run_id long, pos int, value double").repartition(3)
+    every = pairs.pairwise_mse(df.selectExpr("0 AS family", "*"), "family").collect()
+    want = {(r.a_id, r.b_id): r.mse for r in every}
+    wanted = [(0, 1), (1, 8), (2, 3), (0, 99)]
+    got = {(r.a_id, r.b_id): r.mse for r in pairs.wanted_mse(df, spark.createDataFrame(wanted, "a_id long, b_id long")).collect()}
+    assert got.keys() == set(wanted) and got[0, 99] is None
+    assert all(got[k] == pytest.approx(want[k]) for k in wanted[:3])
