@@ -241,7 +241,7 @@ def quantised(spark, d):
 @query("grid_arg_min", f"WITH g AS (SELECT l_suppkey, l_linenumber AS k, l_returnflag AS w, avg(l_discount) AS a FROM lineitem GROUP BY ALL) SELECT l_suppkey, arg_min(k, (-{q('a')}, w, k)) AS k, arg_min(w, (-{q('a')}, w, k)) AS w FROM g GROUP BY l_suppkey")
 def grid(spark, d):
     """The setting with the best accuracy; ties go to the smallest window, then k."""
-    g = tables.table(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").alias("k"), F.col("l_returnflag").alias("w")).agg((-X.scaled(F.avg("l_discount"))).alias("a"))
+    g = tables.table(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").alias("k"), F.col("l_returnflag").alias("w")).agg((-X.scaled(X.exact_avg(F.col("l_discount")))).alias("a"))
     return g.groupBy("l_suppkey").agg(F.min(F.struct("a", "w", "k")).alias("b")).select("l_suppkey", "b.k", "b.w")
 
 
