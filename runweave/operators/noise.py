@@ -71,12 +71,45 @@ def run_seed(base: int, run_id: Column) -> Column:
     return X.fnv1a32(run_id).bitwiseXOR(F.lit(base).cast("long"))
 
 
-def draw(df: DataFrame, keys: list[str], order: str, out: str, sigma: Column, seed: Column, value: str = "value") -> DataFrame:
-    """df with the noise `out`: the next normal of the run's stream wherever sample and sigma are usable, else 0."""
+def place(keys: list[str], order: str, sigma: Column, value: str = "value") -> Column:
+    """The number of a sample among those of its run where sample and sigma are usable, from 1; NULL where they aren't."""
     usable = X.finite(F.col(value)) & X.finite(sigma) & (sigma > 0)
     k = F.sum(usable.cast("long")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    noisy = df.withColumn("__seed", seed).withColumn("__k", k)
-    return noisy.withColumn(out, F.when(usable, sigma * X.normal(F.col("__seed"), F.col("__k"))).otherwise(0.0)).drop("__seed", "__k")
+    return F.when(usable, k)
+
+
+def with_normals(df: DataFrame, out: str, seed: Column, k: Column) -> DataFrame:
+    """df with the k-th normal of the stream of a seed, as of `exprs.normal`: two uniforms, cosine branch.
+
+    Each step of the generator is a column: as one expression, a step names the one before several times, so that it is
+    evaluated some hundred times over.
+    """
+    mask, one = F.lit(4294967295), F.lit(1).cast("long")
+    word = df.withColumns({"__s": seed.cast("long"), "__n": k.cast("long")})
+    word = word.withColumns({"__u": (F.col("__s") + (2 * F.col("__n") - 1) * 1831565813).bitwiseAND(mask), "__v": (F.col("__s") + 2 * F.col("__n") * 1831565813).bitwiseAND(mask)})
+    right = F.shiftrightunsigned
+    for shift, bits in ((15, one), (7, F.lit(61).cast("long"))):
+        factors = {}
+        for c in ("__u", "__v"):
+            factors |= {f"{c}a": F.col(c).bitwiseXOR(right(c, shift)), f"{c}b": F.col(c).bitwiseOR(bits)}
+        word = word.withColumns(factors)
+        low = {f"{c}l": F.col(f"{c}a") * F.col(f"{c}b").bitwiseAND(F.lit(65535)) for c in ("__u", "__v")}
+        high = {f"{c}h": (F.col(f"{c}a") * right(f"{c}b", 16)).bitwiseAND(F.lit(65535)) * 65536 for c in ("__u", "__v")}
+        product = {c: (F.col(f"{c}l") + F.col(f"{c}h")).bitwiseAND(mask) for c in ("__u", "__v")}
+        word = word.withColumns(low | high)
+        if shift == 7:
+            product = {c: F.col(c).bitwiseXOR((F.col(c) + p).bitwiseAND(mask)) for c, p in product.items()}
+        word = word.withColumns(product)
+    uniform = {c: F.col(c).bitwiseXOR(right(c, 14)).bitwiseAND(mask) / 4294967296.0 for c in ("__u", "__v")}
+    normal = F.sqrt(-2 * F.ln(F.greatest("__u", F.lit(1e-300)))) * F.cos(F.col("__v") * 6.283185307179586)
+    return word.withColumns(uniform).withColumn(out, normal).drop("__s", "__n", *(f"{c}{x}" for c in ("__u", "__v") for x in ("", "a", "b", "l", "h")))
+
+
+def draw(df: DataFrame, keys: list[str], order: str, out: str, sigma: Column, seed: Column, value: str = "value") -> DataFrame:
+    """df with the noise `out`: the next normal of the run's stream wherever sample and sigma are usable, else 0."""
+    placed = df.withColumns({"__sigma": sigma, "__k": place(keys, order, sigma, value), "__seed": seed})
+    noisy = with_normals(placed, "__normal", F.col("__seed"), F.col("__k"))
+    return noisy.withColumn(out, F.when(F.col("__k").isNotNull(), F.col("__sigma") * F.col("__normal")).otherwise(0.0)).drop("__seed", "__k", "__sigma", "__normal")
 
 
 def apply_profile(df: DataFrame, run: str, signal: str, order: str, share: float, base: float, absolute: float, seed: int, value: str = "value") -> DataFrame:

@@ -85,11 +85,16 @@ def verdict(spark, d):
 def noise_summary(spark, d):
     """How far two levels of noise move each run, over five seeds: mean and spread of the distances and of the signal-to-noise ratio."""
     keys = ["run_id", "profile", "seed"]
-    level = F.explode(F.array(*(F.struct(F.lit(n).alias("profile"), F.lit(x).alias("share")) for n, x in (("low", 0.02), ("high", 0.1)))))
-    seeds = F.explode(F.sequence(F.lit(1), F.lit(5)))
-    v = noise.levels(vectors(spark, d), ["run_id"], "pos").withColumn("seed", seeds).withColumn("level", level).select("*", "level.*")
+    sigma = {n: x * F.greatest("__local", noise.FLOOR * F.col("__whole")) for n, x in (("low", 0.02), ("high", 0.1))}
+    # samples have their places before they are repeated, so that only they are sorted
+    v = noise.levels(vectors(spark, d), ["run_id"], "pos").withColumns({f"k_{n}": noise.place(["run_id"], "pos", s) for n, s in sigma.items()})
+    level = F.explode(F.array(*(F.struct(F.lit(n).alias("profile"), s.alias("sigma"), F.col(f"k_{n}").alias("k")) for n, s in sigma.items())))
     stream = noise.stream_seed(F.concat(F.lit("run:"), F.col("run_id").cast("string")), F.col("seed"))
-    noisy = noise.draw(v, keys, "pos", "noise", F.col("share") * F.greatest("__local", noise.FLOOR * F.col("__whole")), stream)
+    streams = vectors(spark, d).select("run_id").distinct().withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("stream", stream)
+    streams = streams.groupBy("run_id").agg(F.collect_list(F.struct("seed", "stream")).alias("streams"))
+    each = v.join(streams, "run_id").select("run_id", "value", "streams", level.alias("l")).select("run_id", "value", "l.*", F.inline("streams"))
+    drawn = noise.with_normals(each, "normal", F.col("stream"), F.col("k"))
+    noisy = drawn.withColumn("noise", F.when(F.col("k").isNotNull(), F.col("sigma") * F.col("normal")).otherwise(0.0))
     rms = lambda c: F.sqrt(F.avg(F.pow(c, F.lit(2))))
     each = noisy.groupBy(*keys).agg(F.sqrt(F.sum(F.pow("noise", F.lit(2)))).alias("distance"), F.try_divide(rms("value"), rms("noise")).alias("ratio"))
     return each.groupBy("run_id", "profile").agg(F.avg("distance").alias("distance"), X.ratio_to_db(F.avg("ratio")).alias("db"), F.stddev_pop("ratio").alias("spread"))

@@ -130,3 +130,14 @@ def test_means_do_not_hang_on_the_order_of_rows(spark):
         r = df.agg(X.exact_avg(F.col("v")).alias("m")).first()
         assert r.m == 1.3 / 4
     assert spark.createDataFrame([(1.0,), (float("inf"),)], "v double").agg(X.exact_avg(F.col("v"))).first()[0] == float("inf")
+
+
+def test_normals_by_steps_are_those_of_one_expression(spark):
+    """The generator's steps were one expression, which named each step many times."""
+    from runweave.operators import noise
+
+    df = spark.range(50).selectExpr("id * 85899345 AS seed", "id % 7 + 1 AS k")
+    rows = noise.with_normals(df, "n", F.col("seed"), F.col("k")).withColumn("want", X.normal(F.col("seed"), F.col("k"))).collect()
+    assert len(rows) == 50 and all(r.n == r.want for r in rows)
+    plan = noise.with_normals(df, "n", F.col("seed"), F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
