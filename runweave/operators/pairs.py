@@ -26,13 +26,7 @@ def pairwise_mse(runs: DataFrame, family: str, start: int | float | str = 0, sig
     A run becomes one row. Rows are dealt into blocks by a hash of the run; each pair of blocks is a group of at most
     two blocks' runs, so a family of n runs is sent n / block times, whatever its size, and no place is a key.
     """
-    own = F.col(start) if isinstance(start, str) else F.lit(float(start))
-    sample = F.struct((F.col(signal).cast("string") if signal else F.lit("")).alias("signal"), F.col("pos").cast("double").alias("pos"), F.col("value").cast("double").alias("value"))
-    rows = runs.groupBy(family, "run_id").agg(F.coalesce(F.min(own), F.max("pos")).cast("double").alias("start"), F.collect_list(sample).alias("samples"))
-    sizes = rows.groupBy(F.col(family).alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = rows.join(sizes, F.col(family).eqNullSafe(F.col("of"))).withColumn("part", F.pmod(F.xxhash64("run_id"), F.col("blocks")).cast("int"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(family, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "run_id", "part", "start", "samples")
+    met = _blocks(runs, family, start, signal, block)
     kinds = dict(runs.dtypes)
     columns = [family, "a_id", "b_id", "signal", "mse"]
 
@@ -60,6 +54,87 @@ def pairwise_mse(runs: DataFrame, family: str, start: int | float | str = 0, sig
     return found.withColumnRenamed("signal", signal) if signal else found.drop("signal")
 
 
+def _blocks(runs: DataFrame, family: str, start: int | float | str, signal: str | None, block: int) -> DataFrame:
+    """Runs as rows (family, low, high, run_id, part, start, samples), each once for every pair of blocks that its own belongs to."""
+    own = F.col(start) if isinstance(start, str) else F.lit(float(start))
+    sample = F.struct((F.col(signal).cast("string") if signal else F.lit("")).alias("signal"), F.col("pos").cast("double").alias("pos"), F.col("value").cast("double").alias("value"))
+    rows = runs.groupBy(family, "run_id").agg(F.coalesce(F.min(own), F.max("pos")).cast("double").alias("start"), F.collect_list(sample).alias("samples"))
+    sizes = rows.groupBy(F.col(family).alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = rows.join(sizes, F.col(family).eqNullSafe(F.col("of"))).withColumn("part", F.pmod(F.xxhash64("run_id"), F.col("blocks")).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select(family, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "run_id", "part", "start", "samples")
+
+
+#: Runs of a family that a block holds, about, where only extremes are asked for; and rows of its tables of distances.
+WIDE_BLOCK, TILE = 8192, 1024
+
+
+def pairwise_extremes(runs: DataFrame, family: str, start: int | float | str = 0, block: int = WIDE_BLOCK) -> DataFrame:
+    """(family, pairs, least, most): the number of pairs of a family, and the extremes of what `pairwise_mse` gives for them, for runs of one signal.
+
+    No pair becomes a row. Tables of distances come from products of matrices; those that rounding could make an extreme
+    are computed from the differences. Runs with gaps or starts of their own are compared one by one.
+    """
+    kinds = dict(runs.dtypes)
+
+    def compare(table: pa.Table) -> pa.Table:
+        parts = table["part"].to_numpy()
+        values, starts, grid, names = _dense(table)
+        sides = [np.flatnonzero(parts == table[c][0].as_py()) for c in ("low", "high")]
+        same = np.array_equal(*sides)
+        found = _Extremes(values, np.searchsorted(grid, starts))
+        if len(names) == 1 and len(set(starts)) == 1 and not np.isnan(values).any():
+            found.tiles(*sides, same)
+        else:
+            for i in sides[0]:
+                others = sides[1][sides[1] > i] if same else sides[1]
+                found.add(np.full(len(others), i), others)
+        n = len(sides[0]) * (len(sides[0]) - 1) // 2 if same else len(sides[0]) * len(sides[1])
+        return pa.table([pa.array([table[family][0].as_py()], table.schema.field(family).type), pa.array([n], pa.int64()), *(pa.array([x], pa.float64(), from_pandas=True) for x in (found.least, found.most))], names=[family, "pairs", "least", "most"])
+
+    found = _blocks(runs, family, start, None, block).groupBy(family, "low", "high").applyInArrow(compare, f"`{family}` {kinds[family]}, pairs long, least double, most double")
+    return found.groupBy(family).agg(F.sum("pairs").alias("pairs"), F.min("least").alias("least"), F.max("most").alias("most")).where("pairs > 0")
+
+
+class _Extremes:
+    """The least and the most distance of pairs of runs (run, signal, place) from places on; NaN without any."""
+
+    def __init__(self, values: np.ndarray, begin: np.ndarray):
+        self.values, self.begin, self.least, self.most = values, begin, np.nan, np.nan
+
+    def add(self, a: np.ndarray, b: np.ndarray, size: int = 4096) -> None:
+        for k in range(0, len(a), size):
+            x, y = a[k : k + size], b[k : k + size]
+            mse = _means(self.values[y] - self.values[x], np.minimum(self.begin[x], self.begin[y]))
+            self.least, self.most = np.fmin(self.least, np.nanmin(mse, initial=np.inf)), np.fmax(self.most, np.nanmax(mse, initial=-np.inf))
+        self.least, self.most = (np.nan if np.isinf(x) and not np.isinf(self.values).any() else x for x in (self.least, self.most))
+
+    def tiles(self, rows: np.ndarray, columns: np.ndarray, same: bool) -> None:
+        x = self.values[:, 0, self.begin[0] :]
+        x = x - x.mean(axis=0)
+        square = (x * x).sum(axis=1)
+        n = x.shape[1]
+        slack = 4e-15 * (n + 10) * square.max(initial=0)
+        if not n or not np.isfinite(slack):
+            return self.add(*(v.ravel() for v in np.meshgrid(rows, columns))) if n else None
+        for i in range(0, len(rows), TILE):
+            a = rows[i : i + TILE]
+            for j in range(i if same else 0, len(columns), TILE):
+                b = columns[j : j + TILE]
+                d = square[a][:, None] + square[b] - 2 * (x[a] @ x[b].T)
+                low = high = d
+                if same and i == j:
+                    other = np.tri(len(a), dtype=bool)
+                    low, high = np.where(other, np.inf, d), np.where(other, -np.inf, d)
+                least, most = low.min(initial=np.inf), high.max(initial=-np.inf)
+                if least < np.inf and self.least != 0 and not least - slack > self.least * n:
+                    p, q = np.nonzero(low <= least + slack)
+                    self.add(a[p], b[q])
+                if most > -np.inf and not most + slack < self.most * n:
+                    p, q = np.nonzero(high >= most - slack)
+                    self.add(a[p], b[q])
+
+
 def wanted_mse(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (a_id, b_id) with mse, as `pairwise_mse` gives it for runs (run_id, pos, value) of one signal. Only the runs wanted become rows, and only the pairs wanted meet."""
     ids = wanted.select(F.col("a_id").alias("run_id")).union(wanted.select("b_id")).distinct()

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runweave.operators import pairs
 
@@ -120,3 +121,17 @@ def test_wanted_pairs_are_those_of_all_pairs(spark, runs):
     got = {(r.a_id, r.b_id): r.mse for r in pairs.wanted_mse(df, spark.createDataFrame(wanted, "a_id long, b_id long")).collect()}
     assert got.keys() == set(wanted) and got[0, 99] is None
     assert all(got[k] == pytest.approx(want[k]) for k in wanted[:3])
+
+
+@pytest.mark.parametrize("block", [2, 8192])
+def test_extremes_are_those_of_all_pairs(spark, runs, block, monkeypatch):
+    """The extremes of a family needed a row for each of its pairs."""
+    monkeypatch.setattr(pairs, "TILE", 3)
+    rng = np.random.default_rng(3)
+    whole = [("w", run, pos, 1e4 + float(v), 2) for run, own in enumerate(rng.normal(size=(25, 6))) for pos, v in enumerate(own)]
+    whole += [("x", *row[1:]) for row in whole] + [("x", row[1] + 100, *row[2:]) for row in whole if row[1] % 5 == 0]
+    gaps = [(family, run, pos, value, start) for family, run, signal, pos, value, start in runs if signal == "u"]
+    df = spark.createDataFrame(whole + gaps, "family string, run_id long, pos int, value double, start int").repartition(3)
+    want = {r.family: (r.n, r.a, r.b) for r in pairs.pairwise_mse(df, "family", "start").selectExpr("family", "nanvl(mse, NULL) AS mse").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("mse").alias("a"), F.max("mse").alias("b")).collect()}
+    got = {r.family: (r.pairs, r.least, r.most) for r in pairs.pairwise_extremes(df, "family", "start", block).collect()}
+    assert got == want and got["x"][1] == 0 and set(got) == {"f", "h", "w", "x"}
