@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -149,6 +151,43 @@ def dtw_distances(candidates: DataFrame, band: int | None, channels: int = 1) ->
     return candidates.select("run_id", "s_id", "s_label", distance("values", "s_values").alias("distance"))
 
 
+def greedy_matches(times: list, values: list[float], rt: list, rv: list[float], within: int, scale: float) -> tuple[int, float]:
+    """(matches, loss) of greedy matching; both sides by time.
+
+    What lies within reach of the next event is held by magnitude, each magnitude's events by time, and the magnitudes in
+    a heap, so an event costs a search among those of one magnitude, not a look at all that are near.
+    """
+    held: dict[float, list[tuple]] = {}
+    heap: list[float] = []
+    n, loss, end = 0, 0.0, 0
+    for t, v in zip(times, values, strict=True):
+        while end < len(rt) and rt[end] < t + within + 1:
+            size = abs(rv[end])
+            size = -size if size == size else 1.0  # what is no number comes last
+            if not held.setdefault(size, []):
+                heapq.heappush(heap, size)
+            held[size].append((rt[end], end))
+            end += 1
+        while heap:
+            near = held[heap[0]]
+            del near[: bisect.bisect_left(near, (t - within,))]
+            if near:
+                break
+            heapq.heappop(heap)
+        else:
+            continue
+        after = bisect.bisect_left(near, (t,))
+        at = [after] if after < len(near) else []
+        if after:
+            at.append(bisect.bisect_left(near, (near[after - 1][0],)))  # the first of those at the same time
+        s, k = near.pop(min(at, key=lambda p: (abs(near[p][0] - t), near[p][1])))
+        if not near:
+            heapq.heappop(heap)
+        loss += abs(s - t) / within + abs(abs(v) - abs(rv[k])) / scale
+        n += 1
+    return n, loss
+
+
 def match_events(df: DataFrame, keys: list[str], within: int) -> DataFrame:
     """(keys, matched, unmatched, loss): greedy one-to-one matching of events of side 'b' to those of side 'a' within a time: largest magnitude, then nearest.
 
@@ -165,15 +204,7 @@ def match_events(df: DataFrame, keys: list[str], within: int) -> DataFrame:
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         left, right = frame[frame.side == "a"].sort_values("t", kind="stable"), frame[frame.side == "b"].sort_values("t", kind="stable")
-        rt, rv, used, loss, n = right.t.to_numpy(), right.value.to_numpy(), np.zeros(len(right), bool), 0.0, 0
-        for t, v in zip(left.t, left.value, strict=True):
-            low, high = np.searchsorted(rt, [t - within, t + within + 1])
-            free = [i for i in range(low, high) if not used[i]]
-            if free:
-                best = min(free, key=lambda i: (-abs(rv[i]), abs(rt[i] - t), i))
-                used[best] = True
-                loss += abs(rt[best] - t) / within + abs(abs(v) - abs(rv[best])) / frame["scale"].iloc[0]
-                n += 1
+        n, loss = greedy_matches(left.t.tolist(), left.value.tolist(), right.t.tolist(), right.value.tolist(), within, float(frame["scale"].iloc[0]))
         lost = len(left) + len(right) - 2 * n
         return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, "matched": n, "unmatched": lost, "loss": loss + lost}])
 

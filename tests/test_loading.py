@@ -212,3 +212,24 @@ def test_support_sets_are_bounded_and_balanced(spark, monkeypatch):
     monkeypatch.setattr(classify, "MOST_SUPPORT", 10)
     r = classify.pairs(flat, shots).select("s_label", classify.truncated_pearson(F.col("values"), F.col("s_values")).alias("r")).collect()
     assert {(x.s_label, x.r) for x in r} == {("flat", float("-inf")), ("up", 1.0)}
+
+
+def test_greedy_matches_of_a_dense_run():
+    """Each event looked at all within reach: 20,000 events in reach of one another took minutes."""
+    import time
+
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        a, b = ([int(x) for x in np.sort(rng.integers(0, 60, int(rng.integers(0, 40))))] for _ in "ab")
+        va, vb = ([float(x) for x in rng.integers(-3, 4, len(x))] for x in (a, b))
+        used, loss, n = set(), 0.0, 0
+        for t, v in zip(a, va, strict=True):
+            free = [(-abs(w), abs(s - t), i) for i, (s, w) in enumerate(zip(b, vb, strict=True)) if i not in used and abs(s - t) <= 7]
+            if free:
+                i = min(free)[2]
+                used.add(i)
+                loss, n = loss + abs(b[i] - t) / 7 + abs(abs(v) - abs(vb[i])) / 3, n + 1
+        assert classify.greedy_matches(a, va, b, vb, 7, 3.0) == (n, pytest.approx(loss))
+    began, many = time.monotonic(), list(range(20_000))
+    assert classify.greedy_matches(many, [1.0] * 20_000, many, [float(x % 50) for x in many], 30_000, 50.0)[0] == 20_000
+    assert time.monotonic() - began < 10
