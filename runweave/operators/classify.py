@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import bisect
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -193,22 +195,47 @@ def match_events(df: DataFrame, keys: list[str], within: int) -> DataFrame:
 
     df: keys, side, t, value. The loss is, of each match, its distance as a share of `within` and the difference of
     magnitudes as a share of the largest of side a; and 1 for each event without a match. No match crosses a gap wider
-    than `within`, so groups are stretches between such gaps, however many events a key has.
+    than `within`, so a task holds a stretch between such gaps at a time, however many events a key has.
     """
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", matched long, unmatched long, loss double"
     own = Window.partitionBy(*keys)
     gap = F.col("t") - F.lag("t").over(own.orderBy("t"))
     scale = F.greatest(F.lit(1e-9), F.coalesce(F.max(F.when(F.col("side") == "a", F.abs("value"))).over(own), F.lit(1.0)))
-    stretches = df.withColumn("fresh", F.coalesce((gap > within).cast("int"), F.lit(0))).withColumn("scale", scale)
-    stretches = stretches.withColumn("stretch", F.sum("fresh").over(own.orderBy("t")))
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame.side == "a"].sort_values("t", kind="stable"), frame[frame.side == "b"].sort_values("t", kind="stable")
-        n, loss = greedy_matches(left.t.tolist(), left.value.tolist(), right.t.tolist(), right.value.tolist(), within, float(frame["scale"].iloc[0]))
-        lost = len(left) + len(right) - 2 * n
-        return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, "matched": n, "unmatched": lost, "loss": loss + lost}])
-
-    parts = stretches.groupBy(*keys, "stretch").applyInPandas(match, schema)
+    fresh = F.coalesce(gap > within, F.lit(False)) | (F.row_number().over(own.orderBy("t")) == 1)
+    ordered = df.select(*keys, "side", "t", "value", scale.alias("scale"), fresh.alias("fresh"))
+    ordered = ordered.repartition(*keys).sortWithinPartitions(*keys, "t", F.desc("fresh"))
+    kinds = [*(to_arrow_type(df.schema[k].dataType) for k in keys), pa.int64(), pa.int64(), pa.float64()]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows, stretch by stretch; only one stretch and a batch are held."""
+        now, sides, untimed, last = None, {}, 0, 1.0
+
+        def done() -> tuple:
+            n, loss = greedy_matches(*sides["a"], *sides["b"], within, last)
+            lost = len(sides["a"][0]) + len(sides["b"][0]) + untimed - 2 * n
+            return (*now, n, lost, loss + lost)
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*keys, "matched", "unmatched", "loss"])
+
+        for batch in batches:
+            out = []
+            for *key, side, t, value, most, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first:
+                    if now is not None:
+                        out.append(done())
+                    now, sides, untimed, last = key, {"a": ([], []), "b": ([], [])}, 0, most
+                if side in sides and t is None:
+                    untimed += 1
+                elif side in sides:
+                    sides[side][0].append(t)
+                    sides[side][1].append(float("nan") if value is None else value)
+            yield packed(out)
+        if now is not None:
+            yield packed([done()])
+
+    parts = ordered.mapInArrow(match, schema)
     return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("matched", "unmatched", "loss")))
 
 
