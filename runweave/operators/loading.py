@@ -115,19 +115,25 @@ def grid_faults(df: DataFrame, keys: list[str], time: str, values: list[str], st
 
 #: How empty bins of a grid are filled, and how a bin's value comes about. Fixed values.
 FILLINGS, BINNINGS = ("validate_only", "interpolation", "zero_filling"), ("decimation", "abs_max_pooling")
+#: Most signals of a model that have strategies; each worker holds them.
+MOST_SIGNALS = 10_000
 
 
 def resample(df: DataFrame, strategies: DataFrame, step: int, time: str = "t", value: str = "value") -> DataFrame:
     """(run_id, signal, bin, value) on the grid: each signal by its own strategy.
 
     strategies: (signal, binning, filling), one row for each signal. Bins without a sample are interpolated between
-    samples (held at the ends), 0, or stay NULL (validate_only). Signals without a strategy are left out.
+    samples (held at the ends), 0, or stay NULL (validate_only). Signals without a strategy are left out; more than
+    MOST_SIGNALS with one are an error.
     """
     keys = align.KEYS
+    if strategies.limit(MOST_SIGNALS + 1).count() > MOST_SIGNALS:
+        raise ValueError(f"at most {MOST_SIGNALS} signals have strategies")
+    strategies = F.broadcast(strategies)  # few signals: a join by shuffling would put all rows of one into one task
     own = df.join(strategies, "signal").where(F.col("binning").isin(*BINNINGS) & F.col("filling").isin(*FILLINGS))
     binned = [f(own.where(F.col("binning") == b), keys, time, value, step) for f, b in ((align.resample_last, "decimation"), (align.resample_largest, "abs_max_pooling"))]
     between = align.interpolate(own.where(F.col("filling") == "interpolation"), keys, time, value, step).withColumnRenamed(value, "between")
-    rows = binned[0].unionByName(binned[1]).join(strategies.select("signal", "filling"), "signal").join(between, [*keys, "bin"], "left")
+    rows = binned[0].unionByName(binned[1]).join(F.broadcast(strategies.select("signal", "filling")), "signal").join(between, [*keys, "bin"], "left")
     filled = F.coalesce(value, F.when(F.col("filling") == "zero_filling", 0.0).when(F.col("filling") == "interpolation", F.col("between")))
     return rows.select(*keys, "bin", filled.alias(value))
 
