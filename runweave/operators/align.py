@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["run_id", "signal"]
+#: Rows of a table that a shuffle deals into one part where its keys compress well, so that bytes say little of them.
+PART_ROWS = 500_000
+
+
+def parts(*tables: DataFrame) -> int:
+    """Parts for a shuffle of the tables, of PART_ROWS rows or so and one for each core at least. Counts the rows."""
+    rows = sum(t.count() for t in tables)
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
 
 
 def collapse_by_time(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import parts
+
 
 def with_status(planned: DataFrame, runtime: DataFrame, available: DataFrame, key: str = "run_id") -> DataFrame:
     """planned (key, hash) with `status` and `stale_reason`. runtime: (key, status, runtime_hash), available: (key), each key once."""
@@ -95,11 +97,14 @@ def truth_rows(families: DataFrame, children: DataFrame, first_diff: DataFrame,
 
     families: family, baseline; children: family, child, time0, parameter; first_diff: child, eligible, change_time. Children that are said not to be eligible are left out.
     """
-    kept = children.join(first_diff, "child", "left").where(F.coalesce("eligible", F.lit(True)))
+    n = parts(children, first_diff)
+    kept = children.repartition(n, "child").join(first_diff.repartition(n, "child"), "child", "left").where(F.coalesce("eligible", F.lit(True)))
     rows = families.select("family", F.col("baseline").alias("id"), F.lit("baseline").alias("kind"), F.lit("no change").alias("label"), F.lit(None).cast("double").alias("change_time"))
     kids = kept.select("family", F.col("child").alias("id"), F.lit("child").alias("kind"), F.col("parameter").alias("label"), F.col("change_time").cast("double").alias("change_time"))
     zero = kept.where("time0 IS NOT NULL").select("family", F.col("time0").alias("id"), F.lit("time0").alias("kind"), F.col("parameter").alias("label"), F.lit(0.0).alias("change_time"))
-    return rows.unionByName(kids).unionByName(zero).join(selected.select("id").distinct(), "id", "left_semi")
+    every, own = rows.unionByName(kids).unionByName(zero), selected.select("id").repartition(n, "id").distinct()
+    # ids are distinct, so this is a semi-join; one of that name would be done for each part of the union
+    return every.repartition(n, "id").join(own, "id")
 
 
 def referenced(*tables: tuple[DataFrame, list[str]]) -> DataFrame:
