@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite
+from .align import parts
 
 
 def broken(df: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
@@ -118,9 +117,14 @@ def totals_agree(stated: DataFrame, rows: DataFrame, keys: list[str], counts: di
 
 def graph_faults(nodes: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:
     """(id, rule) of a graph's faults: repeated nodes, unknown kinds, ends of edges that are no nodes. nodes: id, kind; edges: source, target."""
-    ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
-    parts = [repeated(nodes, ["id"]), broken(nodes, {"kind": F.col("kind").isin(kinds)}, ["id"]), unknown(ends, nodes, ["id"], "missing_end")]
-    return reduce(DataFrame.unionByName, parts)
+    n = parts(nodes, edges, edges)
+    own = nodes.select("id", F.lit(1).alias("node"))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id"), F.lit(0).alias("node"))
+    counts = own.unionByName(ends).repartition(n, "id").groupBy("id").agg(F.sum("node").alias("nodes"), F.count_if(F.col("node") == 0).alias("ends"))
+    missing = (F.col("ends") > 0) & ((F.col("nodes") == 0) | F.col("id").isNull())
+    rules = F.array(F.when(F.col("nodes") > 1, "repeated"), F.when(missing, "missing_end"))
+    found = counts.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    return found.unionByName(broken(nodes, {"kind": F.col("kind").isin(kinds)}, ["id"]))
 
 
 def results_faults(df: DataFrame, keys: list[str], required: list[str], metrics: list[str], allowed: DataFrame) -> DataFrame:
