@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.exprs import finite
+from .align import parts
 
 
 def by_sample_type(rows: DataFrame, keys: list[str], types: list[str], kind: str = "sample_type", top1: str = "top1_correct", score: str = "shortlist_score", answers: str = "num_answers") -> DataFrame:
@@ -65,17 +66,26 @@ def answer_faults(answers: DataFrame, expected: DataFrame, keys: list[str]) -> D
     blank among them), repeated_label, unexpected, missing.
     """
     stem = F.regexp_replace(F.regexp_extract(F.trim("sample"), r"([^/]*)$", 1), r"\.parquet$", "")
-    known = expected.select(*keys, F.trim("sample").alias("wanted"), stem.alias("stem")).distinct()
+    known = expected.select(*keys, F.trim("sample").alias("wanted"), stem.alias("stem"))
     names = known.select(*keys, "wanted", F.explode(F.array_distinct(F.array("wanted", F.regexp_replace("wanted", r"\.parquet$", ""), "stem"))).alias("name"))
-    own = answers.select(*keys, F.trim("sample").alias("name"), "labels").join(names, [*keys, "name"], "left").withColumn("sample", F.coalesce("wanted", "name"))
+    n = parts(answers, expected, expected, expected)
+    names = names.repartition(n, *keys, "name").distinct()  # dealt as the join needs them, once
     labels = F.transform(F.coalesce("labels", F.array().cast("array<string>")), lambda x: F.trim(x))
-    rules = F.array(
-        F.when(F.coalesce(F.col("name"), F.lit("")) == "", "empty_key"),
-        F.when(F.size(labels) == 0, "empty_label").when(F.exists(labels, lambda x: x.isNull() | (x == "")), "empty_label"),
-        F.when(F.size(F.array_distinct(labels)) < F.size(labels), "repeated_label"),
-        F.when((F.col("name") != "") & F.col("wanted").isNull(), "unexpected"),
-    )
+    own_rules = {
+        "named": F.trim("sample") != "",
+        "empty_key": F.coalesce(F.trim("sample"), F.lit("")) == "",
+        "empty_label": (F.size(labels) == 0) | F.exists(labels, lambda x: x.isNull() | (x == "")),
+        "repeated_label": F.size(F.array_distinct(labels)) < F.size(labels),
+    }
+    # what is said of an answer alone travels as bits; both uses of `own` below need the same columns, so Spark shuffles them once
+    bits = sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(own_rules.values())), F.lit(0)).cast("tinyint")
+    bit = lambda rule: F.col("bits").bitwiseAND(1 << list(own_rules).index(rule)) != 0
+    own = answers.select(*keys, F.trim("sample").alias("name"), bits.alias("bits")).repartition(n, *keys, "name").join(names, [*keys, "name"], "left").withColumn("sample", F.coalesce("wanted", "name"))
+    rules = F.array(*(F.when(bit(r), r) for r in ("empty_key", "empty_label", "repeated_label")), F.when(bit("named") & F.col("wanted").isNull(), "unexpected"))
     each = own.select(*keys, F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"), "sample")
-    twice = own.where("name <> ''").groupBy(*keys, "sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit("repeated_key").alias("rule"), "sample")
-    missing = known.select(*keys, F.col("wanted").alias("sample")).join(own.select(*keys, "sample"), [*keys, "sample"], "left_anti")
-    return each.unionByName(twice).unionByName(missing.select(*keys, F.lit("missing").alias("rule"), "sample"))
+    given = own.select(*keys, "sample", bit("named").cast("int").alias("named"), F.lit(1).alias("own"))
+    every = given.unionByName(known.select(*keys, F.col("wanted").alias("sample"), F.lit(0).alias("named"), F.lit(0).alias("own")))
+    counts = every.repartition(n, *keys, "sample").groupBy(*keys, "sample").agg(F.sum("named").alias("named"), F.sum("own").alias("own"), F.min("own").alias("least"))
+    no_key = F.exists(F.array(*(F.col(c).isNull() for c in (*keys, "sample"))), lambda x: x)  # what is null equals nothing
+    of_sample = F.array(F.when(F.col("named") > 1, "repeated_key"), F.when((F.col("least") == 0) & ((F.col("own") == 0) | no_key), "missing"))
+    return each.unionByName(counts.select(*keys, F.explode(F.filter(of_sample, lambda r: r.isNotNull())).alias("rule"), "sample"))
