@@ -10,11 +10,12 @@ from ..functions.exprs import finite
 
 
 def continuous(target: DataFrame, candidate: DataFrame, keys: list[str], time: str, scale: DataFrame) -> DataFrame:
-    """(keys, loss): mean square of the candidate, interpolated at the target's times, less the target, as a share of the signal's scale (signal, scale)."""
-    wanted = target.select(*keys, time, F.col("value").alias("wanted"))
+    """(keys, loss): mean square of the candidate, interpolated at the target's times, less the target, as a share of the signal's scale (signal, scale). A target counts `weight` times if it has such a column, else once."""
+    wanted = target.select(*keys, time, F.col("value").alias("wanted"), (F.col("weight") if "weight" in target.columns else F.lit(1)).cast("double").alias("weight"))
     at = align.at_times(candidate, wanted, keys, time, "value").join(scale, "signal")
     square = F.pow((F.col("value") - F.col("wanted")) / F.col("scale"), 2)
-    return at.groupBy(*keys).agg(F.avg(F.when(finite(square), square)).alias("loss"))
+    weight = F.when(finite(square), F.col("weight"))
+    return at.groupBy(*keys).agg(F.try_divide(F.sum(square * weight), F.sum(weight)).alias("loss"))
 
 
 def trajectory(losses: DataFrame, baseline: DataFrame | None, run: str) -> DataFrame:

@@ -54,3 +54,13 @@ def test_every_word_is_counted(spark):
     got = {r.word: r.calls for r in catalog.queries()["tool_calls_every_word"](spark, SF).collect()}
     assert got == words
     assert min(got.values()) <= 20
+
+
+@pytest.mark.parametrize("name", ["interpolated_loss", "trajectory_losses"])
+def test_repeated_targets_count_as_in_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 11 <> 0 THEN value END AS value, CASE WHEN event_id % 29 <> 0 THEN user_id END AS user_id) FROM '{SF}/events.parquet', range(6) r(i) WHERE i <= event_id % 6) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    ours = catalog.queries()[name](spark, str(tmp_path))
+    theirs = con.sql(f"SELECT {', '.join(ours.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, ours.collect()))) == sorted(map(repr, theirs))
