@@ -15,6 +15,7 @@ from __future__ import annotations
 import ast
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -287,20 +288,24 @@ def cat_class(line: str | None) -> str | None:
     return found
 
 
+@lru_cache(maxsize=4_096)
 def library_calls(code: str | None) -> dict[str, int]:
     """How often a Python text calls functions of what it imports, by full name; {} if it doesn't parse."""
+    if not code or "import" not in code:  # nothing is imported
+        return {}
     try:
-        tree = ast.parse(code or "")
+        tree = ast.parse(code)
     except (SyntaxError, ValueError):
         return {}
     names: dict[str, str] = {}
-    for node in ast.walk(tree):
+    nodes = list(ast.walk(tree))
+    for node in nodes:
         if isinstance(node, ast.Import):
             names |= {(a.asname or a.name.split(".")[0]): (a.name if a.asname else a.name.split(".")[0]) for a in node.names}
         elif isinstance(node, ast.ImportFrom) and node.module and not node.level:
             names |= {(a.asname or a.name): f"{node.module}.{a.name}" for a in node.names}
     counts: Counter[str] = Counter()
-    for node in ast.walk(tree):
+    for node in nodes:
         if isinstance(node, ast.Call):
             parts, f = [], node.func
             while isinstance(f, ast.Attribute):
@@ -402,19 +407,18 @@ def script_runs(calls: DataFrame, command: Column, file: Column | None = None, c
     """
     at = F.struct("pos", "sub", "n")
     own = calls.where("kind = 'call'")
-    each = own.select("session", "pos", "sub", "call_id", "outputs", F.posexplode(commands_of(command)).alias("n", "c"))
-    each = each.select("session", "pos", "sub", "call_id", "n", F.when(F.col("c.writes").isNull(), F.col("outputs")).alias("outputs"), "c.mode", F.coalesce("c.writes", "c.path").alias("path"), "c.code", F.col("c.writes").isNotNull().alias("write"))
-    each = each.where("write OR mode IS NOT NULL")
+    lines = lambda text: F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("long")
+    shown = F.array_join("outputs", "\n")
+    each = own.select("session", "pos", "sub", "call_id", "outputs", F.posexplode(commands_of(command)).alias("n", "c")).where("c.writes IS NOT NULL OR c.mode IS NOT NULL")
+    each = each.select("session", "pos", "sub", "call_id", "n", "c.mode", F.coalesce("c.writes", "c.path").alias("path"), "c.code", F.col("c.writes").isNotNull().alias("write"), lines(shown).alias("output_lines"), shown.contains("Traceback (most recent call last)").alias("failed"))
     if file is not None:
-        by_call = own.select("session", "pos", "sub", "call_id", F.lit(-1).alias("n"), F.lit(None).cast("array<string>").alias("outputs"), F.lit(None).cast("string").alias("mode"), F.regexp_replace(file, r"^\./", "").alias("path"), content.alias("code"), F.lit(True).alias("write"))
+        by_call = own.select("session", "pos", "sub", "call_id", F.lit(-1).alias("n"), F.lit(None).cast("string").alias("mode"), F.regexp_replace(file, r"^\./", "").alias("path"), content.alias("code"), F.lit(True).alias("write"), F.lit(None).cast("long").alias("output_lines"), F.lit(None).cast("boolean").alias("failed"))
         each = each.unionByName(by_call.where("path IS NOT NULL AND code IS NOT NULL"))
     before = Window.partitionBy("session", "path").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     written = F.last(F.when(F.col("write"), F.col("code")), ignorenulls=True).over(before)
-    scripts = each.where("write OR mode = 'script'").withColumn("code", F.when(F.col("write"), F.col("code")).otherwise(written))
-    runs = scripts.where("NOT write").unionByName(each.where("NOT write AND mode <> 'script'"))
-    lines = lambda text: F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("long")
-    shown = F.array_join("outputs", "\n")
-    return runs.select("session", "pos", "sub", "call_id", "n", "mode", "path", "code", F.when(F.col("code").isNotNull(), lines(F.col("code"))).alias("code_lines"), library_calls_of("code").alias("libraries"), lines(shown).alias("output_lines"), shown.contains("Traceback (most recent call last)").alias("failed"))
+    # all runs pass the window, as scripts apart from the others would parse every line twice
+    runs = each.withColumn("code", F.when(~F.col("write") & (F.col("mode") == "script"), written).otherwise(F.col("code"))).where("NOT write")
+    return runs.select("session", "pos", "sub", "call_id", "n", "mode", "path", "code", F.when(F.col("code").isNotNull(), lines(F.col("code"))).alias("code_lines"), library_calls_of("code").alias("libraries"), "output_lines", "failed")
 
 
 def inclusive_prompt(prompt: Column, cached: Column) -> Column:

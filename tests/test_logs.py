@@ -206,3 +206,17 @@ def test_scripts_have_the_code_that_was_written_last(spark):
         ("c5", "script", "a.py", 1, {}, 0, False),
     ]
     assert [(r.path, r.calls) for r in logs.file_counts(df.withColumn("tool", F.lit("t")), F.col("file")).collect()] == [("b.py", 1)]
+
+
+def test_lines_of_script_runs_are_parsed_once(spark):
+    df = spark.createDataFrame([("s", 0, 0, "call", "c", [], "python a.py")], "session string, pos int, sub int, kind string, call_id string, outputs array<string>, command string")
+    plan = logs.script_runs(df, F.col("command"))._jdf.queryExecution().executedPlan().toString()
+    assert sum("ArrowEvalPython [commands_of" in line for line in plan.splitlines()) == 1
+
+
+def test_codes_without_imports_are_not_parsed(monkeypatch):
+    logs.library_calls.cache_clear()
+    parsed = []
+    monkeypatch.setattr(logs.ast, "parse", lambda code, parse=logs.ast.parse: parsed.append(code) or parse(code))
+    assert logs.library_calls("print(len('x'))\n" * 50) == {} and not parsed
+    assert [logs.library_calls("import os\nos.getcwd()") for _ in range(3)] == [{"os.getcwd": 1}] * 3 and len(parsed) == 1
