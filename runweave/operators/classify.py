@@ -67,13 +67,17 @@ def nearest_vote(queries: DataFrame, support: DataFrame, distance: Callable[[Col
     others = F.filter("support", lambda s: s["s_id"] != F.col("run_id"))
     near = F.transform(others, lambda s: F.struct(distance(F.col("values"), s["s_values"]).alias("distance"), s["s_id"].alias("s_id"), s["s_label"].alias("s_label")))
     near = every.select("run_id", F.slice(F.array_sort(near), 1, k).alias("near"))
+    return near.select("run_id", voted("near").alias("predicted"))
 
+
+def voted(near: str) -> Column:
+    """What the neighbours of an array (distance, s_id, s_label) vote for: most votes, then least total distance, then smallest label."""
     def standing(label: Column) -> Column:
-        own = F.filter("near", lambda n: n["s_label"] == label)
+        own = F.filter(near, lambda n: n["s_label"] == label)
         total = F.aggregate(own, F.lit(0.0), lambda t, n: t + n["distance"])
         return F.struct((-F.size(own)).alias("n"), total.alias("total"), label.alias("label"))
 
-    return near.select("run_id", F.array_min(F.transform(F.array_distinct("near.s_label"), standing))["label"].alias("predicted"))
+    return F.array_min(F.transform(F.array_distinct(f"{near}.s_label"), standing))["label"]
 
 
 def vote(distances: DataFrame, k: int) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from runweave.operators import classify, sampling, warping
+from runweave.plans import tuning
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +109,42 @@ def test_narrow_and_wide_bands_agree(monkeypatch):
     monkeypatch.setattr(classify, "NARROW", 1_000)
     for c, d in zip(cases, narrow, strict=True):
         assert classify.dtw(*c, d * 1.01 + 1e-9) == pytest.approx(d) and classify.dtw(*c, d * 0.5) >= d * (1 - 1e-9)
+
+
+def test_pairs_are_warped_together_as_one_by_one():
+    rng = np.random.default_rng(5)
+    for k in range(120):
+        n, m, channels = int(rng.integers(1, 40)), int(rng.integers(1, 40)), 1 + k % 2
+        a, b = rng.normal(size=(n, channels, 7)), rng.normal(size=(m, channels, 7))
+        band = [0, 1, 3, 9, 100][k % 5]
+        want = np.array([classify.dtw(a[..., p], b[..., p], band) for p in range(7)])
+        assert np.allclose(warping.dtw_of_pairs(a, b, band, np.full(7, np.inf)), want)
+        best = want * rng.choice([0.3, 1.01], 7)
+        got = warping.dtw_of_pairs(a, b, band, best)
+        assert np.allclose(got[best > want], want[best > want]) and (got[best <= want] >= best[best <= want]).all()
+    a[3 % n] = np.nan
+    assert np.isinf(warping.dtw_of_pairs(a, b, band, np.full(7, np.inf))).all()
+
+
+def test_many_queries_take_few_steps(monkeypatch):
+    rng = np.random.default_rng(6)
+    held, queries = [rng.normal(size=(16, 1)) for _ in range(20)], rng.normal(size=(16, 1, 500))
+    calls, plain = [], warping.dtw_of_pairs
+    monkeypatch.setattr(warping, "dtw_of_pairs", lambda a, b, band, best: calls.append(a.shape[2]) or plain(a, b, band, best))
+    best, place, computed = warping.Support(list(range(20)), ["x"] * 20, held, 4).nearest(list(range(500)), queries, 3)
+    assert len(calls) < 20 and sum(calls) == computed.sum() <= 500 * 20
+    for q in range(0, 500, 25):
+        every = sorted((classify.dtw(queries[..., q], y, 3), k) for k, y in enumerate(held) if k != q)[:3]
+        assert [k for _, k in every] == place[q].tolist() and np.allclose([d for d, _ in every], best[q])
+
+
+def test_neighbours_are_looked_for_once(spark):
+    plan = tuning.warped_nearest(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_queries_without_values_have_no_neighbours(spark):
+    df = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [2.0, 3.0])], "run_id long, label string, values array<double>")
+    queries = spark.createDataFrame([(3, []), (4, None), (5, [2.0, None]), (6, [2.0]), (1, [4.0, 5.0])], "run_id long, values array<double>").repartition(1)
+    rows = sorted((r.run_id, r.s_id, r.s_label, r.distance) for r in warping.warped_nearest(queries, df, 2).collect())
+    assert rows == [(1, 2, "b", 8**0.5), (6, 1, "a", 1.0), (6, 2, "b", 1.0)]
